@@ -30,11 +30,16 @@ def clean_office_name(raw: Column) -> Column:
 
 def titlecase_place(raw: Column) -> Column:
     """Capital at the start of every run of letters; NCT and NCR stay capitals."""
-    runs = F.regexp_extract_all(F.lower(F.trim(raw)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    titled = F.array_join(F.transform(runs, capitalised), "")
+    titled = titlecase_name(F.trim(raw))
     return F.regexp_replace(F.regexp_replace(titled, r"\bNct\b", "NCT"), r"\bNcr\b", "NCR")
 
 
+def titlecase_name(name) -> Column:
+    name = F.col(name) if isinstance(name, str) else name
+    runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, capitalised), "")
+
+
 def capitalised(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
 

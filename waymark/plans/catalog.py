@@ -4,6 +4,7 @@ import importlib
 
 MODULES = (
     "jobs_gazetteer",
+    "jobs_parse",
 )
 
 

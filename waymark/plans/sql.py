@@ -94,3 +94,86 @@ GAZETTEER = """gaz as (
   from (select *, case office_type when 'HO' then 0 when 'SO' then 1 else 2 end as type_rank from office) group by pincode)"""
 
 LOCALITIES = "localities as (select distinct pincode, lower(office_name) as locality from office)"
+
+
+def fold(text):
+    """Folding of ASCII text."""
+    t = f"regexp_replace({text}, '[,;|/\\\\\\n\\r\\t]+|--+', ' ', 'g')"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s\\x{{0900}}-\\x{{097F}}#&.''\\-]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])[.'']+(\\s|$)', '\\1\\2', 'g')"
+    return f"lower({squeeze(t)})"
+
+
+def squeeze(text):
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def chatter(text):
+    from waymark.functions.tables import CHATTER_PATTERN
+
+    return squeeze(f"regexp_replace({text}, '(?i){CHATTER_PATTERN}', ' ', 'g')")
+
+
+def expand(text):
+    """Abbreviations between spaces, longest first, marked before they are written out."""
+    from waymark.functions.tables import ABBREVIATIONS
+
+    keys = sorted(ABBREVIATIONS, key=len, reverse=True)
+    marked = f"(' ' || replace({text}, ' ', '  ') || ' ')"
+    names = ",".join(f"'{k}'" for k in keys)
+    pairs = ",".join(f"'{k}={ABBREVIATIONS[k]}'" for k in keys)
+    marked = (
+        f"list_reduce([{names}], lambda s, k: replace(s, ' '||replace(k,' ','  ')||' ', "
+        f"' '||chr(1)||k||chr(1)||' '), {marked})"
+    )
+    written = (
+        f"list_reduce([{pairs}], lambda s, x: replace(s, chr(1)||split_part(x,'=',1)||chr(1), split_part(x,'=',2)), {marked})"
+    )
+    return squeeze(written)
+
+
+# spaces and folding first, then phones between non-digits, twice for neighbours
+def strip_phones(text):
+    split = r"(^|[^0-9])(?:\+?91[\s.\-]?)?[6-9][0-9]{4}[\s.\-][0-9]{5}($|[^0-9])"
+    whole = r"(^|[^0-9])(?:(?:\+?91[\s.\-]?|0)?[6-9][0-9]{9}|0[0-9]{2,4}[\s.\-]?[0-9]{6,8})($|[^0-9])"
+    for pattern in (split, split, whole, whole):
+        text = f"regexp_replace({text}, '{pattern}', '\\1' || chr(1) || '\\2', 'g')"
+    return text
+
+
+NORMALISED = f"""folded as (select *, {chatter(fold('raw'))} as folded from address),
+normal as (select *, {expand('folded')} as text from folded)"""
+
+PHONE_FREE = NORMALISED + f""",
+marked as (select *, {strip_phones('text')} as marked from normal),
+phone_free as (select *, {chatter("replace(marked, chr(1), ' ')")} as clean_text,
+  len(marked) - len(replace(marked, chr(1), '')) as n_phones from marked)"""
+
+
+def group1(text, pattern, groups=1):
+    parts = ", ".join(f"nullif(regexp_extract({text}, '(?i){pattern}', {g}), '')" for g in range(1, groups + 1))
+    return f"nullif(upper(regexp_replace(coalesce({parts}, NULL), '\\s+', '', 'g')), '')"
+
+
+def unit(text):
+    from waymark.functions.tables import UNIT_PATTERNS
+
+    return "coalesce(" + ", ".join(group1(text, p) for _, p in UNIT_PATTERNS) + ")"
+
+
+PINS = PHONE_FREE + r""",
+pins as (select order_id, clean_text, unnest(regexp_extract_all(clean_text, '\b([1-9][0-9]{5})\b', 1)) as pincode,
+  generate_subscripts(regexp_extract_all(clean_text, '\b([1-9][0-9]{5})\b', 1), 1) as pos from phone_free)"""
+
+RESOLVED_PINS = PINS + ", " + GAZETTEER + """,
+chosen as (select p.order_id, arg_max(g, p.pos) as g from pins p join gaz g on g.pincode = p.pincode group by 1),
+placed as (select f.*, c.g.pincode as pincode, c.g.district as district, c.g.state as pincode_state, c.g.lat as centroid_lat,
+  c.g.lng as centroid_lng, c.g.office_count as office_count from phone_free f left join chosen c using (order_id))"""
+
+AGREEMENT = RESOLVED_PINS + ", " + LOCALITIES + """,
+agreed as (select p.order_id, max({'n': length(l.locality), 'name': l.locality}).name as matched_locality
+  from placed p join localities l on l.pincode = p.pincode and length(l.locality) >= 4
+   and contains(' ' || regexp_replace(p.clean_text, '[^a-z0-9_]', ' ', 'g') || ' ', ' ' || l.locality || ' ') group by 1),
+agreement as (select p.order_id, p.pincode, a.matched_locality,
+  case when a.matched_locality is not null then true when p.pincode in (select pincode from localities) then false end as locality_agrees
+  from placed p left join agreed a using (order_id))"""

@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "waymark") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="waymark-", dir=os.environ.get("TMPDIR")))
         .getOrCreate()
