@@ -26,7 +26,14 @@ def guarded(words) -> str:
 
 
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain(*mapping.items())])
+    """A constant map; one parsed expression, not one call per entry."""
+    return F.expr("map(" + ", ".join(_literal(x) for x in chain(*mapping.items())) + ")")
+
+
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
 
 
 def squeeze(text: Column) -> Column:

@@ -12,6 +12,7 @@ from waymark.functions import text as X
 from waymark.operators import gazetteer as G
 from waymark.operators import parse as P
 from waymark.operators.skew import salted_join
+from waymark.sources.warehouse import staged
 
 
 def explode_pincodes(df: DataFrame, key: str, tokens: str = "pincode_candidates") -> DataFrame:
@@ -207,12 +208,14 @@ def parse_addresses(
 ) -> DataFrame:
     """The whole deterministic parse, one row per input row.
 
-    ``df`` should be a written table: several joins read it.
+    Two stages are written on the way: the parsed text, which every lookup
+    reads, and the placed rows, which the city and landmark steps read.
     """
     cities = G.known_cities(gazetteer)
-    parsed = P.parse_text(df, text)
+    parsed = staged(P.parse_text(df, text), "parsed_text")
     placed = locality_agreement(resolve_pincode(parsed, gazetteer, key), localities, key)
     placed = state_conflict(placed).withColumn("state", F.coalesce("pincode_state", "stated_state"))
+    placed = staged(placed, "placed")
     # a misspelt city is only looked for where neither pincode nor exact name gives one
     by_pin = F.col("district").isNotNull() & F.col("state").isNotNull()
     open_rows = placed.where(~by_pin).select(key, "clean_text")

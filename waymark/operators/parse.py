@@ -34,7 +34,7 @@ def strip_phones(df: DataFrame, text: str = "text") -> DataFrame:
                     F.regexp_extract_all(F.col(text), F.lit(f"({SPLIT_PHONE})"), F.lit(1)),
                     F.regexp_extract_all(F.col("_once"), F.lit(f"({PHONE})"), F.lit(1)),
                 ),
-                F.trim,
+                lambda p: F.trim(p),
             ),
         )
         .withColumn("without_phones", X.squeeze(F.regexp_replace("_once", PHONE, " ")))

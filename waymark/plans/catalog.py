@@ -5,6 +5,7 @@ import importlib
 MODULES = (
     "jobs_gazetteer",
     "jobs_parse",
+    "jobs_retrieval",
 )
 
 
