@@ -11,12 +11,12 @@ from waymark.functions import tables
 from waymark.functions import text as X
 from waymark.operators import gazetteer as G
 from waymark.operators import parse as P
-from waymark.operators.skew import salted_join
+from waymark.operators.skew import each, salted_join
 from waymark.sources.warehouse import staged
 
 
 def explode_pincodes(df: DataFrame, key: str, tokens: str = "pincode_candidates") -> DataFrame:
-    return df.select(key, F.posexplode(tokens).alias("pos", "pincode"))
+    return each(df, [key], F.col(tokens), "pincode", position="pos")
 
 
 def resolve_pincode(df: DataFrame, gazetteer: DataFrame, key: str, tokens: str = "pincode_candidates") -> DataFrame:
@@ -54,8 +54,9 @@ def locality_agreement(df: DataFrame, localities: DataFrame, key: str, text: str
     names = localities.select("pincode", F.lower("locality").alias("name")).withColumn(
         "word", G.first_word(F.col("name"))
     )
-    words = df.where(F.col("pincode").isNotNull()).select(
-        key, "pincode", text, F.explode(F.array_distinct(X.word_tokens(F.col(text)))).alias("word")
+    words = each(
+        df.where(F.col("pincode").isNotNull()),
+        [key, "pincode", text], F.array_distinct(X.word_tokens(F.col(text))), "word",
     )
     found = (
         salted_join(words, names.where(F.length("name") >= 4), ["pincode", "word"], [key, "word"], "inner")
@@ -84,7 +85,7 @@ def find_city_exact(df: DataFrame, cities: DataFrame, key: str, text: str = "cle
     wanted = cities.where(
         (F.length("city_key") >= 4) & ~F.col("city_key").isin(*tables.COMPASS_DISTRICTS)
     ).withColumn("word", G.first_word(F.col("city_key")))
-    words = df.select(key, text, F.explode(F.array_distinct(X.word_tokens(F.col(text)))).alias("word"))
+    words = each(df, [key, text], F.array_distinct(X.word_tokens(F.col(text))), "word")
     return (
         salted_join(words, wanted, ["word"], [key, "word"], "inner")
         .where(X.contains_phrase(F.lower(text), F.col("city_key")))
@@ -155,14 +156,16 @@ def find_city_fuzzy(
     and nearly in place. So an equality join on parts finds every possible
     pair, and the exact ratio runs on those only.
     """
-    parts = cities.select("city", "city_key", F.inline(_name_parts(F.col("city_key"), cutoff)))
+    parts = each(
+        cities, ["city", "city_key"], _name_parts(F.col("city_key"), cutoff), "length", "piece", "part"
+    )
     spelled = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{5,})"), F.lit(1))
-    mentions = df.select(key, F.posexplode(spelled).alias("pos", "word")).where(
+    mentions = each(df, [key], spelled, "word", position="pos").where(
         ~F.col("word").isin(*tables.NOT_A_CITY)
     )
     words = mentions.select("word").distinct()
     best = (
-        words.select("word", F.inline(_word_parts(F.col("word"), cutoff)))
+        each(words, ["word"], _word_parts(F.col("word"), cutoff), "length", "piece", "part")
         .join(parts, ["length", "piece", "part"])
         .select("word", "city", "city_key")
         .distinct()
@@ -182,8 +185,8 @@ def find_city_fuzzy(
 
 def with_landmarks(df: DataFrame, localities: DataFrame, key: str) -> DataFrame:
     """Final landmarks: phrases without the names of the address's own places."""
-    suffixes = df.where(F.col("pincode").isNotNull()).select(
-        key, "pincode", F.explode(P.place_suffixes(F.col("phrases"))).alias("name")
+    suffixes = each(
+        df.where(F.col("pincode").isNotNull()), [key, "pincode"], P.place_suffixes(F.col("phrases")), "name"
     )
     names = localities.select("pincode", F.lower("locality").alias("name")).distinct().withColumn("_hit", F.lit(True))
     # a handful per address: three suffixes per phrase at most

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions import text as X
-from waymark.operators.skew import SALTS
+from waymark.operators.skew import SALTS, each
 
 # BM25, fusion and matching constants.
 K1, B = 1.2, 0.75
@@ -27,11 +27,10 @@ SCORE_PLACES = 9
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, term, tf, doc_len) of every document that has a term."""
+    # counted before the explode, so that no row carries or reads the whole text again
+    counted = docs.select(doc, X.tokens(F.col(text)).alias("_terms")).withColumn("doc_len", F.size("_terms"))
     return (
-        docs.select(doc, X.tokens(F.col(text)).alias("_terms"))
-        # counted before the explode, so that no row carries or reads the whole text again
-        .select(doc, "_terms", F.size("_terms").alias("doc_len"))
-        .select(doc, "doc_len", F.explode("_terms").alias("term"))
+        each(counted, [doc, "doc_len"], F.col("_terms"), "term")
         .groupBy(doc, "term")
         .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     )
@@ -69,7 +68,7 @@ def impacts(post: DataFrame, stats: DataFrame, doc: str) -> DataFrame:
 def query_terms(queries: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, term, qtf): repeated query words count again."""
     return (
-        queries.select(*keys, F.explode(X.tokens(F.col(text))).alias("term"))
+        each(queries, keys, X.tokens(F.col(text)), "term")
         .groupBy(*keys, "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -119,7 +118,7 @@ def gram_sign(gram: Column) -> Column:
 def embed_trigrams(docs: DataFrame, doc: str, text: str, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Unit vectors in long form, (doc, bucket, w); texts of any length."""
     gram = F.col("gram")
-    counted = docs.select(doc, F.explode(X.trigrams(F.col(text))).alias("gram")).groupBy(doc, "gram").agg(
+    counted = each(docs, [doc], X.trigrams(F.col(text)), "gram").groupBy(doc, "gram").agg(
         F.count("*").alias("c")
     )
     raw = (
@@ -308,8 +307,10 @@ def hybrid_retrieve(
         "query_id", F.lit("bm25").alias("signal"), "landmark_id", "rank"
     )
     if use_vector:
-        parts = with_name_vector(asked, "query_text").select("query_id", "centre_id", F.inline("vector")).withColumnRenamed("w", "qw")
-        doc_parts = landmarks.select("landmark_id", F.inline("vector")).withColumnRenamed("w", "dw")
+        parts = each(
+            with_name_vector(asked, "query_text"), ["query_id", "centre_id"], F.col("vector"), "bucket", "w"
+        ).withColumnRenamed("w", "qw")
+        doc_parts = each(landmarks, ["landmark_id"], F.col("vector"), "bucket", "w").withColumnRenamed("w", "dw")
         similar = score_terms(
             parts, within(doc_parts, ["bucket", "landmark_id", "dw"]), ["query_id"], ["centre_id", "bucket"], "landmark_id"
         )
@@ -408,9 +409,8 @@ def greedy_match(pairs: DataFrame, key: str, minimum: float = MIN_AFFINITY) -> D
         )
         return F.when(free, F.concat(chosen, F.array(pair))).otherwise(chosen)
 
-    return gathered.select(key, F.inline(F.aggregate("_pairs", empty, take))).select(
-        key, "phrase_pos", "landmark_id", (-F.col("minus")).alias("affinity")
-    )
+    taken = each(gathered, [key], F.aggregate("_pairs", empty, take), "minus", "phrase_pos", "landmark_id")
+    return taken.select(key, "phrase_pos", "landmark_id", (-F.col("minus")).alias("affinity"))
 
 
 def match_score(rrf_score: Column, top_rrf: Column, top_score: Column, affinity: Column) -> Column:

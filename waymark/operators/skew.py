@@ -6,6 +6,22 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def each(df: DataFrame, keep: list[str], array: Column, *names: str, position: str | None = None) -> DataFrame:
+    """One row per element of an array expression.
+
+    A plain explode makes the optimizer copy the whole expression into a
+    "not empty" filter below it and compute it twice, nested lambdas and all;
+    the outer form with a filter on its output computes it once.
+    """
+    if position:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, "_e")).where(F.col(position).isNotNull())
+    else:
+        rows = df.select(*keep, F.explode_outer(array).alias("_e")).where(F.col("_e").isNotNull())
+    if len(names) == 1:
+        return rows.withColumnRenamed("_e", names[0])
+    return rows.select(*keep, *([position] if position else []), *[F.col(f"_e.{n}").alias(n) for n in names])
+
+
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,

@@ -13,7 +13,7 @@ from waymark.operators import lookups as L
 from waymark.operators import normalise as N
 from waymark.operators import placing, retrieval as R, scoring as S
 from waymark.operators import parse as P
-from waymark.operators.skew import salted_join
+from waymark.operators.skew import each, salted_join
 from waymark.sources.warehouse import staged
 
 CONFIGS = ("A", "R1", "R2")
@@ -43,8 +43,8 @@ def match_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Everything gathered per query is bounded by the per-signal ranking.
     """
-    phrases = queries.select(
-        "query_id", F.posexplode(F.transform("landmarks", lambda l: l["name"])).alias("phrase_pos", "phrase")
+    phrases = each(
+        queries, ["query_id"], F.transform("landmarks", lambda l: l["name"]), "phrase", position="phrase_pos"
     ).unionByName(
         queries.where(F.col("locality").isNotNull()).select(
             "query_id", F.lit(-1).alias("phrase_pos"), F.col("locality").alias("phrase")

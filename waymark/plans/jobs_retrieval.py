@@ -7,6 +7,7 @@ from waymark.operators import decide as D
 from waymark.operators import placing
 from waymark.operators import retrieval as R
 from waymark.operators import scoring as S
+from waymark.operators.skew import each
 from waymark.plans import chain, sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
@@ -154,7 +155,7 @@ def embed_names(spark, sf):
     """The in-row form, with a repeated spelling that must not count twice."""
     docs = Warehouse(spark, sf).table("landmarks").withColumn("aliases", F.array(F.upper("canonical_name")))
     docs = docs.withColumn("t", R.embedding_text(F.col("canonical_name"), F.col("aliases")))
-    return R.with_name_vector(docs, "t").select("landmark_id", F.inline("vector")).select(
+    return each(R.with_name_vector(docs, "t"), ["landmark_id"], F.col("vector"), "bucket", "w").select(
         "landmark_id", "bucket", F.round("w", 6).alias("w")
     )
 
@@ -235,8 +236,8 @@ def pairs(w):
     """Affinities of every phrase, with its candidate."""
     asked = w.table("asked")
     queries = asked.groupBy("query_id").agg(F.first("landmarks").alias("landmarks"), F.first("locality").alias("locality"))
-    phrases = queries.select(
-        "query_id", F.posexplode(F.transform("landmarks", lambda l: l["name"])).alias("phrase_pos", "phrase")
+    phrases = each(
+        queries, ["query_id"], F.transform("landmarks", lambda l: l["name"]), "phrase", position="phrase_pos"
     ).unionByName(
         queries.where(F.col("locality").isNotNull()).select("query_id", F.lit(-1).alias("phrase_pos"), F.col("locality").alias("phrase"))
     )
