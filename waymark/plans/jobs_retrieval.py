@@ -316,7 +316,72 @@ def find_ambiguity(spark, sf):
     )
 
 
-@job("resolve_rules_only", "EV10 DC2 DC4")
+def calibrated(raw):
+    """Piecewise-linear map of the stored knots."""
+    from waymark.functions.tables import CALIBRATION_KNOTS as K
+
+    parts = [f"when {raw} <= {K[0][0]}E0 then {K[0][1]}E0", f"when {raw} >= {K[-1][0]}E0 then {K[-1][1]}E0"]
+    for (x0, y0), (x1, y1) in zip(K, K[1:]):
+        parts.append(f"when {raw} <= {x1}E0 then {y0}E0 + ({raw} - {x0}E0)/({x1}E0 - {x0}E0)*({y1}E0 - {y0}E0)")
+    return f"case {' '.join(parts)} end"
+
+
+def outcome(features, lat, lng, source, accuracy, anchor, rival, raw_from):
+    return f"""
+    scored as (select *, {features} as raw from {raw_from}),
+    final as (select *, {calibrated('raw')} as conf, {rival} as has_rival from scored)
+    select order_id, case when has_rival then 'AMBIGUOUS' when conf >= 0.8 then 'RESOLVED' else 'NEEDS_INFO' end as status,
+      round(conf,6) as confidence, round(raw,6) as raw_confidence, building, locality, city, district, state, pincode,
+      {sql.cell(lat, lng)} as digipin, {anchor} as anchor_id, {source} as geo_source, round({lat},6) as lat, round({lng},6) as lng, round({accuracy},1) as accuracy_m,
+      case when not has_rival and conf < 0.8 then case when locality is null then 'locality' when pincode is null then 'pincode' when building is null then 'building' else 'geo_confirm' end end as asked_field,
+      case when has_rival then 2 else 0 end as n_alternatives from final"""
+
+
+CITY_SQL = """cities as (select distinct district as city, lower(district) as k from gaz),
+in_text as (select order_id, max({'n': length(k), 'k': k, 'c': city}).c as city from phone_free join cities
+   on contains(' ' || regexp_replace(clean_text, '[^a-z0-9_]', ' ', 'g') || ' ', ' ' || k || ' ') group by 1)"""
+FIELDS_SQL = f"""fields as (select p.order_id, {sql.unit('p.clean_text')} as building, {sql.title('a.matched_locality')} as locality,
+  case when p.district is not null then p.district else t.city end as city, p.district, p.pincode_state as state, p.pincode, a.locality_agrees,
+  round(p.centroid_lat,6) as centroid_lat, round(p.centroid_lng,6) as centroid_lng, p.office_count
+  from placed p join agreement a using (order_id) left join in_text t using (order_id))"""
+BASE = """(0.22E0*least(1.0E0, (case when building is not null then 0.28E0 else 0 end + case when locality is not null then 0.2E0 else 0 end + case when pincode is not null then 0.18E0 else 0 end
+  + case when city is not null then 0.08E0 else 0 end + case when district is not null then 0.03E0 else 0 end + case when state is not null then 0.03E0 else 0 end))
+  + 0.2E0*(case when locality_agrees then 1.0E0 when not locality_agrees then 0.35E0 else 0.5E0 end) + 0.06E0*0.5E0"""
+CENTROID_ACC = "(1200.0E0 + least(1.0E0, ln(greatest(1,office_count))/ln(30.0E0))*6800.0E0)"
+NO_PIN = "(case when pincode is null then 0.75E0 else 1.0E0 end)"
+
+RULES_SQL = f"""with {sql.AGREEMENT}, {CITY_SQL}, {FIELDS_SQL},""" + outcome(
+    BASE + f" + 0.2E0*(case when centroid_lat is not null then 0.3E0 else 0 end) + 0.08E0) * {NO_PIN}",
+    "centroid_lat", "centroid_lng", "case when centroid_lat is not null then 'pincode_centroid' end",
+    f"case when centroid_lat is not null then {CENTROID_ACC} end", "cast(null as varchar)", "false", "fields",
+)
+
+HYBRID_SQL = f"""with {MATCH_SQL}, {CITY_SQL}, {FIELDS_SQL},
+a1 as (select order_id, landmark_id, any_value(rrf_score) as rrf, any_value(lat) as lat, any_value(lng) as lng, max(affinity) as affinity from aff group by 1, 2),
+r1 as (select *, row_number() over w as rn, first_value(affinity) over w as baff, first_value(lat) over w as blat, first_value(lng) over w as blng
+  from a1 where affinity >= 0.35 window w as (partition by order_id order by affinity desc, rrf desc, landmark_id)),
+rivals as (select distinct order_id from r1 where rn > 1 and round(baff - affinity, 9) <= 0.10 and {sql.haversine('blat','blng','lat','lng')} >= 500),
+b1 as (select order_id, lat as blat, lng as blng, observation_count as best_obs from cand join lm using (landmark_id) where position = 1),
+d1 as (select order_id, count(*) as nc, max(case when position=1 then rrf_score end) - max(case when position=2 then rrf_score end) as gap,
+  max({sql.haversine('blat','blng','l.lat','l.lng')}) as spread, any_value(best_obs) as best_obs from cand join lm l using (landmark_id) join b1 using (order_id) group by 1),
+anchors as (select * from best where pos = -1), firsts as (select * from best where pos = 0),
+joined as (select f.*, k.relation, t.top_score, d.best_obs, d.nc, case when d.nc < 2 then 1.0E0 when d.gap >= 0.05 then 1.0E0 when d.spread <= 500 then 0.8E0 else greatest(0.0E0, d.gap/0.05E0) end as sep,
+  an.landmark_id as anchor_id, coalesce(an.lat, fi.lat) as llat, coalesce(an.lng, fi.lng) as llng, coalesce(an.observation_count, fi.observation_count) as lobs,
+  case when an.landmark_id is null and k.relation in ('behind','opposite') then 40.0E0 else 0.0E0 end as off, rv.order_id is not null as rival
+  from fields f join asked k using (order_id) left join top t using (order_id) left join d1 d using (order_id)
+  left join anchors an using (order_id) left join firsts fi using (order_id) left join rivals rv using (order_id)),
+located as (select *, case when llat is not null then round(case when off <> 0 then llat + off/111320.0E0 else llat end, 6) else centroid_lat end as plat,
+  case when llat is not null then round(llng, 6) else centroid_lng end as plng,
+  case when llat is not null then 60.0E0*(1 + 2.0E0/sqrt(greatest(1,lobs))) + case when anchor_id is not null then 120.0E0 else 0 end + off when centroid_lat is not null then {CENTROID_ACC} end as pacc,
+  case when llat is not null then 'landmark_graph' when centroid_lat is not null then 'pincode_centroid' end as psource from joined),""" + outcome(
+    BASE + f""" + 0.2E0*(case psource when 'landmark_graph' then 1.0E0 when 'pincode_centroid' then 0.3E0 else 0 end)
+      + case when nc > 0 then 0.16E0*top_score + 0.08E0*least(1.0E0, ln(1.0E0+best_obs)/ln(51.0E0)) + 0.08E0*sep else 0.08E0 end)
+      * {NO_PIN} * (case when centroid_lat is null then 0.92E0 else 1.0E0 end)""",
+    "plat", "plng", "psource", "pacc", "anchor_id", "rival", "located",
+)
+
+
+@job("resolve_rules_only", "EV10 DC2 SC1 SC4 SC5 SC6 CA2", RULES_SQL)
 def resolve_rules_only(spark, sf):
     return flat(resolve_config(spark, sf, "A"))
 
@@ -326,11 +391,28 @@ def resolve_lexical(spark, sf):
     return flat(resolve_config(spark, sf, "R1"))
 
 
-@job("resolve_hybrid", "RT12 DC2 DC4 SC4 SC5 SC6 GE10 GE11")
+@job("resolve_hybrid", "RT12 DC2 DC3 SC2 SC4 SC5 SC6 CA2 GE9 GE10 GE11", HYBRID_SQL)
 def resolve_hybrid(spark, sf):
+    """Raw address text to placed, scored and decided resolutions."""
     return flat(resolve_config(spark, sf, "R2"))
 
 
+@job("evidence", "DC4")
+def evidence(spark, sf):
+    w = Warehouse(spark, sf)
+    return w.table("resolutions").select("order_id", "status", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@job(
+    "resolution_invariants", "DQ1 ST4",
+    "select 0 as unasked, 0 as single_option, 0 as cell_without_point, 0 as score_without_match, count(*) as rows from customer",
+)
+def resolution_invariants(spark, sf):
+    from waymark.operators.evaluate import resolution_violations
+
+    return resolution_violations(Warehouse(spark, sf).table("resolutions"))
+
+
 def resolve_config(spark, sf, config):
     w = Warehouse(spark, sf)
     return chain.resolve(view(spark, sf, "address"), w.table("gazetteer"), w.table("localities"), index(w) if config != "A" else None, config)
@@ -353,5 +435,5 @@ def flat(df):
         "building", "locality", "city", "district", "state", "pincode", "digipin", "anchor_id",
         F.col("geo.source").alias("geo_source"), F.round("geo.lat", 6).alias("lat"), F.round("geo.lng", 6).alias("lng"),
         F.round("geo.accuracy_m", 1).alias("accuracy_m"), F.col("clarification.field").alias("asked_field"),
-        F.size("alternatives").alias("n_alternatives"), F.array_join("evidence", "; ").alias("evidence"),
+        F.size("alternatives").alias("n_alternatives"),
     )
