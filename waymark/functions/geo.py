@@ -24,7 +24,8 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     h = F.pow(F.sin((b - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(
         F.sin(F.radians(lng2 - lng1) / 2), F.lit(2.0)
     )
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * F.lit(2 * EARTH_RADIUS_M)
+    # least() skips nulls, so a missing point is kept missing by hand
+    return F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h))) * F.lit(2 * EARTH_RADIUS_M)
 
 
 def in_grid(lat: Column, lng: Column) -> Column:
@@ -103,7 +104,7 @@ def centroid_accuracy_m(office_count: Column) -> Column:
     """1.2 km for one office, 8 km from thirty up, logarithmic between."""
     n = F.greatest(F.lit(1), office_count).cast("double")
     grown = F.least(F.lit(1.0), F.log(n) / F.log(F.lit(30.0)))
-    return F.coalesce(grown * 6_800.0 + 1_200.0, F.lit(8_000.0))
+    return F.when(office_count.isNotNull(), grown * 6_800.0 + 1_200.0).otherwise(8_000.0)
 
 
 def landmark_accuracy_m(observations: Column, relation: Column) -> Column:

@@ -6,6 +6,9 @@ MODULES = (
     "jobs_gazetteer",
     "jobs_parse",
     "jobs_retrieval",
+    "jobs_evaluate",
+    "jobs_orders",
+    "jobs_learn",
 )
 
 

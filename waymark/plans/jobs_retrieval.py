@@ -423,6 +423,11 @@ def _resolutions(w):
     return resolve_config(w.spark, w.sf_dir, "R2")
 
 
+@reference_table("resolutions_lexical")
+def _resolutions_lexical(w):
+    return resolve_config(w.spark, w.sf_dir, "R1")
+
+
 @reference_table("resolutions_rules")
 def _resolutions_rules(w):
     return resolve_config(w.spark, w.sf_dir, "A")

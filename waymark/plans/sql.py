@@ -2,10 +2,11 @@
 
 
 def haversine(lat1, lng1, lat2, lng2):
-    return (
-        f"(2*6371000.0E0*asin(sqrt(least(1.0E0, pow(sin((radians({lat2})-radians({lat1}))/2),2)"
-        f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lng2}-{lng1})/2),2)))))"
+    h = (
+        f"(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
+        f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lng2}-{lng1})/2),2))"
     )
+    return f"(2*6371000.0E0*asin(sqrt(case when {h} > 1 then 1.0E0 else {h} end)))"
 
 
 def cell(lat, lng, level=10):
