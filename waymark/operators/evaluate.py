@@ -307,3 +307,13 @@ def calibrated(df: DataFrame, model, score: str = "score") -> DataFrame:
     if len(knots) <= 64:
         return df.withColumn("calibrated", apply_calibration(F.col(score), knots))
     return model.transform(df.withColumnRenamed(score, "score")).withColumnRenamed("prediction", "calibrated")
+
+
+def label_status_counts(gold: DataFrame) -> DataFrame:
+    """Rows per provenance of their label."""
+    return gold.groupBy("label_status").agg(F.count("*").alias("rows"))
+
+
+def split_overlap(dev: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in both splits; a sound split has none."""
+    return dev.select(key).intersect(test.select(key))

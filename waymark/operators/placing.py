@@ -40,8 +40,8 @@ def rollup_by_cell(df: DataFrame, cell: str, lat: str, lng: str, level: int) ->
         .groupBy(F.substring(cell, 1, level).alias("cell_prefix"))
         .agg(
             F.count("*").alias("points"),
-            F.round(F.avg(lat), 6).alias("lat"),
-            F.round(F.avg(lng), 6).alias("lng"),
+            F.round(F.avg(lat), 9).alias("lat"),
+            F.round(F.avg(lng), 9).alias("lng"),
         )
     )
 

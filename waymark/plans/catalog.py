@@ -9,6 +9,7 @@ MODULES = (
     "jobs_evaluate",
     "jobs_orders",
     "jobs_learn",
+    "jobs_corpus",
 )
 
 

@@ -42,7 +42,7 @@ walk(landmark_id, n, event_id, lat, lng, rlat, rlng, obs, confidence, before_obs
   select landmark_id, cast(0 as bigint), cast(null as bigint), lat, lng, lat, lng, obs, confidence, obs, 0.0E0, false from start
   union all
   select s.landmark_id, e.n, e.event_id,
-    case when {D} > 400 then s.lat else round(s.lat + {ALPHA}*(e.lat - s.lat), 6) end, case when {D} > 400 then s.lng else round(s.lng + {ALPHA}*(e.lng - s.lng), 6) end,
+    case when {D} > 400 then s.lat else cast(printf('%.6f', s.lat + {ALPHA}*(e.lat - s.lat)) as double) end, case when {D} > 400 then s.lng else cast(printf('%.6f', s.lng + {ALPHA}*(e.lng - s.lng)) as double) end,
     case when {D} > 400 then s.rlat else s.lat + {ALPHA}*(e.lat - s.lat) end, case when {D} > 400 then s.rlng else s.lng + {ALPHA}*(e.lng - s.lng) end,
     case when {D} > 400 then s.obs else s.obs + 1 end, case when {D} > 400 then s.confidence else least(0.97E0, s.confidence + 0.05E0) end,
     s.obs, case when {D} > 400 then 0.0E0 else {sql.haversine('s.lat','s.lng',f'(s.lat + {ALPHA}*(e.lat - s.lat))',f'(s.lng + {ALPHA}*(e.lng - s.lng))')} end, {D} > 400
@@ -52,14 +52,14 @@ walk(landmark_id, n, event_id, lat, lng, rlat, rlng, obs, confidence, before_obs
 @job(
     "learning_audit", "SM1 SM2",
     f"""with {FOLD} select event_id, landmark_id, cast(before_obs as integer) as before_observations, cast(obs as integer) as after_observations, round(moved, 3) as moved_m,
-      case when rejected then 'too far' end as rejected, round(lat, 5) as lat, round(lng, 5) as lng from walk where n > 0
+      case when rejected then 'too far' end as rejected, round(lat, 6) as lat, round(lng, 6) as lng from walk where n > 0
     union all select event_id, landmark_id, 0, 0, 0.0, 'landmark not in graph', null, null from ev where landmark_id not in (select landmark_id from start)""",
 )
 def learning_audit(spark, sf):
     audit = L.learning_audit(deliveries(spark, sf), known_landmarks(spark, sf))
     return audit.select(
         "event_id", "landmark_id", "before_observations", "after_observations", F.round("moved_m", 3).alias("moved_m"), "rejected",
-        F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"),
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
     )
 
 
@@ -68,14 +68,14 @@ def learning_audit(spark, sf):
     f"""with {FOLD}, last as (select landmark_id, arg_max(walk, n) as w from walk group by 1),
     accepted as (select w.landmark_id, e.spelling from walk w join ev e on e.landmark_id = w.landmark_id and e.n = w.n where w.n > 0 and not w.rejected),
     al as (select landmark_id, count(distinct spelling) as aliases from accepted group by 1)
-    select l.landmark_id, round(w.lat, 5) as lat, round(w.lng, 5) as lng, cast(w.obs as integer) as observation_count, round(w.confidence, 6) as confidence,
+    select l.landmark_id, round(w.lat, 6) as lat, round(w.lng, 6) as lng, cast(w.obs as integer) as observation_count, round(w.confidence, 6) as confidence,
       coalesce(al.aliases, 0) as aliases, substr({sql.cell('w.rlat','w.rlng')}, 1, 8) as cell8 from last l left join al using (landmark_id)""",
 )
 def learn_landmarks(spark, sf):
     known = known_landmarks(spark, sf)
     audit = staged(L.learning_audit(deliveries(spark, sf), known), "learning_audit")
     return L.learned_landmarks(audit, known).select(
-        "landmark_id", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), "observation_count",
+        "landmark_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "observation_count",
         F.round("confidence", 6).alias("confidence"), F.size("aliases").cast("long").alias("aliases"),
         F.substring("digipin_cell", 1, 8).alias("cell8"),
     )
@@ -308,7 +308,7 @@ def clean_cells(spark, sf):
 
 @job(
     "rollup_by_cell", "GE4",
-    f"with {POINTS}, c as (select substr({sql.cell('lat','lng')},1,6) as cell_prefix, lat, lng from points) select cell_prefix, count(*) as points, round(avg(lat),6) as lat, round(avg(lng),6) as lng from c group by 1",
+    f"with {POINTS}, c as (select substr({sql.cell('lat','lng')},1,6) as cell_prefix, lat, lng from points) select cell_prefix, count(*) as points, round(avg(lat),9) as lat, round(avg(lng),9) as lng from c group by 1",
 )
 def rollup_by_cell(spark, sf):
     return placing.rollup_by_cell(placing.with_grid_cell(view(spark, sf, "delivery"), "lat", "lng"), "cell", "lat", "lng", 6)
@@ -420,13 +420,13 @@ def drained(stream, name, mode="append"):
 
 
 @job("stream_learn_landmarks", "SM1 SM2 SRC6", f"""with {FOLD} select event_id, landmark_id, cast(before_obs as integer) as before_observations, cast(obs as integer) as after_observations,
-      case when rejected then 'too far' end as rejected, round(lat, 5) as lat, round(lng, 5) as lng from walk where n > 0
+      case when rejected then 'too far' end as rejected, round(lat, 6) as lat, round(lng, 6) as lng from walk where n > 0
     union all select event_id, landmark_id, 0, 0, 'landmark not in graph', null, null from ev where landmark_id not in (select landmark_id from start)""")
 def stream_learn_landmarks(spark, sf):
     audit = streams.learn_landmarks(as_stream(deliveries(spark, sf), "deliveries"), known_landmarks(spark, sf))
     return drained(audit, "audit").select(
         "event_id", "landmark_id", "before_observations", "after_observations", "rejected",
-        F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"),
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
     )
 
 
