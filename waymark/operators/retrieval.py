@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions import text as X
-from waymark.operators.skew import SALTS, each
+from waymark.operators.knn import knn_cosine
+from waymark.operators.skew import SALTS, each, salted_join, split_join
+from waymark.sources.warehouse import staged
 
 # BM25, fusion and matching constants.
 K1, B = 1.2, 0.75
@@ -83,13 +85,11 @@ def top_k(scored: DataFrame, keys: list[str], score: str, doc: str, k: int = PER
 def score_terms(terms: DataFrame, weighted: DataFrame, keys: list[str], on: list[str], doc: str) -> DataFrame:
     """Sum of weights over shared terms per (keys, doc).
 
-    ``terms`` has keys, on, qw; ``weighted`` has on, doc, dw. Long posting
-    lists are split over salts by document and the query side repeated.
+    ``terms`` has keys, on, qw; ``weighted`` has on, doc, dw. A common term is
+    common on both sides, so both are split.
     """
-    spread = weighted.withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int"))
-    repeated = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        repeated.join(spread, [*on, "_salt"])
+        split_join(terms, weighted, on, keys[0], doc)
         .groupBy(*keys, doc)
         .agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_PLACES).alias("score"))
         .where(F.col("score") > 0)
@@ -104,6 +104,56 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str =
     return top_k(scored, [query], "score", doc, k)
 
 
+def pruned_top_terms(queries: DataFrame, weighted: DataFrame, query: str, doc: str, k: int = PER_SIGNAL) -> DataFrame:
+    """Best ``k`` documents per query over a whole collection: (query, doc, score, rank).
+
+    ``queries`` has query, term, qw; ``weighted`` has doc, term, dw, all
+    positive. Exact, but posting lists of common terms are only read where
+    they can matter. No document scores more on a term than the term's largest
+    weight. Documents with a query's strongest term give a k-th best score; if
+    the largest weights of some other terms together stay below it, a document
+    that has only those cannot win, and their lists are not read for it.
+    """
+    ceiling = weighted.groupBy("term").agg(F.max("dw").alias("top"))
+    bounded = salted_join(queries, ceiling, ["term"], [query], "inner").withColumn("most", F.col("qw") * F.col("top"))
+    strongest = Window.partitionBy(query).orderBy(F.desc("most"), F.asc("term"))
+    weaker = Window.partitionBy(query).orderBy(F.asc("most"), F.desc("term"))
+    # one query's terms are the words of one address
+    ranked = staged(
+        bounded.withColumn("place", F.row_number().over(strongest)).withColumn("rest", F.sum("most").over(weaker)),
+        "ranked_terms",
+    )
+    asked = ranked.groupBy(query).agg(F.map_from_entries(F.collect_list(F.struct("term", "qw"))).alias("_q"))
+    held = weighted.groupBy(doc).agg(F.collect_list(F.struct("term", "dw")).alias("_d"))
+
+    def scored(terms: DataFrame) -> DataFrame:
+        """Full scores of every document that has one of ``terms``."""
+        found = split_join(terms.select(query, "term"), weighted.select(doc, "term"), ["term"], query, doc)
+        pairs = found.select(query, doc).distinct()
+        dot = F.aggregate(
+            "_d", F.lit(0.0), lambda a, t: a + t["dw"] * F.coalesce(F.element_at("_q", t["term"]), F.lit(0.0))
+        )
+        return pairs.join(asked, query).join(held, doc).select(query, doc, F.round(dot, SCORE_PLACES).alias("score"))
+
+    single = ranked.groupBy(query).agg(F.count("*").alias("_n")).where(F.col("_n") == 1).select(query)
+    # with one term the best documents are the term's own best
+    champions = top_k(weighted, ["term"], "dw", doc, k).select("term", doc, "dw")
+    alone = salted_join(ranked.join(single, query, "left_semi"), champions, ["term"], [query], "inner").select(
+        query, doc, F.round(F.col("qw") * F.col("dw"), SCORE_PLACES).alias("score")
+    )
+    several = ranked.join(single, query, "left_anti")
+    first = staged(top_k(scored(several.where(F.col("place") == 1)), [query], "score", doc, k), "first_terms")
+    kth = first.groupBy(query).agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+    # a term is read if it and everything weaker together reach the k-th score
+    slack = 10.0**-SCORE_PLACES * 10
+    needed = several.join(kth, query, "left").where(
+        (F.col("place") > 1) & ((F.coalesce("found", F.lit(0)) < k) | (F.col("rest") >= F.col("kth") - slack))
+    )
+    more = scored(needed)
+    every = first.drop("rank").unionByName(more).groupBy(query, doc).agg(F.max("score").alias("score"))
+    return top_k(every.unionByName(alone).where(F.col("score") > 0), [query], "score", doc, k)
+
+
 # --- vectors ---------------------------------------------------------------
 
 
@@ -280,7 +330,8 @@ def hybrid_retrieve(
 
     queries: query_id, query_text, centre_id, centre_lat, centre_lng, radius_m;
     a null centre_id searches everywhere. Candidates of a centre are found once
-    per distinct centre, not once per query. Returns query_id, landmark_id,
+    per distinct centre, not once per query; searches without a centre prune
+    their posting lists and vectors exactly. Returns query_id, landmark_id,
     rrf_score, signals, n_signals, position, signals_used, distance_m.
     """
     landmarks, weighted = index["landmarks"], index["impacts"]
@@ -290,40 +341,41 @@ def hybrid_retrieve(
     reach = geo_radius_join(centres, landmarks, "landmark_id")
 
     def within(rows: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows per centre, and once more for queries without a centre."""
-        near = reach.select("centre_id", "landmark_id").join(rows, "landmark_id")
-        return near.select("centre_id", *columns).unionByName(
-            rows.withColumn("centre_id", F.lit("everywhere")).select("centre_id", *columns)
-        )
-
-    asked = queries.withColumn("centre_id", F.coalesce("centre_id", F.lit("everywhere")))
-    terms = query_terms(asked, ["query_id", "centre_id"], "query_text").withColumnRenamed("qtf", "qw")
-    lexical = score_terms(
-        terms,
-        within(weighted.withColumnRenamed("impact", "dw"), ["term", "landmark_id", "dw"]),
-        ["query_id"], ["centre_id", "term"], "landmark_id",
+        return reach.select("centre_id", "landmark_id").join(rows, "landmark_id").select("centre_id", *columns)
+
+    here = queries.where(F.col("centre_id").isNotNull())
+    anywhere = queries.where(F.col("centre_id").isNull())
+    weights = weighted.withColumnRenamed("impact", "dw")
+    near_terms = query_terms(here, ["query_id", "centre_id"], "query_text").withColumnRenamed("qtf", "qw")
+    near = score_terms(
+        near_terms, within(weights, ["term", "landmark_id", "dw"]), ["query_id"], ["centre_id", "term"], "landmark_id"
     )
-    rankings = top_k(lexical, ["query_id"], "score", "landmark_id").select(
-        "query_id", F.lit("bm25").alias("signal"), "landmark_id", "rank"
+    far_terms = query_terms(anywhere, ["query_id"], "query_text").withColumnRenamed("qtf", "qw")
+    ranked = ["query_id", "landmark_id", "rank"]
+    lexical = top_k(near, ["query_id"], "score", "landmark_id").select(*ranked).unionByName(
+        pruned_top_terms(far_terms, weights, "query_id", "landmark_id").select(*ranked)
     )
+    rankings = lexical.withColumn("signal", F.lit("bm25"))
     if use_vector:
         parts = each(
-            with_name_vector(asked, "query_text"), ["query_id", "centre_id"], F.col("vector"), "bucket", "w"
+            with_name_vector(here, "query_text"), ["query_id", "centre_id"], F.col("vector"), "bucket", "w"
         ).withColumnRenamed("w", "qw")
         doc_parts = each(landmarks, ["landmark_id"], F.col("vector"), "bucket", "w").withColumnRenamed("w", "dw")
         similar = score_terms(
             parts, within(doc_parts, ["bucket", "landmark_id", "dw"]), ["query_id"], ["centre_id", "bucket"], "landmark_id"
         )
-        rankings = rankings.unionByName(
-            top_k(similar, ["query_id"], "score", "landmark_id").select(
-                "query_id", F.lit("knn").alias("signal"), "landmark_id", "rank"
-            )
+        everywhere = knn_cosine(
+            with_name_vector(anywhere, "query_text").select("query_id", "vector"),
+            landmarks.select("landmark_id", "vector"),
+            PER_SIGNAL, "query_id", "landmark_id", "vector", EMBEDDING_DIM,
         )
+        vectors = top_k(similar, ["query_id"], "score", "landmark_id").select(*ranked).unionByName(everywhere.select(*ranked))
+        rankings = rankings.unionByName(vectors.withColumn("signal", F.lit("knn")))
     if use_geo:
         nearest = geo_rank(reach).select("centre_id", "landmark_id", "rank")
         by_centre = queries.where(F.col("centre_id").isNotNull() & (F.trim("query_text") != "")).select("query_id", "centre_id")
         rankings = rankings.unionByName(
-            by_centre.join(nearest, "centre_id").select(
+            salted_join(by_centre, nearest, ["centre_id"], ["query_id"], "inner").select(
                 "query_id", F.lit("geo").alias("signal"), "landmark_id", "rank"
             )
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, tables
 from waymark.functions.text import literal_map
+from waymark.operators.skew import salted_join
 
 # Search squares from fine to coarse, in degrees. A point that has enough
 # neighbours within one square's width is settled there, so dense areas are
@@ -90,8 +91,7 @@ def nearby_landmarks(
     own = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("own_name", "city", "district", "state")])
     order = Window.partitionBy("line_no").orderBy("distance_m", "place_key")
     return (
-        offices.withColumnRenamed("name", "own_name")
-        .join(around, ["lat", "lng"])
+        salted_join(offices.withColumnRenamed("name", "own_name"), around, ["lat", "lng"], ["line_no"], "inner")
         .where(~F.array_contains(own, F.col("place_key")))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= limit)

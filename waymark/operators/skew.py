@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+SPLIT = 4
 
 
 def each(df: DataFrame, keep: list[str], array: Column, *names: str, position: str | None = None) -> DataFrame:
@@ -44,6 +45,22 @@ def salted_join(
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], left_row: str, right_row: str, split: int = SPLIT) -> DataFrame:
+    """Inner join of two sides that may both have many rows of one key.
+
+    Each side is cut into ``split`` parts by its row and repeated for the
+    other side's parts, so one key's rows meet in ``split`` squared tasks.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(split - 1)))
+
+    def part(row):
+        return F.pmod(F.xxhash64(row), F.lit(split)).cast("int")
+
+    a = left.withColumn("_l", part(left_row)).withColumn("_r", every)
+    b = right.withColumn("_r", part(right_row)).withColumn("_l", every)
+    return a.join(b, [*keys, "_l", "_r"]).drop("_l", "_r")
+
+
 def grouped_order_stats(
     df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], width: float
 ) -> DataFrame:

@@ -188,8 +188,11 @@ def resolve_texts(
         {c: F.lit(None).cast("double") for c in ("hint_lat", "hint_lng") if c not in parsed.columns}
     )
     asked = staged(retrieval_queries(parsed), "asked")
-    queries = asked.groupBy("query_id").agg(
-        *[F.first(c).alias(c) for c in ("query_text", "centre_id", "centre_lat", "centre_lng", "radius_m", "landmarks", "locality")]
+    queries = staged(
+        asked.groupBy("query_id").agg(
+            *[F.first(c).alias(c) for c in ("query_text", "centre_id", "centre_lat", "centre_lng", "radius_m", "landmarks", "locality")]
+        ),
+        "searches",
     )
     hybrid = config == "R2"
     candidates = staged(R.hybrid_retrieve(queries, index, use_vector=hybrid, use_geo=hybrid), "candidates")

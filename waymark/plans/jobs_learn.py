@@ -11,7 +11,7 @@ from waymark.operators import orders as O
 from waymark.operators import placing
 from waymark.plans import sql
 from waymark.plans.jobs_orders import METRIC_SQL, RATE_COLUMNS, both, derived, driver, requests
-from waymark.plans.jobs_retrieval import AFFINITY_SQL
+from waymark.plans.jobs_retrieval import AFFINITY_SQL, per_order
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
 from waymark.sources.warehouse import Warehouse, shared_dir, staged
@@ -229,7 +229,7 @@ def known_matches(spark, sf):
     w = Warehouse(spark, sf)
     strong = w.table("pairs").where(F.col("affinity") >= 0.35).groupBy("query_id", "landmark_id").agg(F.max("affinity").alias("affinity"))
     walk = ordered(spark, sf).select("order_id", "ord")
-    matches = w.table("asked").select("order_id", "query_id").join(strong, "query_id").join(walk, "order_id")
+    matches = per_order(w, strong).join(walk, "order_id")
     return H.known_before(matches, first_seen(spark, sf))
 
 

@@ -7,11 +7,11 @@ from waymark.operators import decide as D
 from waymark.operators import placing
 from waymark.operators import retrieval as R
 from waymark.operators import scoring as S
-from waymark.operators.skew import each
+from waymark.operators.skew import each, salted_join
 from waymark.plans import chain, sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table
+from waymark.sources.warehouse import Warehouse, reference_table, staged
 
 
 def offices(spark, sf):
@@ -54,7 +54,12 @@ def _candidates(w):
     queries = asked.groupBy("query_id").agg(
         *[F.first(c).alias(c) for c in ("query_text", "centre_id", "centre_lat", "centre_lng", "radius_m")]
     )
-    return R.hybrid_retrieve(queries, index(w))
+    return R.hybrid_retrieve(staged(queries, "searches"), index(w))
+
+
+def per_order(w, rows):
+    """Rows of each search, for every order that asked it."""
+    return salted_join(w.table("asked").select("order_id", "query_id"), rows, ["query_id"], ["order_id"], "inner")
 
 
 LANDMARK_SQL = "lm as (select lpad(cast(office_id as varchar),12,'0') as landmark_id, office_name as name, lat, lng, observation_count, pincode from office where lat is not null)"
@@ -182,7 +187,7 @@ def geo_rank(spark, sf):
     asked = w.table("asked").where(F.col("centre_id").isNotNull())
     centres = asked.select("centre_id", "centre_lat", "centre_lng", "radius_m").distinct()
     ranked = R.geo_rank(R.geo_radius_join(centres, w.table("landmarks"), "landmark_id"))
-    return asked.select("order_id", "centre_id").join(ranked, "centre_id").select(
+    return salted_join(asked.select("order_id", "centre_id"), ranked, ["centre_id"], ["order_id"], "inner").select(
         "order_id", "landmark_id", F.round("score", 6).alias("score"), "rank"
     )
 
@@ -209,7 +214,7 @@ def hybrid_retrieve(spark, sf):
     signals = F.array_join(
         F.transform(F.array_sort(F.map_entries("signals")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","
     )
-    return w.table("asked").select("order_id", "query_id").join(w.table("candidates"), "query_id").select(
+    return per_order(w, w.table("candidates")).select(
         "order_id", "landmark_id", F.round("rrf_score", 9).alias("rrf_score"), "n_signals", signals.alias("signals"), "position",
         F.round(R.normalise_rrf(F.col("rrf_score"), F.col("signals_used")), 6).alias("normalised"),
     )
@@ -218,8 +223,8 @@ def hybrid_retrieve(spark, sf):
 @job("candidates_to_model", "RT16", f"with {RANK_SQL} select order_id, landmark_id, cast(position as integer) as position from cand where position <= 8")
 def candidates_to_model(spark, sf):
     w = Warehouse(spark, sf)
-    return w.table("asked").select("order_id", "query_id").join(
-        w.table("candidates").where(F.col("position") <= 8).select("query_id", "landmark_id", "position"), "query_id"
+    return per_order(
+        w, w.table("candidates").where(F.col("position") <= 8).select("query_id", "landmark_id", "position")
     ).drop("query_id")
 
 
@@ -252,7 +257,7 @@ def _pairs(w):
 @job("name_affinity", "RT13", f"with {AFFINITY_SQL} select order_id, pos, landmark_id, round(affinity, 6) as affinity from aff")
 def name_affinity(spark, sf):
     w = Warehouse(spark, sf)
-    return w.table("asked").select("order_id", "query_id").join(pairs(w), "query_id").select(
+    return per_order(w, pairs(w)).select(
         "order_id", F.col("phrase_pos").alias("pos"), "landmark_id", F.round("affinity", 6).alias("affinity")
     )
 
@@ -277,7 +282,7 @@ def greedy_match(spark, sf):
     )
     taken = R.greedy_match(p.where("phrase_pos >= 0"), "query_id").unionByName(R.greedy_match(p.where("phrase_pos < 0"), "query_id"))
     matched = taken.join(scores, ["query_id", "landmark_id"]).join(top, "query_id")
-    return w.table("asked").select("order_id", "query_id").join(matched, "query_id").select(
+    return per_order(w, matched).select(
         "order_id", F.col("phrase_pos").alias("pos"), "landmark_id", F.round("affinity", 6).alias("affinity"),
         F.round(R.match_score(F.col("rrf_score"), F.col("top_rrf"), F.col("top_score"), F.col("affinity")), 4).alias("match_score"),
     )
@@ -293,7 +298,7 @@ def greedy_match(spark, sf):
 def candidate_separation(spark, sf):
     w = Warehouse(spark, sf)
     sep = S.candidate_separation(w.table("candidates"), "query_id")
-    return w.table("asked").select("order_id", "query_id").join(sep, "query_id").select(
+    return per_order(w, sep).select(
         "order_id", "n_candidates", F.round("spread_m", 1).alias("spread_m"), F.round("separation", 6).alias("separation")
     )
 
@@ -311,7 +316,7 @@ def find_ambiguity(spark, sf):
     c = w.table("pairs").groupBy("query_id", "landmark_id").agg(
         F.max("affinity").alias("affinity"), F.first("rrf_score").alias("rrf_score"), F.first("lat").alias("lat"), F.first("lng").alias("lng")
     )
-    return w.table("asked").select("order_id", "query_id").join(D.find_ambiguity(c, "query_id"), "query_id").select(
+    return per_order(w, D.find_ambiguity(c, "query_id")).select(
         "order_id", F.col("best.landmark_id").alias("best_id"), F.col("rival.landmark_id").alias("rival_id")
     )
 

@@ -60,19 +60,19 @@ def read_localities(spark: SparkSession, path: str, partitions: int = 8) -> Data
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, allow_unknown: bool = False) -> DataFrame:
-    """JSON lines with a given schema; a broken row or an unknown field fails the read."""
-    if not allow_unknown:
-        known = [f.name for f in T.StructType.fromDDL(schema).fields]
-        extra = (
-            spark.read.text(path)
-            .where(F.trim("value") != "")
-            .select(F.json_object_keys("value").alias("keys"))
-            .where(F.size(F.array_except("keys", F.array(*[F.lit(k) for k in known]))) > 0)
-        )
-        unknown = extra.select(F.array_join("keys", ",")).take(1)
-        if unknown:
-            raise ValueError(f"unknown fields in {path}: {unknown[0][0]}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines with a given schema; a broken row or an unknown field fails the read.
+
+    Spark ignores unknown fields, so each line's keys are compared in the same
+    pass that parses it.
+    """
+    if allow_unknown:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    known = F.array(*[F.lit(f.name) for f in T.StructType.fromDDL(schema).fields])
+    extra = F.array_except(F.json_object_keys("value"), known)
+    row = F.when(
+        F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", ")))
+    ).otherwise(F.from_json("value", schema, {"mode": "FAILFAST"}))
+    return spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select("r.*")
 
 
 def read_small_map(spark: SparkSession, path: str) -> dict:
