@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import tables
 from waymark.operators.retrieval import with_name_vector
-from waymark.operators.skew import each, grouped_order_stats, salted_join
+from waymark.operators.skew import each, grouped_order_stats, salted_join, split_join
+from waymark.sources.warehouse import staged
 
 NEAR_DUPLICATE_COSINE = 0.97
 
@@ -91,7 +92,7 @@ def near_duplicate_join(
     rarest components for that, pairs come from an equality join on few and
     rare values, and only those are compared in full. The bound is exact.
     """
-    vectors = with_name_vector(texts, text)
+    vectors = staged(with_name_vector(texts, text).select(doc, block, "vector"), "near_vectors")
     parts = each(vectors, [doc, block], F.col("vector"), "bucket", "w")
     frequency = parts.groupBy("bucket").agg(F.count("*").alias("df"))
     rare_last = Window.partitionBy(doc).orderBy(F.desc("df"), F.desc("bucket"))
@@ -104,7 +105,8 @@ def near_duplicate_join(
     )
     left = prefix.select(F.col(doc).alias("a"), block, "bucket")
     right = prefix.select(F.col(doc).alias("b"), block, "bucket")
-    pairs = left.join(right, [block, "bucket"]).where(F.col("b") < F.col("a")).select("a", "b").distinct()
+    shared = split_join(left, right, [block, "bucket"], "a", "b")
+    pairs = shared.where(F.col("b") < F.col("a")).select("a", "b").distinct()
     va = vectors.select(F.col(doc).alias("a"), F.col("vector").alias("va"))
     vb = vectors.select(F.col(doc).alias("b"), F.map_from_entries("vector").alias("vb"))
     dot = F.aggregate(

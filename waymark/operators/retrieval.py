@@ -423,13 +423,9 @@ def token_overlap(phrase: Column, names: Column) -> Column:
 
 
 def sparse_cosine(a: Column, b: Column) -> Column:
-    """Dot product of two unit vectors given as arrays of (bucket, w)."""
+    """Dot product of two unit vectors, an array of (bucket, w) and a map of bucket to w."""
     dot = F.aggregate(
-        a,
-        F.lit(0.0),
-        lambda acc, x: acc
-        + x["w"]
-        * F.aggregate(F.filter(b, lambda y: y["bucket"] == x["bucket"]), F.lit(0.0), lambda s, y: s + y["w"]),
+        a, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at(b, x["bucket"]), F.lit(0.0))
     )
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
 
@@ -476,9 +472,14 @@ def phrase_pairs(candidates: DataFrame, phrases: DataFrame) -> DataFrame:
     by the per-signal ranking, so this is a few dozen pairs per phrase.
     """
     named = with_name_vector(phrases, "phrase", "phrase_vector")
-    return candidates.join(named, "query_id").withColumn(
-        "affinity",
-        name_affinity(
-            F.col("phrase"), F.col("phrase_vector"), F.concat(F.array("canonical_name"), "aliases"), F.col("vector")
-        ),
+    return (
+        candidates.withColumn("_map", F.map_from_entries("vector"))
+        .join(named, "query_id")
+        .withColumn(
+            "affinity",
+            name_affinity(
+                F.col("phrase"), F.col("phrase_vector"), F.concat(F.array("canonical_name"), "aliases"), F.col("_map")
+            ),
+        )
+        .drop("_map")
     )

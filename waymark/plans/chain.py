@@ -14,7 +14,7 @@ from waymark.operators import normalise as N
 from waymark.operators import placing, retrieval as R, scoring as S
 from waymark.operators import parse as P
 from waymark.operators.skew import each, salted_join
-from waymark.sources.warehouse import staged
+from waymark.sources.warehouse import staged, widened
 
 CONFIGS = ("A", "R1", "R2")
 
@@ -208,7 +208,7 @@ def resolve(
 ) -> DataFrame:
     """Resolutions of (order_id, raw). Equal addresses are resolved once."""
     normal = staged(
-        N.normalise_addresses(requests.select("order_id", "raw")).select(
+        N.normalise_addresses(widened(requests.select("order_id", "raw"))).select(
             "order_id", "cache_key", "text", "retrieval_text", "scripts"
         ),
         "normal",

@@ -1,7 +1,5 @@
 """Jobs over test corpora, stored model responses, dense vectors and files."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from waymark.functions import tables
@@ -14,14 +12,14 @@ from waymark.plans.jobs_gazetteer import SEEDS
 from waymark.plans.registry import job
 from waymark.sources import files
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table, shared_dir
+from waymark.sources.warehouse import Warehouse, reference_table, scratch, widened
 
 VARIANTS = 6
 
 
 @reference_table("corpus")
 def _corpus(w):
-    return C.perturb(w.table("seeds").select("seed_id", "raw", "city", "pincode", "lat", "lng"), VARIANTS)
+    return C.perturb(widened(w.table("seeds").select("seed_id", "raw", "city", "pincode", "lat", "lng")), VARIANTS)
 
 
 def corpus(spark, sf):
@@ -44,7 +42,7 @@ INDEPENDENT = ("add_unit", "drop_pincode", "drop_city", "inject_phone", "append_
       case when variant = 0 then raw end as clean_text, add_unit as has_building, inject_phone as has_phone from rolled""",
 )
 def perturb(spark, sf):
-    rows = C.perturb(Warehouse(spark, sf).table("seeds").select("seed_id", "raw", "city", "pincode"), VARIANTS)
+    rows = C.perturb(widened(Warehouse(spark, sf).table("seeds").select("seed_id", "raw", "city", "pincode")), VARIANTS)
     return rows.select(
         "address_id", "variant", *[F.array_contains("perturbations", x).alias(x) for x in INDEPENDENT],
         F.when(F.col("variant") == 0, F.col("raw")).alias("clean_text"), F.col("building").isNotNull().alias("has_building"),
@@ -191,10 +189,6 @@ def knn_embeddings(spark, sf):
 # --- files ----------------------------------------------------------------------
 
 
-def scratch(spark, name):
-    return f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
-
-
 @job(
     "directory_round_trip", "SRC1 SRC2 SRC3 SNK1",
     f"""with {sql.OFFICE_ROWS} select pincode, coalesce((min({{'r': type_rank, 'n': name}}) filter (where name <> '')).n, '') as locality,

@@ -1,7 +1,5 @@
 """Jobs over histories and streams: learning, caches, timeouts, the learning curve."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
@@ -14,7 +12,7 @@ from waymark.plans.jobs_orders import METRIC_SQL, RATE_COLUMNS, both, derived, d
 from waymark.plans.jobs_retrieval import AFFINITY_SQL, per_order
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, shared_dir, staged
+from waymark.sources.warehouse import Warehouse, scratch, staged, widened
 from waymark.streaming import jobs as streams
 
 
@@ -182,7 +180,7 @@ def near_duplicate_join(spark, sf):
     again = base.where(F.col("order_id") % 3 == 0).select(
         (F.col("order_id") + 1000000).alias("order_id"), F.concat("text", F.lit(" a")).alias("text"), "pincode"
     )
-    texts = staged(base.unionByName(again).withColumnRenamed("order_id", "doc"), "near_texts")
+    texts = widened(base).unionByName(widened(again)).withColumnRenamed("order_id", "doc")
     return H.near_duplicate_join(texts, "doc", "pincode").select("doc", "other", F.round("cosine", 6).alias("cosine"))
 
 
@@ -402,15 +400,15 @@ def apply_answers(spark, sf):
 def as_stream(df, name):
     """The rows of a job's input written as files and read back as a stream."""
     spark = df.sparkSession
-    written = staged(df, name)
-    path = written.inputFiles()[0].rsplit("/", 1)[0]
+    path = scratch(spark, name)
+    df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
 def drained(stream, name, mode="append"):
     """Run a stream over what is there and read what it wrote."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
+    root = scratch(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
@@ -474,6 +472,6 @@ def stream_upsert_sink(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("order_id"), "o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")
     )
-    root = f"{shared_dir(spark)}/waymark/orders-{uuid.uuid4().hex}"
+    root = scratch(spark, "orders")
     streams.upsert_sink(as_stream(rows, "order_changes"), f"{root}/out", "order_id", ["o_orderdate", "o_orderkey"], f"{root}/state").awaitTermination()
     return streams.latest_snapshot(spark, f"{root}/out").select("order_id", "status", "price")

@@ -12,7 +12,7 @@ from waymark.operators import placing
 from waymark.plans import sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table
+from waymark.sources.warehouse import Warehouse, reference_table, widened
 
 
 def offices_as_rows(spark, sf):
@@ -37,7 +37,7 @@ def _localities(w):
 
 @reference_table("normalised")
 def _normalised(w):
-    return N.normalise_addresses(view(w.spark, w.sf_dir, "address"))
+    return N.normalise_addresses(widened(view(w.spark, w.sf_dir, "address")))
 
 
 @reference_table("parsed_text")
@@ -63,7 +63,7 @@ def wh(spark, sf):
 )
 def place_by_pincode(spark, sf):
     """Address text to its last known pincode, that pincode's centroid and grid cell."""
-    df = N.normalise_addresses(view(spark, sf, "address"))
+    df = N.normalise_addresses(widened(view(spark, sf, "address")))
     df = P.strip_phones(df).withColumn("clean_text", X.strip_chatter(F.col("without_phones")))
     df = df.withColumn("pincode_candidates", P.pincode_tokens(F.col("clean_text")))
     gaz = G.build_gazetteer(offices_as_rows(spark, sf))
@@ -95,7 +95,7 @@ def fold_text(spark, sf):
 )
 def fold_documents(spark, sf):
     found = X.scripts(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return widened(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.md5(X.fold(F.col("text"))).alias("folded_md5"),
         F.array_contains(found, "latin").alias("latin"), F.array_contains(found, "devanagari").alias("devanagari"),
     )
@@ -106,7 +106,7 @@ def fold_documents(spark, sf):
     f"with {sql.NORMALISED} select order_id, folded, text, text as retrieval_text, sha256(text) as cache_key from normal",
 )
 def normalise_addresses(spark, sf):
-    df = N.normalise_addresses(view(spark, sf, "address"))
+    df = N.normalise_addresses(widened(view(spark, sf, "address")))
     return df.select("order_id", "folded", "text", "retrieval_text", "cache_key")
 
 
@@ -121,7 +121,7 @@ def transliterate_addresses(spark, sf):
 
 @job("strip_phones", "PR1", f"with {sql.PHONE_FREE} select order_id, clean_text, n_phones from phone_free")
 def strip_phones(spark, sf):
-    df = P.strip_phones(N.normalise_addresses(view(spark, sf, "address")))
+    df = P.strip_phones(N.normalise_addresses(widened(view(spark, sf, "address"))))
     return df.select(
         "order_id", X.strip_chatter(F.col("without_phones")).alias("clean_text"), F.size("phones").cast("long").alias("n_phones")
     )
@@ -134,7 +134,7 @@ def strip_phones(spark, sf):
       md5({sql.squeeze("replace(marked, chr(1), ' ')")}) as clean_md5 from m""",
 )
 def strip_phones_documents(spark, sf):
-    df = P.strip_phones(table(spark, sf, "documents"))
+    df = P.strip_phones(widened(table(spark, sf, "documents").select("doc_id", "text")))
     return df.select("doc_id", F.size("phones").cast("long").alias("n_phones"), F.md5("without_phones").alias("clean_md5"))
 
 
@@ -362,7 +362,7 @@ def find_city_fuzzy(spark, sf):
 def parse_addresses(spark, sf):
     """The whole rules-only parse, straight from raw text."""
     w = wh(spark, sf)
-    df = N.normalise_addresses(view(spark, sf, "address")).select("order_id", "text")
+    df = N.normalise_addresses(widened(view(spark, sf, "address"))).select("order_id", "text")
     out = L.parse_addresses(df, w.table("gazetteer"), w.table("localities"))
     return out.select(
         "order_id", "building", "locality", "city", "district", "state", "pincode", "locality_agrees", "state_conflict",

@@ -11,7 +11,7 @@ from waymark.operators.skew import each, salted_join
 from waymark.plans import chain, sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table, staged
+from waymark.sources.warehouse import Warehouse, reference_table, staged, widened
 
 
 def offices(spark, sf):
@@ -136,7 +136,7 @@ def postings(spark, sf):
     select item_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from sc) where rank <= 20""",
 )
 def bm25_documents(spark, sf):
-    scored = R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "doc_id")
+    scored = R.bm25(table(spark, sf, "benchmark"), widened(table(spark, sf, "documents").select("doc_id", "text")), "item_id", "doc_id")
     return scored.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

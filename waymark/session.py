@@ -1,8 +1,5 @@
 """Session settings the jobs are written for."""
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -24,7 +21,6 @@ def local_session(cores: str = "8", app: str = "waymark") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="waymark-", dir=os.environ.get("TMPDIR")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

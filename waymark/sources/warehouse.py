@@ -22,18 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = tempfile.mkdtemp(prefix="waymark-")
         spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread text over all cores when it lies in fewer files than there are.
+
+    Text work is heavy per row, and a small file is one task. A data set of
+    many files is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def reference_table(name: str):
     """Register how a shared table is built from a data folder."""
 
@@ -54,7 +68,7 @@ class Warehouse:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _PATHS:
             df = _BUILDERS[name](self)
-            path = f"{shared_dir(self.spark)}/waymark/{name}-{uuid.uuid4().hex}"
+            path = scratch(self.spark, name)
             df.write.parquet(path)
             _PATHS[key] = path
         return self.spark.read.parquet(_PATHS[key])
