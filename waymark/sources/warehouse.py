@@ -17,9 +17,16 @@ _PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which every executor must reach.
+
+    Without that setting a single-machine session gets a folder of its own; any
+    other master raises, because executors would not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by all executors of {master}")
         named = tempfile.mkdtemp(prefix="waymark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -39,13 +46,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Spread text over all cores when it lies in fewer files than there are.
+    """Spread text over all cores when its scan has fewer partitions than there are.
 
-    Text work is heavy per row, and a small file is one task. A data set of
-    many files is left as it is, so nothing is shuffled at scale.
+    Text work is heavy per row, and a small file is one task. A scan that already
+    fills the cluster is left as it is, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def reference_table(name: str):
@@ -58,8 +65,13 @@ def reference_table(name: str):
     return register
 
 
+def forget() -> None:
+    """Build shared tables anew when next asked for: after inputs change, and between bench runs."""
+    _PATHS.clear()
+
+
 class Warehouse:
-    """The shared tables of one data folder, each built when first asked for."""
+    """The shared tables of one data folder, each built when first asked for and kept until ``forget``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
