@@ -23,3 +23,11 @@ def op7_simhash(spark, sf_dir):
     from waymark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_repeats(spark, sf_dir):
+    """Documents without the bytes of 400-byte strings that occur again."""
+    from waymark.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
