@@ -31,3 +31,31 @@ def op1_repeats(spark, sf_dir):
     from waymark.llm.repeats import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op8_decontaminate(spark, sf_dir):
+    """Documents with passages of ten words that benchmark items have too."""
+    from waymark.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Token counts of documents for a byte-level vocabulary."""
+    import public_tokenizers
+
+    from waymark.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    """Documents as token ids, written to plane files and read back."""
+    import public_tokenizers
+
+    from waymark.llm.planes import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
