@@ -16,7 +16,7 @@ def create(uri: str):
     """A new file to be written from start to end; its folder is made."""
     system, path = place(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str):

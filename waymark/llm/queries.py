@@ -59,3 +59,19 @@ def op10_token_files(spark, sf_dir):
     from waymark.llm.planes import token_files
 
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_warc(spark, sf_dir):
+    """Pages as WARC records, read back from the archives."""
+    from waymark.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    """How many words of each document a mix to source targets takes."""
+    from waymark.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
