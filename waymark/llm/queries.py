@@ -75,3 +75,11 @@ def op5_mixing(spark, sf_dir):
     from waymark.llm.mixing import mixed
 
     return mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity scores of documents."""
+    from waymark.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
