@@ -83,3 +83,11 @@ def op9_toxicity(spark, sf_dir):
     from waymark.llm.toxicity import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_main_text(spark, sf_dir):
+    """Main text of web pages."""
+    from waymark.llm.extract import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
