@@ -1,6 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks."""
 
 import random
+import re
 from dataclasses import dataclass
 from html import escape
 
@@ -34,6 +35,7 @@ NAMES = {
 _NAMED = {w: g for g, words in NAMES.items() for w in words.split()}
 _GROUPS = list(NAMES)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
+_DIGIT = re.compile(r"\d")
 _N_CONTEXT = 2 * len(TAGS) + len(_GROUPS) + 3
 _LENGTHS, _LINKS = (1, 2, 4, 8, 16, 32, 64), (0.0, 0.25, 0.6, 0.9)
 _N_TEXT = len(_LENGTHS) + 1 + len(_LINKS) + 1 + 8
@@ -65,7 +67,7 @@ def _text(block: Block) -> list[int]:
     found.append(at + sum(share > s for s in _LINKS))
     at += len(_LINKS) + 1
     tests = (
-        text[-1] in ".!?…。\"'”»)", "," in text, "©" in text or "(c)" in text, text[0].islower(), text.isupper(), any(c.isdigit() for c in text),
+        text[-1] in ".!?…。\"'”»)", "," in text, "©" in text or "(c)" in text, text[0].islower(), text.isupper(), bool(_DIGIT.search(text)),
         "|" in text or "·" in text or "»" in text, ". " in text,
     )
     return found + [at + i for i, t in enumerate(tests) if t]

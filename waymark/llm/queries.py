@@ -91,3 +91,11 @@ def op6_main_text(spark, sf_dir):
     from waymark.llm.extract import main_texts
 
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    """Sketch fingerprints of documents, of edited versions and their likeness."""
+    from waymark.llm.sketch import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
