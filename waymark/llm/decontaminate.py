@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Bloom, blobs, row_key, text_rows
+from waymark.llm.common import blobs, row_key, text_rows, without
 from waymark.sources.warehouse import staged
 
 #: Letters a-z, digits and every byte of a non-ASCII character make words; A-Z count as a-z, all else parts them.
@@ -195,6 +195,20 @@ def contamination(
     null id mark words but are not listed; rows that share an item id are one item.
     Repeated rows come back each; an empty benchmark hits nothing.
     """
+    found = hit_rows(documents, benchmark, id_column, text_column, item_column, window)
+    return found.drop("key").withColumnRenamed("id", id_column)
+
+
+def clean(
+    documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", window: int = 10
+) -> DataFrame:
+    """The rows of ``documents`` that share no window with the benchmark, see ``contamination``."""
+    found = hit_rows(documents, benchmark, id_column, text_column, item_column, window)
+    return without(documents, found.where("contaminated").select("id", "key").distinct(), id_column, text_column)
+
+
+def hit_rows(documents: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, window: int) -> DataFrame:
+    """What ``contamination`` tells of each row, with its key."""
     spark = documents.sparkSession
     items = text_rows(benchmark, item_column, "text")
     kept = staged(item_rows(items, window), "item-grams")
@@ -245,8 +259,8 @@ def contamination(
     docs = found.where("length is null").select("id", "key", "n_words")
     on = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
     out = docs.join(covered, on(docs, covered), "left").select(docs["id"], docs["key"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"))
-    out = out.join(listed, on(out, listed), "left").select(out["id"], "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.join(listed, on(out, listed), "left").select(out["id"], out["key"], "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(
-        F.col("id").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

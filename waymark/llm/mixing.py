@@ -6,6 +6,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.common import kept_once
 from waymark.sources.warehouse import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,7 +96,7 @@ def routed(patterns: dict[tuple, int], quotas: dict, repeats: int = 2) -> dict[t
 
 
 def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int], seed: int) -> DataFrame:
-    """Rows (id, size, pattern) with ``taken``: every document of a pattern as often as its flow covers it in full.
+    """Rows (id, key, size, pattern) with ``taken``: every document of a pattern as often as its flow covers it in full.
 
     What is left of the flow goes to documents in a seeded order until the next one
     would lead further from it. The order is by a hash; its ranges are summed first
@@ -121,12 +122,12 @@ def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int
     inside = F.col("ahead") + F.col("range_words") <= F.col("rest")
     beyond = F.col("ahead") >= F.col("rest")
     even = known.where((F.col("size") == 0) | inside | beyond | F.col("rest").isNull())
-    even = even.select("id", "size", "pattern", F.when(F.col("size") == 0, 0).otherwise(F.col("size") * (F.col("full") + inside.cast("int"))).alias("taken"))
+    even = even.select("id", "key", "size", "pattern", F.when(F.col("size") == 0, 0).otherwise(F.col("size") * (F.col("full") + inside.cast("int"))).alias("taken"))
     turn = known.where((F.col("size") > 0) & ~inside & ~beyond)
-    upto = Window.partitionBy("pattern", "range").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("pattern", "range").orderBy("draw", "id", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum("size").over(upto), F.lit(0))
     nearer = F.col("rest") - before > before + F.col("size") - F.col("rest")
-    turn = turn.withColumn("more", nearer).select("id", "size", "pattern", (F.col("size") * (F.col("full") + F.col("more").cast("int"))).alias("taken"))
+    turn = turn.withColumn("more", nearer).select("id", "key", "size", "pattern", (F.col("size") * (F.col("full") + F.col("more").cast("int"))).alias("taken"))
     return even.unionByName(turn)
 
 
@@ -146,6 +147,25 @@ def mixed(
     in all three are interchangeable. Only per-pattern sums reach the driver: one
     number per set of sources, not per document.
     """
+    found = shares(documents, id_column, text_column, source_column, cycle, share, most, seed)
+    return found.select(F.col("id").alias(id_column), "size", "source_size", "target", "taken")
+
+
+def dealt_out(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11,
+) -> DataFrame:
+    """The mix itself: all columns of every row that ``mixed`` takes, as often as it takes it."""
+    found = shares(documents, id_column, text_column, source_column, cycle, share, most, seed).where("taken > 0")
+    times = found.groupBy("id", "key").agg(F.sum(F.expr("taken div size")).cast("int").alias("times"))
+    once = kept_once(documents, times, id_column, text_column)
+    return once.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+
+
+def shares(
+    documents: DataFrame, id_column: str, text_column: str, source_column: str, cycle: tuple[int, ...], share: float, most: float, seed: int
+) -> DataFrame:
+    """What ``mixed`` tells of each row, with its key."""
     spark = documents.sparkSession
     source = F.col(source_column)
     if not documents.schema[source_column].dataType.simpleString().startswith("array"):
@@ -153,7 +173,8 @@ def mixed(
     listed = F.when(F.size(F.coalesce(source, F.array())) > 0, F.array_distinct(source.cast("array<string>"))).otherwise(F.array(F.lit(None).cast("string")))
     rows = staged(
         documents.select(
-            F.col(id_column).alias("id"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), listed.alias("pattern")
+            F.col(id_column).alias("id"), F.xxhash64(F.col(id_column).isNull(), F.coalesce(F.col(text_column), F.lit(""))).alias("key"),
+            F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), listed.alias("pattern")
         ),
         "sizes",
     )
@@ -166,4 +187,4 @@ def mixed(
     given = routed(patterns, {s: round(q) for s, q in quotas.items()}, int(most))
     facts = spark.createDataFrame([(s, sizes[s], float(quotas[s])) for s in order], "source string, source_size bigint, target double")
     out = selected(rows, given, patterns, seed).withColumn("source", F.col("pattern")[0])
-    return out.join(facts, out["source"].eqNullSafe(facts["source"])).select(F.col("id").alias(id_column), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.join(facts, out["source"].eqNullSafe(facts["source"])).select("id", "key", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blobs, runs_of, text_rows, word_blocks
+from waymark.llm.common import blobs, kept_once, row_key, runs_of, text_rows, word_blocks
 from waymark.llm.components import connected
 from waymark.sources.warehouse import staged
 
@@ -40,15 +40,15 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """(``id``, ``fp``): one row per input row, null texts as empty ones, ``fp`` the 64 bits as a signed long."""
+    """(``id``, ``key``, ``fp``): one row per input row, null texts as empty ones, ``fp`` the 64 bits as a signed long."""
 
     def per_batch(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in blobs(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps)], ["id", "key", "fp"])
 
-    rows = text_rows(documents, id_column, text_column)
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    rows = text_rows(documents, id_column, text_column).withColumn("key", row_key())
+    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def parts_for(rows: int, radius: int) -> int:
@@ -175,6 +175,14 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def grouped(documents: DataFrame, id_column: str, text_column: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, fp), and the ``root`` of each fingerprint's component with its least id."""
+    rows = staged(fingerprints(documents, id_column, text_column, shingle), "fingerprints")
+    classes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
+    found = connected(links(classes, radius))
+    return rows, classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, ``fingerprint``, ``component_id``) of every row of ``documents``.
 
@@ -186,12 +194,17 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     Repeated rows come back as often as they came in; an empty table gives an
     empty result. Only the two named columns are read.
     """
-    rows = staged(fingerprints(documents, id_column, text_column, shingle), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    found = connected(links(classes, radius))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows, rooted = grouped(documents, id_column, text_column, shingle, radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(members, "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """All columns of one row of each component of ``near_duplicates``: the one of the smallest id, null ids last."""
+    rows, rooted = grouped(documents, id_column, text_column, shingle, radius)
+    ranked = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
+    best = rows.groupBy("fp").agg(ranked).join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    return kept_once(documents, best.select("one.id", "one.key"), id_column, text_column)

@@ -2,9 +2,11 @@
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -332,3 +334,19 @@ def scored(
     return rows.mapInArrow(per_part, f"id {kind}, score double").select(
         F.col("id").alias(id_column), held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
     )
+
+
+def accepted(
+    documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
+    threshold: float = 0.7, train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
+    """All columns of the rows of ``documents`` that ``scored`` does not predict as toxic."""
+    model = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels, id_column, text_column, label_column, train_rows))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(model.value.weights)
+        for batch in texts:
+            yield pd.Series(model.value.scores([t.encode() for t in batch], reader))
+
+    return documents.where(score(F.coalesce(F.col(text_column), F.lit(""))) < threshold)
