@@ -1,5 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraph pieces. DataFrame functions only."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from waymark.sources.warehouse import staged
 PIECE = r"(?:\\S++[^\\S\\n]*+){1,8}+\\n*+"
 BASE_SLOTS = 4
 ROUNDS = 12
+RANGES_PER_PARTITION = 16
 SMALL_ROWS = 500_000
 
 
@@ -26,7 +29,7 @@ def base_sketch(column: str) -> Column:
             own = f"filter({column}, x -> (shiftrightunsigned(x, {table * 8}) & {BASE_SLOTS - 1}) = {slot})"
             slots.append(
                 f"aggregate({own}, named_struct('n', 0, 'k', 0L, 'c', 0L), (s, x) -> named_struct("
-                f"'n', s.n + 1, 'k', s.k ^ x, 'c', s.c ^ xxhash64(x, 99)), s -> concat_ws('.', hex(s.n), hex(s.k), hex(s.c)))"
+                f"'n', s.n + 1, 'k', s.k ^ x, 'c', s.c ^ xxhash64(x, 99)), s -> concat_ws('.', hex(s.n), hex(s.k), hex(s.c & 4294967295)))"
             )
     return F.expr(f"concat_ws(':', {', '.join(slots)})")
 
@@ -96,7 +99,7 @@ def in_order(rows: DataFrame) -> DataFrame:
     row knows its range and place in it, and comes partitioned by range.
     """
     spark = rows.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)]).alias("cuts")).first()["cuts"] or []
     held = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<bigint>")
     steps = max(1, len(cuts).bit_length())
@@ -121,7 +124,7 @@ def in_order(rows: DataFrame) -> DataFrame:
     ).select("d.id", "d.key", "d.text", F.col("f.before").alias("range"), F.lit(True).alias("ghost"))
     both = dealt.withColumn("ghost", F.lit(False)).select("id", "key", "text", "range", "ghost").unionByName(ghosts)
     order = Window.partitionBy("range").orderBy("ghost", F.col("id").asc_nulls_first(), "key")
-    both = both.repartition(ranges, "range")
+    both = both.repartition(ranges // 2, "range")
     return both.select(
         "range", F.row_number().over(order).alias("place"), "id", "key", "text", "ghost",
         *(F.lead(c).over(order).alias(f"next_{c}") for c in ("id", "key", "text")),
@@ -157,20 +160,19 @@ def fingerprinted(documents: DataFrame, id_column: str = "doc_id", text_column:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("changed"),
     ).withColumn("fingerprint", base_sketch("own")).withColumn("edited_fingerprint", base_sketch("changed")).drop("own", "changed")
     out = staged(facts.join(near, ["range", "place"], "left").drop("range", "place"), "fingerprints")
-    level, pair = 1, ["id", "key", "next_id", "next_key"]
-    settled = None
-    while True:
-        open_pairs = out if settled is None else settled
-        open_pairs = open_pairs.where("near_edited is null or near_next is null").select(*pair).distinct()
-        open_pairs = staged(open_pairs, "open-pairs")
-        n = open_pairs.count()
-        if not n:
-            break
-        level += 1
-        again = staged(_retried(rows, open_pairs, level, n), "retried")
-        out = staged(_filled(out, again, pair), "fingerprints")
-        settled = again
-    return out.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    pair, values = ["id", "key", "next_id", "next_key"], ["near_edited", "near_next"]
+    missing = "near_edited is null or near_next is null"
+    found, n, level = [], None, 1
+    left = staged(out.where(missing).select(*pair, *values).distinct(), "open-pairs")
+    while left.count():
+        n, level = n or left.count(), level + 1
+        done = _filled(left, _retried(rows, left.select(*pair), level, n), pair, values)
+        found.append(staged(done, "retried"))
+        left = staged(found[-1].where(missing), "open-pairs")
+    if found:
+        settled = reduce(DataFrame.unionByName, found).groupBy(*pair).agg(*(F.max(v).alias(v) for v in values))
+        out = _filled(out, F.broadcast(settled) if n <= SMALL_ROWS else settled, pair, values)
+    return out.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *values)
 
 
 def _same(a: str, b: str, names: list[str]) -> Column:
@@ -196,7 +198,7 @@ def _retried(rows: DataFrame, open_pairs: DataFrame, level: int, n: int) -> Data
     )
 
 
-def _filled(out: DataFrame, again: DataFrame, pair: list[str]) -> DataFrame:
+def _filled(out: DataFrame, again: DataFrame, pair: list[str], values: list[str]) -> DataFrame:
     joined = out.alias("o").join(again.alias("g"), _same("o", "g", [(c, c) for c in pair]), "left")
-    kept = [F.col(f"o.{c}") for c in out.columns if not c.startswith("near_")]
-    return joined.select(*kept, *(F.expr(f"coalesce(o.{c}, g.{c})").alias(c) for c in ("near_edited", "near_next")))
+    kept = [F.col(f"o.{c}") for c in out.columns if c not in values]
+    return joined.select(*kept, *(F.expr(f"coalesce(o.{c}, g.{c})").alias(c) for c in values))
