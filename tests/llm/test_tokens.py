@@ -27,10 +27,26 @@ def word_level():
 
 
 def test_cuts_keep_counts_and_ids(byte_level, word_level):
-    counts, ids = tokens.Pieces(byte_level, len), tokens.Pieces(word_level, lambda e: tuple(e.ids))
-    for text in odd_texts():
-        assert sum(counts.of(tokens.byte_level_pieces(text))) == len(byte_level.encode(text, add_special_tokens=False)), repr(text)
-        assert tokens.word_ids(ids, text.encode(), 8).tolist() == word_level.encode(text, add_special_tokens=False).ids, repr(text)
+    counts, ids = tokens.Pieces(byte_level, len), tokens.Pieces(word_level, tokens.id_bytes)
+    texts = odd_texts()
+    got_counts = map(sum, counts.of(map(tokens.byte_level_pieces, texts)))
+    got_ids = tokens.word_ids(ids, [t.encode() for t in texts])
+    for text, n, found in zip(texts, got_counts, got_ids, strict=True):
+        assert n == len(byte_level.encode(text, add_special_tokens=False)), repr(text)
+        assert found.tolist() == word_level.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_groups_and_blocks_do_not_matter(monkeypatch, word_level):
+    from waymark.llm import common
+
+    monkeypatch.setattr(tokens, "GROUP_PIECES", 5)
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 7)
+    blocks = common.word_blocks
+    monkeypatch.setattr(tokens, "word_blocks", lambda data: blocks(data, 8))
+    texts = odd_texts()
+    ids = tokens.Pieces(word_level, tokens.id_bytes)
+    for text, found in zip(texts, tokens.word_ids(ids, [t.encode() for t in texts]), strict=True):
+        assert found.tolist() == word_level.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_counts_of_the_whole_table(spark, sf, byte_level):

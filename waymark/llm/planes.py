@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from waymark.llm.common import blobs, text_rows
 from waymark.llm.files import create, open_read
-from waymark.llm.tokens import Pieces, load, word_ids
+from waymark.llm.tokens import shared_ids, word_ids
 from waymark.sources.warehouse import scratch, staged
 
 #: File format: magic, chunks (the compressed planes of a block, one after another), index as compressed JSON,
@@ -123,12 +123,12 @@ def write_ids(
     dealt = rows.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
 
     def per_part(batches):
-        pieces, out = Pieces(load(tokenizer), lambda e: tuple(e.ids)), None
+        pieces, out = shared_ids(tokenizer), None
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
         for batch in batches:
-            for doc, data in zip(batch.column("id").to_pylist(), blobs(batch.column("text"))):
+            for doc, ids in zip(batch.column("id").to_pylist(), word_ids(pieces, blobs(batch.column("text")))):
                 out = out or Writer(create(path), bits)
-                out.add(doc, np.append(word_ids(pieces, data), np.uint32(end_id)))
+                out.add(doc, np.append(ids, np.uint32(end_id)))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict(

@@ -1,23 +1,28 @@
 """Token counts and token ids by the tokenizers library, text by text, each distinct piece encoded once per task."""
 
+import os
 import re
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import text_rows
+from waymark.llm.common import text_rows, word_blocks
 
 #: A single space between two visible characters: a byte-level pre-tokenizer always starts a piece there.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 BATCH_BYTES = 1 << 20
-KNOWN_PIECES = 1 << 18
+GROUP_PIECES = 1 << 18
+KNOWN_PIECES = 1 << 20
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -26,7 +31,7 @@ def load(path: str):
     return found
 
 
-def byte_batches(pieces: list[str], size: int = BATCH_BYTES):
+def byte_batches(pieces: list, size: int = BATCH_BYTES):
     """Pieces in batches of about equal bytes."""
     batch, held = [], 0
     for piece in pieces:
@@ -40,19 +45,49 @@ def byte_batches(pieces: list[str], size: int = BATCH_BYTES):
 
 
 class Pieces:
-    """Results of encoding pieces, kept while a task meets them again; at most ``KNOWN_PIECES`` between texts."""
+    """Results of encoding pieces, kept while a task meets them again; at most ``KNOWN_PIECES`` between groups of texts."""
 
     def __init__(self, tokenizer, result):
         self.tokenizer, self.result, self.known = tokenizer, result, {}
 
-    def of(self, pieces: list[str]) -> list:
+    def learn(self, pieces: set) -> None:
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        for batch in byte_batches(new):
-            for piece, got in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+        for batch in byte_batches(list(pieces.difference(self.known))):
+            texts = [p if isinstance(p, str) else p.decode() for p in batch]
+            for piece, got in zip(batch, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 self.known[piece] = self.result(got)
-        return list(map(self.known.__getitem__, pieces))
+
+    def of(self, groups: Iterable[list]) -> Iterator[Iterator]:
+        """The results of each list of pieces; lists are encoded together, in groups of some megabytes."""
+        held, size = [], 0
+        for pieces in groups:
+            held.append(pieces)
+            size += len(pieces)
+            if size >= GROUP_PIECES:
+                self.learn(set().union(*held))
+                for p in held:
+                    yield map(self.known.__getitem__, p)
+                held, size = [], 0
+        self.learn(set().union(*held))
+        for p in held:
+            yield map(self.known.__getitem__, p)
+
+
+@cache
+def shared_counts(path: str) -> Pieces:
+    """One store of counts per Python worker, which outlives its tasks."""
+    return Pieces(load(path), len)
+
+
+@cache
+def shared_ids(path: str) -> Pieces:
+    """One store of ids, as the bytes of 32-bit numbers, per Python worker."""
+    return Pieces(load(path), id_bytes)
+
+
+def id_bytes(encoding) -> bytes:
+    return array("I", encoding.ids).tobytes()
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -75,9 +110,9 @@ def count_tokens(documents: DataFrame, tokenizer: str, id_column: str = "doc_id"
     """
 
     def per_batch(batches):
-        pieces = Pieces(load(tokenizer), len)
+        pieces = shared_counts(tokenizer)
         for batch in batches:
-            counts = [sum(pieces.of(byte_level_pieces(t))) if t else 0 for t in batch.column("text").to_pylist()]
+            counts = list(map(sum, pieces.of(map(byte_level_pieces, batch.column("text").to_pylist()))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = text_rows(documents, id_column, text_column).withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -87,12 +122,23 @@ def count_tokens(documents: DataFrame, tokenizer: str, id_column: str = "doc_id"
     )
 
 
-def word_ids(pieces: Pieces, data: bytes, block: int = 1 << 20) -> np.ndarray:
-    """Ids of a text for a tokenizer that drops white space and joins nothing across it."""
-    from waymark.llm.common import word_blocks
-
-    found = [
-        np.fromiter(chain.from_iterable(pieces.of([w.decode() for w in words])), np.uint32)
-        for words in word_blocks(data, block)
-    ]
-    return np.concatenate(found) if found else np.empty(0, np.uint32)
+def word_ids(pieces: Pieces, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """Ids of each text for a tokenizer that drops white space and joins nothing across it."""
+    def lists():
+        for data in texts:
+            n = 0
+            for words in word_blocks(data):
+                n += 1
+                yield words
+            sizes.append(n)
+
+    sizes, found = [], []
+    for got in pieces.of(lists()):
+        found.append(np.frombuffer(b"".join(got), np.uint32))
+        while sizes and sizes[0] <= len(found):
+            n = sizes.pop(0)
+            yield np.concatenate(found[:n]) if n else np.empty(0, np.uint32)
+            del found[:n]
+    for n in sizes:
+        yield np.concatenate(found[:n]) if n else np.empty(0, np.uint32)
+        del found[:n]
