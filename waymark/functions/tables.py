@@ -349,7 +349,7 @@ COST_STRONG_MODEL = 0.0045
 COST_RETRIEVAL = 0.00003
 
 # Fixed values: "addresses seen so far" buckets of the learning curve.
-SEEN_BUCKETS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 999))
+SEEN_BUCKETS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, None))
 
 # Fitted confidence map, (raw, calibrated).
 CALIBRATION_KNOTS = (

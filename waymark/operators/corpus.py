@@ -196,7 +196,7 @@ def perturb(seeds: DataFrame, per_seed: int) -> DataFrame:
     tail = F.transform(
         F.array_sort(
             F.transform(
-                F.slice("parts", 2, 1000), lambda p: F.struct(F.md5(F.concat_ws("|", p, *[k.cast("string") for k in key])).alias("h"), p.alias("p"))
+                F.slice("parts", F.lit(2), F.size("parts")), lambda p: F.struct(F.md5(F.concat_ws("|", p, *[k.cast("string") for k in key])).alias("h"), p.alias("p"))
             )
         ),
         lambda s: s["p"],

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, tables
 from waymark.functions.text import comparable, literal_map
-from waymark.operators.scoring import apply_calibration
 from waymark.operators.skew import grouped_order_stats, nearest_rank
 
 GEO_CORRECT_M = 500.0
@@ -244,10 +243,9 @@ def ece(bins: DataFrame) -> DataFrame:
 def fit_isotonic(scored: DataFrame, score: str = "score", correct: str = "correct"):
     """Monotone map from score to the share correct.
 
-    Equal scores are merged first, to six decimals: at most a million weighted
-    points reach the fit, however many rows there are.
+    Equal scores are merged first; each distinct score is one weighted point.
     """
-    points = scored.groupBy(F.round(score, 6).alias("score")).agg(
+    points = scored.groupBy(F.col(score).alias("score")).agg(
         F.avg(F.col(correct).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
     )
     return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
@@ -302,10 +300,7 @@ def choose_threshold(
 
 
 def calibrated(df: DataFrame, model, score: str = "score") -> DataFrame:
-    """Adds calibrated by a fitted model; the knots are few enough to be an expression or the model's own."""
-    knots = isotonic_knots(model)
-    if len(knots) <= 64:
-        return df.withColumn("calibrated", apply_calibration(F.col(score), knots))
+    """Adds calibrated by a fitted model."""
     return model.transform(df.withColumnRenamed(score, "score")).withColumnRenamed("prediction", "calibrated")
 
 

@@ -1,5 +1,7 @@
 """Questions about earlier and later rows of the same key, safe for hot keys."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,53 @@ def neighbour_time(
 
 
 def asof_cache_hit(requests: DataFrame, key: str, ts: str, tie: str, resolved: Column, ttl: str) -> DataFrame:
-    """Adds cache_hit: an earlier resolved row of the key was still alive."""
-    seen = neighbour_time(requests, key, ts, tie, resolved, "_last")
-    alive = F.col("_last") >= F.col(ts) - F.expr(f"interval {ttl}")
-    return seen.withColumn("cache_hit", F.coalesce(alive, F.lit(False))).drop("_last")
+    """Adds cache_hit: an entry stored by an earlier row of the key was still alive.
+
+    A resolved row stores an entry when it misses; a hit stores none and does not
+    prolong the one it found. That makes a key's entries a walk from one to the
+    next, which each follows from the one before only: rows are sorted by Spark and
+    pass through with the time of the last entry as all the state there is, so a
+    hot key costs time, never memory. Rows of a null key are a key's rows.
+    """
+    rows = requests.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_stores", F.coalesce(resolved, F.lit(False)))
+    rows = rows.withColumn("_key", F.xxhash64(key)).withColumn("_life", F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {ttl}")))
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, ts, tie)
+
+    def walk(batches):
+        last_key, expiry = None, None
+        for batch in batches:
+            n = batch.num_rows
+            keys, micros = np.asarray(batch.column("_key")), np.asarray(batch.column("_micros").fill_null(0))
+            stores = np.asarray(batch.column("_stores"))
+            hit = np.zeros(n, bool)
+            if n:
+                life = batch.column("_life")[0].as_py()
+                cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [n]])
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if keys[lo] != last_key:
+                        last_key, expiry = keys[lo], None
+                    at, times = lo, micros[lo:hi]
+                    storing = lo + np.flatnonzero(stores[lo:hi])
+                    while at < hi:
+                        if expiry is not None:
+                            end = lo + int(np.searchsorted(times, expiry, "right"))
+                            hit[at:end] = True
+                            at = max(at, end)
+                        i = int(np.searchsorted(storing, at))
+                        if i == len(storing):
+                            if at < hi:
+                                expiry = None
+                            break
+                        at = int(storing[i]) + 1
+                        expiry = int(micros[at - 1]) + life
+            kept = [c for c in batch.schema.names if c not in ("_key", "_micros", "_stores", "_life")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hit)], [*kept, "cache_hit"])
+
+    return sorted_rows.mapInArrow(walk, requests.withColumn("cache_hit", F.lit(False)).schema)
 
 
 def first_in_ttl(events: DataFrame, key: str, ts: str, tie: str, ttl: str) -> DataFrame:
-    """Rows whose key did not occur within ``ttl`` before them."""
+    """Rows that store their key: no kept row of it lies within ``ttl`` before them."""
     return (
         asof_cache_hit(events, key, ts, tie, F.lit(True), ttl).where(~F.col("cache_hit")).drop("cache_hit")
     )
@@ -149,8 +190,9 @@ def known_before(matches: DataFrame, first_seen: DataFrame) -> DataFrame:
 
 
 def seen_bucket(n: Column) -> Column:
+    """The bucket a count falls in; the last has no end."""
     label = F.lit(f"{tables.SEEN_BUCKETS[-1][0]}+")
-    for lo, hi in reversed(tables.SEEN_BUCKETS):
+    for lo, hi in reversed(tables.SEEN_BUCKETS[:-1]):
         label = F.when(n.between(lo, hi), str(lo) if lo == hi else f"{lo}-{hi}").otherwise(label)
     return label
 

@@ -108,7 +108,7 @@ def nearby_landmarks(
 
 def sample_seeds(offices: DataFrame, n: int = 120, seed: str = "20260917") -> DataFrame:
     """``n`` offices, one per pincode, target cities in turn, then the rest."""
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("line_no").cast("string")))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), "pincode", "name"))
     one_per_pin = (
         offices.withColumn("_draw", draw)
         .groupBy("pincode")
@@ -193,7 +193,7 @@ def landmark_key(name: Column, lat: Column, lng: Column, state: Column) -> Colum
 
     code = F.coalesce(F.element_at(literal_map(tables.STATE_CODES), state), F.lit("IN"))
     digest = F.sha2(F.concat_ws("|", F.lower(name), fixed(lat), fixed(lng)), 256)
-    return F.concat(F.lit("LMK#"), code, F.lit("#"), F.upper(F.substring(digest, 1, 10)))
+    return F.concat(F.lit("LMK#"), code, F.lit("#"), F.upper(digest))
 
 
 def seed_places(seeds: DataFrame, nearby: DataFrame) -> DataFrame:

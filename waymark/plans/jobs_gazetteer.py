@@ -135,7 +135,7 @@ def nearby_landmarks(spark, sf):
 @job(
     "sample_seeds", "GZ14 ST1",
     f"""with {sql.DELIVERY_OFFICES},
-    draws as (select *, md5('20260917|' || line_no) as draw from seed_offices),
+    draws as (select *, md5('20260917|' || pincode || '|' || name) as draw from seed_offices),
     one as (select * from (select *, row_number() over (partition by pincode order by draw, line_no) as rn from draws) where rn=1),
     turns as (select * exclude (rn), case city when 'New Delhi' then 0 when 'Bengaluru' then 2 end as ci from one),
     ranked as (select *, case when ci is null then 1 else 0 end as rest,
@@ -173,7 +173,7 @@ place_rows as (
   union all
   select s.seed_id, s.line_no, n.rank, n.name, n.true_lat, n.true_lng, s.pincode, s.state from nearby n join seed_rows s on s.line_no = n.line_no),
 places as (
-  select *, 'LMK#' || {STATE_CODE} || '#' || upper(substr(sha256(lower(name) || '|' || cast(round(lat*100000.0E0) as bigint) || '|' || cast(round(lng*100000.0E0) as bigint)), 1, 10)) as landmark_id
+  select *, 'LMK#' || {STATE_CODE} || '#' || upper(sha256(lower(name) || '|' || cast(round(lat*100000.0E0) as bigint) || '|' || cast(round(lng*100000.0E0) as bigint))) as landmark_id
   from place_rows),
 landmarks as (
   select landmark_id, b.name as canonical_name, b.lat as lat, b.lng as lng, b.pincode as pincode,

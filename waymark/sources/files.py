@@ -53,10 +53,10 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PINCODES).option("header", True).option("emptyValue", "").csv(path)
 
 
-def read_localities(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
+def read_localities(spark: SparkSession, path: str) -> DataFrame:
     """The locality index; a gzip file is one split, so rows are spread after reading."""
     rows = spark.read.schema(LOCALITIES).option("header", True).csv(path)
-    return rows.select("pincode", F.lower("locality").alias("locality")).distinct().repartition(partitions, "pincode")
+    return rows.select("pincode", F.lower("locality").alias("locality")).distinct().repartition("pincode")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, allow_unknown: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from waymark.operators import decide, learn, orders, policy
+from waymark.operators import decide, learn, policy
 from waymark.operators.learn import AUDIT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -124,15 +124,18 @@ def needs_info(resolutions: DataFrame, order_cases: DataFrame) -> DataFrame:
 def upsert_sink(stream: DataFrame, target_dir: str, key: str, order: list[str], checkpoint: str):
     """Land a stream as key merges: every micro-batch writes a new snapshot folder.
 
+    A key keeps its newest row by ``order``, whichever batch it came in, so a late
+    row never replaces a newer state.
+
     A snapshot is named after its batch, so a batch that runs again after a
     failure overwrites its own output only.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
         previous = latest_snapshot(spark, target_dir, before=batch_id)
-        merged = newest if previous is None else orders.upsert(previous, newest, key)
+        rows = batch if previous is None else previous.unionByName(batch)
+        merged = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
         merged.write.mode("overwrite").parquet(f"{target_dir}/snapshot={batch_id:010d}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
