@@ -123,31 +123,36 @@ def seen_before(df: DataFrame, key: str, order: str, out: str = "seen") -> DataF
 
 
 def near_duplicate_join(
-    texts: DataFrame, doc: str, block: str, text: str = "text", threshold: float = NEAR_DUPLICATE_COSINE
+    texts: DataFrame, doc: str, block: str, text: str = "text", threshold: float = NEAR_DUPLICATE_COSINE, known: str | None = None
 ) -> DataFrame:
     """Best earlier near-duplicate of each text in its block: (doc, other, cosine).
 
+    Earlier are texts of a smaller ``doc``, or with ``known``, a boolean column,
+    the known ones to those that are not. Of equally near texts the smallest wins.
     ``texts`` holds each distinct text once, so copies are no pairs. Two unit
     vectors can only reach the threshold when they share a component among
     those that carry all but ``threshold`` of either one's length. Taking the
     rarest components for that, pairs come from an equality join on few and
     rare values, and only those are compared in full. The bound is exact.
     """
-    vectors = staged(with_name_vector(texts, text).select(doc, block, "vector"), "near_vectors")
-    parts = each(vectors, [doc, block], F.col("vector"), "bucket", "w")
+    side = F.col(known) if known else F.lit(None).cast("boolean")
+    vectors = staged(with_name_vector(texts, text).select(doc, block, "vector", side.alias("_known")), "near_vectors")
+    parts = each(vectors, [doc, block, "_known"], F.col("vector"), "bucket", "w")
     frequency = parts.groupBy("bucket").agg(F.count("*").alias("df"))
     rare_last = Window.partitionBy(doc).orderBy(F.desc("df"), F.desc("bucket"))
     # a vector has a thousand components at most
-    prefix = (
+    prefix = staged(
         parts.join(frequency, "bucket")
         .withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rare_last))
         .where(F.col("_rest") >= threshold * threshold - 1e-9)
-        .select(doc, block, "bucket")
+        .select(doc, block, "bucket", "_known"),
+        "near_prefixes",
     )
-    left = prefix.select(F.col(doc).alias("a"), block, "bucket")
-    right = prefix.select(F.col(doc).alias("b"), block, "bucket")
+    later, earlier = (prefix.where("not _known"), prefix.where("_known")) if known else (prefix, prefix)
+    left = later.select(F.col(doc).alias("a"), block, "bucket")
+    right = earlier.select(F.col(doc).alias("b"), block, "bucket")
     shared = split_join(left, right, [block, "bucket"], "a", "b")
-    pairs = shared.where(F.col("b") < F.col("a")).select("a", "b").distinct()
+    pairs = (shared if known else shared.where(F.col("b") < F.col("a"))).select("a", "b").distinct()
     va = vectors.select(F.col(doc).alias("a"), F.col("vector").alias("va"))
     vb = vectors.select(F.col(doc).alias("b"), F.map_from_entries("vector").alias("vb"))
     dot = F.aggregate(

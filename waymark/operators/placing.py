@@ -64,12 +64,13 @@ def geocode_cascade(
 
     addresses: order_id; landmark_lat/lng/observations/relation of the match
     (null if none); centroid_lat/lng and office_count of the pincode (null if
-    none). geocoder_points: order_id, geo_lat, geo_lng, geo_accuracy_m.
+    none); geocoder points, if any, as geo_lat, geo_lng and geo_accuracy_m of
+    the addresses or of a table by ``point_key``.
     """
     df = addresses
     if geocoder_points is not None:
         df = df.join(geocoder_points, point_key, "left")
-    else:
+    elif "geo_lat" not in df.columns:
         df = df.withColumns({c: F.lit(None).cast("double") for c in ("geo_lat", "geo_lng", "geo_accuracy_m")})
 
     def point(lat: Column, lng: Column, source: str, accuracy: Column) -> Column:

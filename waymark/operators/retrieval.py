@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo
 from waymark.functions import text as X
 from waymark.operators.knn import knn_cosine
-from waymark.operators.skew import SALTS, each, salted_join, split_join
+from waymark.operators.skew import each, salted_join, split_join
 from waymark.sources.warehouse import staged
 
 # BM25, fusion and matching constants.
@@ -50,20 +50,15 @@ def document_frequencies(post: DataFrame) -> DataFrame:
 def impacts(post: DataFrame, stats: DataFrame, doc: str) -> DataFrame:
     """Postings with what one query mention of the term adds to the document.
 
-    A common term has as many postings as there are documents, so its few
-    statistics are repeated per salt and its postings spread over them.
+    A common term has as many postings as there are documents, so its postings
+    are spread over tasks and its few statistics repeated.
     """
     n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
     df = document_frequencies(post)
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("term", idf.alias("idf")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
     norm = F.col("tf") + (F.lit(1.0 - B) + F.lit(B) * F.col("doc_len") / F.greatest(avg_len, F.lit(1e-9))) * K1
-    return (
-        post.withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int"))
-        .join(weights, ["term", "_salt"])
-        .select(doc, "term", (F.col("idf") * F.col("tf") * (K1 + 1.0) / norm).alias("impact"))
+    return salted_join(post, df.select("term", idf.alias("idf")), ["term"], [doc], "inner").select(
+        doc, "term", (F.col("idf") * F.col("tf") * (K1 + 1.0) / norm).alias("impact")
     )
 
 
@@ -98,8 +93,9 @@ def score_terms(terms: DataFrame, weighted: DataFrame, keys: list[str], on: list
 
 def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str = "text", k: int = PER_SIGNAL) -> DataFrame:
     """Best ``k`` documents per query over all documents."""
-    weighted = impacts(postings(docs, doc, text), corpus_stats(docs, text), doc)
-    terms = query_terms(queries, [query], text).withColumnRenamed("qtf", "qw")
+    post = staged(postings(docs, doc, text), "postings")
+    weighted = staged(impacts(post, corpus_stats(docs, text), doc), "impacts")
+    terms = staged(query_terms(queries, [query], text).withColumnRenamed("qtf", "qw"), "query_terms")
     scored = score_terms(terms, weighted.withColumnRenamed("impact", "dw"), [query], ["term"], doc)
     return top_k(scored, [query], "score", doc, k)
 
@@ -233,16 +229,15 @@ def geo_radius_join(
     around = centres.withColumn(
         "_cell",
         F.explode(geo.cells_within(F.col("centre_lat"), F.col("centre_lng"), F.col("radius_m"), CELL_DEG)),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
     placed = docs.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(
         doc,
         F.col(lat).alias("_lat"),
         F.col(lng).alias("_lng"),
         geo.square(F.col(lat), F.col(lng), CELL_DEG).alias("_cell"),
-        F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int").alias("_salt"),
     )
     return (
-        around.join(placed, ["_cell", "_salt"])
+        split_join(around, placed, ["_cell"], "centre_id", doc)
         .withColumn(
             "distance_m",
             geo.haversine_m(F.col("centre_lat"), F.col("centre_lng"), F.col("_lat"), F.col("_lng")),

@@ -1,11 +1,10 @@
 """Joins and order statistics that hold when one key owns much of the data."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
-SPLIT = 4
-
 
 def each(df: DataFrame, keep: list[str], array: Column, *names: str, position: str | None = None) -> DataFrame:
     """One row per element of an array expression.
@@ -23,42 +22,65 @@ def each(df: DataFrame, keep: list[str], array: Column, *names: str, position: s
     return rows.select(*keep, *([position] if position else []), *[F.col(f"_e.{n}").alias(n) for n in names])
 
 
-def salted_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    keys: list[str],
-    row_key: list[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join facts to a dimension whose keys are few rows each.
+def hot_keys(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """(keys as _hot_<key>, ``_tasks``): keys with more than one shuffle partition's share of all ``weight``.
 
-    A key that holds a third of the facts would end up in one task. The facts
-    of every key are spread over ``salts`` tasks by a hash of ``row_key`` and
-    the dimension is repeated once per salt. A dimension that turns out small
-    is broadcast by adaptive execution instead.
+    ``_tasks`` says how many such shares a key has. No more keys than shuffle
+    partitions can have one, which bounds the table whatever the size of the data.
     """
-    spread = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in row_key]), F.lit(salts)).cast("int")
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(weight)).scalar()
+    share = F.col(weight) / total * tasks
+    return counts.where(share > 1).select(
+        *[c for c in counts.columns if c not in keys], *[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(share).cast("int").alias("_tasks")
     )
-    repeated = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], left_row: str, right_row: str, split: int = SPLIT) -> DataFrame:
-    """Inner join of two sides that may both have many rows of one key.
+def _with_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
+    return df.join(F.broadcast(hot), same, "left").drop(*(f"_hot_{k}" for k in keys))
+
+
+def _part(row: str | list[str], parts: Column) -> Column:
+    rows = [row] if isinstance(row, str) else row
+    return F.pmod(F.xxhash64(*[F.col(c) for c in rows]), F.coalesce(parts, F.lit(1))).cast("int")
+
 
-    Each side is cut into ``split`` parts by its row and repeated for the
-    other side's parts, so one key's rows meet in ``split`` squared tasks.
+def _every(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+
+
+def salted_join(facts: DataFrame, dims: DataFrame, keys: list[str], row_key: list[str], how: str = "left") -> DataFrame:
+    """Join facts to a dimension whose keys are few rows each.
+
+    A key that holds a third of the facts would end up in one task. Facts are
+    counted per key first (combined before the shuffle); those of a key with more
+    than a task's share are spread over as many tasks as it has shares, by a hash
+    of ``row_key``, and only that key's dimension rows are repeated. All other
+    keys meet as in a plain join. Facts are read twice, so give them written.
     """
-    every = F.explode(F.sequence(F.lit(0), F.lit(split - 1)))
+    hot = hot_keys(facts.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n").drop("_n")
+    spread = _with_hot(facts, hot, keys).withColumn("_salt", _part(row_key, F.col("_tasks"))).drop("_tasks")
+    repeated = _with_hot(dims, hot, keys).withColumn("_salt", _every(F.col("_tasks"))).drop("_tasks")
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
 
-    def part(row):
-        return F.pmod(F.xxhash64(row), F.lit(split)).cast("int")
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], left_row: str, right_row: str) -> DataFrame:
+    """Inner join of two sides that may both have many rows of one key.
 
-    a = left.withColumn("_l", part(left_row)).withColumn("_r", every)
-    b = right.withColumn("_r", part(right_row)).withColumn("_l", every)
-    return a.join(b, [*keys, "_l", "_r"]).drop("_l", "_r")
+    Keys are weighed by the pairs they make. One with more than a task's share is
+    cut on both sides, into so many parts that each pair of parts is about a
+    share; the longer side is cut more often, which repeats the fewest rows.
+    """
+    a, b = (df.groupBy(*keys).agg(F.count("*").cast("double").alias(n)) for df, n in ((left, "_a"), (right, "_b")))
+    hot = hot_keys(a.join(b, keys).withColumn("_n", F.col("_a") * F.col("_b")), keys, "_n")
+    cut = F.ceil(F.sqrt(F.col("_tasks") * F.col("_a") / F.col("_b"))).cast("int")
+    hot = hot.withColumn("_cut_a", F.greatest(F.lit(1), F.least(F.col("_tasks"), cut)))
+    hot = hot.withColumn("_cut_b", F.ceil(F.col("_tasks") / F.col("_cut_a")).cast("int")).drop("_a", "_b", "_n", "_tasks")
+    cuts = ("_cut_a", "_cut_b")
+    x = _with_hot(left, hot, keys).withColumn("_l", _part(left_row, F.col("_cut_a"))).withColumn("_r", _every(F.col("_cut_b")))
+    y = _with_hot(right, hot, keys).withColumn("_r", _part(right_row, F.col("_cut_b"))).withColumn("_l", _every(F.col("_cut_a")))
+    return x.drop(*cuts).join(y.drop(*cuts), [*keys, "_l", "_r"]).drop("_l", "_r")
 
 
 def grouped_order_stats(

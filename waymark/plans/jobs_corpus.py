@@ -233,16 +233,25 @@ def timeline_round_trip(spark, sf):
     return files.read_timeline(spark, path, str(day)).drop("event_date")
 
 
-@job("bulk_resolve", "SRC7 SNK2", "select count(*) as done, count(*) as written from customer")
+@job(
+    "bulk_resolve", "SRC7 SNK2 PR13",
+    """with sent as (select order_id, order_id % 40 = 3 as refused from address)
+    select cast(order_id as varchar) as order_id, refused, (select count(*) from sent where not refused) as done,
+      (select count(*) from sent where refused) as quarantined from sent""",
+)
 def bulk_resolve(spark, sf):
-    """CSV in, JSON lines out, with the counts of the job."""
+    """CSV in, JSON lines out, with the counts of the job; texts that are too long go to quarantine."""
     from waymark.plans import chain
 
     w = Warehouse(spark, sf)
     source, out = scratch(spark, "bulk-in"), scratch(spark, "bulk-out")
-    view(spark, sf, "address").select("order_id", "raw").write.option("header", True).csv(source)
+    raw = F.when(F.col("order_id") % 40 == 3, F.rpad("raw", 2001, "x")).otherwise(F.col("raw")).alias("raw")
+    view(spark, sf, "address").select("order_id", raw).write.option("header", True).csv(source)
     counts = files.bulk_resolve(
-        spark, source, out, lambda rows: chain.resolve(rows, w.table("gazetteer"), w.table("localities"), None, "A")
+        spark, source, out, lambda rows: chain.resolve(rows, w.table("gazetteer"), w.table("localities"), None, "A"), chain.split_requests
     )
-    written = spark.read.schema("order_id string").json(out).agg(F.count("*").alias("written"))
-    return written.select(F.lit(counts["done"]).alias("done"), "written")
+    written = [
+        spark.read.schema("order_id string").json(path).withColumn("refused", F.lit(refused))
+        for path, refused in ((out, False), (f"{out}-quarantined", True))
+    ]
+    return written[0].unionByName(written[1]).select("order_id", "refused", *(F.lit(counts[c]).alias(c) for c in ("done", "quarantined")))

@@ -123,15 +123,17 @@ def read_timeline(spark: SparkSession, path: str, day: str | None = None) -> Dat
     return rows.where(F.col("event_date") == F.lit(day).cast("date")) if day else rows
 
 
-def bulk_resolve(spark: SparkSession, csv_path: str, out_path: str, resolve) -> dict[str, int]:
+def bulk_resolve(spark: SparkSession, csv_path: str, out_path: str, resolve, split=None) -> dict[str, int]:
     """Resolve a CSV of (order_id, raw) into JSON lines; returns counts per status.
 
-    Counts are observed while the result is written, not by a second pass.
+    Counts are observed while the result is written, not by a second pass. ``split``
+    parts the rows into accepted and quarantined ones; the latter are written beside
+    the result, below ``<out_path>-quarantined``.
     """
     from pyspark.sql import Observation
 
     rows = spark.read.schema("order_id string, raw string").option("header", True).csv(csv_path)
-    seen = Observation("bulk_resolve")
+    seen, refused = Observation("bulk_resolve"), Observation("bulk_quarantined")
 
     def count(status: str) -> Column:
         return F.count_if(F.col("status") == status).alias(status.lower())
@@ -139,4 +141,7 @@ def bulk_resolve(spark: SparkSession, csv_path: str, out_path: str, resolve) ->
     resolve(rows).observe(
         seen, F.count(F.lit(1)).alias("done"), count("RESOLVED"), count("NEEDS_INFO"), count("AMBIGUOUS")
     ).write.mode("overwrite").json(out_path)
-    return seen.get
+    if split is None:
+        return seen.get
+    split(rows)[1].observe(refused, F.count(F.lit(1)).alias("quarantined")).write.mode("overwrite").json(f"{out_path}-quarantined")
+    return {**seen.get, **refused.get}
