@@ -77,15 +77,16 @@ def top_k(scored: DataFrame, keys: list[str], score: str, doc: str, k: int = PER
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_terms(terms: DataFrame, weighted: DataFrame, keys: list[str], on: list[str], doc: str) -> DataFrame:
+def score_terms(terms: DataFrame, weighted: DataFrame, keys: list[str], on: list[str], doc: str, within: bool = False) -> DataFrame:
     """Sum of weights over shared terms per (keys, doc).
 
     ``terms`` has keys, on, qw; ``weighted`` has on, doc, dw. A common term is
-    common on both sides, so both are split.
+    common on both sides, so both are split; ``within`` a centre only that
+    centre's documents have it, and it is the searches that are spread.
     """
+    met = salted_join(terms, weighted, on, keys, "inner") if within else split_join(terms, weighted, on, keys[0], doc)
     return (
-        split_join(terms, weighted, on, keys[0], doc)
-        .groupBy(*keys, doc)
+        met.groupBy(*keys, doc)
         .agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_PLACES).alias("score"))
         .where(F.col("score") > 0)
     )
@@ -333,7 +334,7 @@ def hybrid_retrieve(
     centres = queries.where(F.col("centre_id").isNotNull()).select(
         "centre_id", "centre_lat", "centre_lng", "radius_m"
     ).distinct()
-    reach = geo_radius_join(centres, landmarks, "landmark_id")
+    reach = staged(geo_radius_join(centres, landmarks, "landmark_id"), "reach")
 
     def within(rows: DataFrame, columns: list[str]) -> DataFrame:
         return reach.select("centre_id", "landmark_id").join(rows, "landmark_id").select("centre_id", *columns)
@@ -343,7 +344,7 @@ def hybrid_retrieve(
     weights = weighted.withColumnRenamed("impact", "dw")
     near_terms = query_terms(here, ["query_id", "centre_id"], "query_text").withColumnRenamed("qtf", "qw")
     near = score_terms(
-        near_terms, within(weights, ["term", "landmark_id", "dw"]), ["query_id"], ["centre_id", "term"], "landmark_id"
+        near_terms, within(weights, ["term", "landmark_id", "dw"]), ["query_id"], ["centre_id", "term"], "landmark_id", within=True
     )
     far_terms = query_terms(anywhere, ["query_id"], "query_text").withColumnRenamed("qtf", "qw")
     ranked = ["query_id", "landmark_id", "rank"]
@@ -357,7 +358,7 @@ def hybrid_retrieve(
         ).withColumnRenamed("w", "qw")
         doc_parts = each(landmarks, ["landmark_id"], F.col("vector"), "bucket", "w").withColumnRenamed("w", "dw")
         similar = score_terms(
-            parts, within(doc_parts, ["bucket", "landmark_id", "dw"]), ["query_id"], ["centre_id", "bucket"], "landmark_id"
+            parts, within(doc_parts, ["bucket", "landmark_id", "dw"]), ["query_id"], ["centre_id", "bucket"], "landmark_id", within=True
         )
         everywhere = knn_cosine(
             with_name_vector(anywhere, "query_text").select("query_id", "vector"),

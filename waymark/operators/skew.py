@@ -1,6 +1,6 @@
 """Joins and order statistics that hold when one key owns much of the data."""
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,65 +22,70 @@ def each(df: DataFrame, keep: list[str], array: Column, *names: str, position: s
     return rows.select(*keep, *([position] if position else []), *[F.col(f"_e.{n}").alias(n) for n in names])
 
 
-def hot_keys(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """(keys as _hot_<key>, ``_tasks``): keys with more than one shuffle partition's share of all ``weight``.
+def shares(df: DataFrame, keys: list[str]) -> dict[int, float]:
+    """Hash of each key with more than one shuffle partition's share of the rows → how many such shares it has.
 
-    ``_tasks`` says how many such shares a key has. No more keys than shuffle
-    partitions can have one, which bounds the table whatever the size of the data.
+    One pass with a sketch of fixed size, no shuffle of the rows; no more keys than
+    there are shuffle partitions come back. The counts are estimates: results never
+    depend on them, only how rows are dealt out.
     """
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum(weight)).scalar()
-    share = F.col(weight) / total * tasks
-    return counts.where(share > 1).select(
-        *[c for c in counts.columns if c not in keys], *[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(share).cast("int").alias("_tasks")
-    )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = max(1000, 8 * tasks)
+    row = df.select(F.xxhash64(*keys).alias("_h")).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(_h, {min(tasks, tracked)}, {tracked})").alias("top")
+    ).first()
+    return {t["item"]: t["count"] * tasks / row["n"] for t in row["top"] or () if t["count"] * tasks > row["n"]}
 
 
-def _with_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
-    return df.join(F.broadcast(hot), same, "left").drop(*(f"_hot_{k}" for k in keys))
+def _cuts(keys: list[str], parts: dict[int, float]) -> Column:
+    """Into how many parts a row's key is cut: one, unless it is listed."""
+    if not parts:
+        return F.lit(1)
+    listed = F.create_map(*[F.lit(x) for h, n in sorted(parts.items()) for x in (h, math.ceil(n))])
+    return F.coalesce(F.try_element_at(listed, F.xxhash64(*keys)), F.lit(1))
 
 
 def _part(row: str | list[str], parts: Column) -> Column:
     rows = [row] if isinstance(row, str) else row
-    return F.pmod(F.xxhash64(*[F.col(c) for c in rows]), F.coalesce(parts, F.lit(1))).cast("int")
+    return F.pmod(F.xxhash64(*[F.col(c) for c in rows]), parts).cast("int")
 
 
 def _every(parts: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+    return F.explode(F.sequence(F.lit(0), parts - 1))
 
 
 def salted_join(facts: DataFrame, dims: DataFrame, keys: list[str], row_key: list[str], how: str = "left") -> DataFrame:
     """Join facts to a dimension whose keys are few rows each.
 
-    A key that holds a third of the facts would end up in one task. Facts are
-    counted per key first (combined before the shuffle); those of a key with more
-    than a task's share are spread over as many tasks as it has shares, by a hash
-    of ``row_key``, and only that key's dimension rows are repeated. All other
-    keys meet as in a plain join. Facts are read twice, so give them written.
+    A key that holds a third of the facts would end up in one task. The facts of a
+    key with more than a task's share are spread over as many tasks as it has
+    shares, by a hash of ``row_key``, and only that key's dimension rows are
+    repeated. All other keys meet as in a plain join.
     """
-    hot = hot_keys(facts.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n").drop("_n")
-    spread = _with_hot(facts, hot, keys).withColumn("_salt", _part(row_key, F.col("_tasks"))).drop("_tasks")
-    repeated = _with_hot(dims, hot, keys).withColumn("_salt", _every(F.col("_tasks"))).drop("_tasks")
+    hot = shares(facts, keys)
+    if not hot:
+        return facts.join(dims, keys, how)
+    parts = _cuts(keys, hot)
+    spread, repeated = facts.withColumn("_salt", _part(row_key, parts)), dims.withColumn("_salt", _every(parts))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], left_row: str, right_row: str) -> DataFrame:
     """Inner join of two sides that may both have many rows of one key.
 
-    Keys are weighed by the pairs they make. One with more than a task's share is
-    cut on both sides, into so many parts that each pair of parts is about a
-    share; the longer side is cut more often, which repeats the fewest rows.
+    A key with more than a task's share of one side is cut there into as many parts
+    as it has shares; one that is hot on both sides is cut on each into the square
+    root of them, so its pairs of parts are about as many. Rows are repeated for
+    the other side's parts only.
     """
-    a, b = (df.groupBy(*keys).agg(F.count("*").cast("double").alias(n)) for df, n in ((left, "_a"), (right, "_b")))
-    hot = hot_keys(a.join(b, keys).withColumn("_n", F.col("_a") * F.col("_b")), keys, "_n")
-    cut = F.ceil(F.sqrt(F.col("_tasks") * F.col("_a") / F.col("_b"))).cast("int")
-    hot = hot.withColumn("_cut_a", F.greatest(F.lit(1), F.least(F.col("_tasks"), cut)))
-    hot = hot.withColumn("_cut_b", F.ceil(F.col("_tasks") / F.col("_cut_a")).cast("int")).drop("_a", "_b", "_n", "_tasks")
-    cuts = ("_cut_a", "_cut_b")
-    x = _with_hot(left, hot, keys).withColumn("_l", _part(left_row, F.col("_cut_a"))).withColumn("_r", _every(F.col("_cut_b")))
-    y = _with_hot(right, hot, keys).withColumn("_r", _part(right_row, F.col("_cut_b"))).withColumn("_l", _every(F.col("_cut_a")))
-    return x.drop(*cuts).join(y.drop(*cuts), [*keys, "_l", "_r"]).drop("_l", "_r")
+    a, b = shares(left, keys), shares(right, keys)
+    if not a and not b:
+        return left.join(right, keys)
+    cut_a = _cuts(keys, {h: n**0.5 if h in b else n for h, n in a.items()})
+    cut_b = _cuts(keys, {h: n**0.5 if h in a else n for h, n in b.items()})
+    x = left.withColumn("_l", _part(left_row, cut_a)).withColumn("_r", _every(cut_b))
+    y = right.withColumn("_r", _part(right_row, cut_b)).withColumn("_l", _every(cut_a))
+    return x.join(y, [*keys, "_l", "_r"]).drop("_l", "_r")
 
 
 def grouped_order_stats(
