@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, tables
@@ -16,7 +17,7 @@ from waymark.operators import lookups as L
 from waymark.operators import retrieval as R
 from waymark.operators import seeds as S
 from waymark.operators.learn import distance_m
-from waymark.operators.skew import grouped_median, grouped_order_stats, nearest_rank, salted_join, split_join
+from waymark.operators.skew import grouped_median, grouped_order_stats, nearest_rank, salted_join, shares, split_join
 
 
 def test_order_stats_with_a_hot_group(spark):
@@ -32,13 +33,19 @@ def test_order_stats_with_a_hot_group(spark):
         assert p90[g] == vs[max(0, math.ceil(0.9 * len(vs)) - 1)]
 
 
-def test_salted_and_split_joins_keep_every_row(spark):
-    facts = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7).cast("int").alias("k"))
+@pytest.mark.parametrize("hot", [True, False])
+def test_salted_and_split_joins_keep_every_row(spark, hot):
+    """A key with a third of the rows, null keys, and no key with more than a task's share."""
+    key = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7) if hot else F.col("id") % 97
+    facts = spark.range(5000).select("id", F.when(F.col("id") % 11 != 0, key).cast("int").alias("k"))
     dims = spark.createDataFrame([(i, f"d{i}") for i in range(5)], "k int, d string")
+    assert bool(shares(facts, ["k"])) == hot
     plain, salted = facts.join(dims, "k", "left"), salted_join(facts, dims, ["k"], ["id"])
-    assert sorted(map(tuple, plain.select("id", "d").collect())) == sorted(map(tuple, salted.select("id", "d").collect()))
-    other = spark.range(400).select(F.col("id").alias("j"), (F.col("id") % 7).cast("int").alias("k"))
-    assert split_join(facts, other, ["k"], "id", "j").count() == facts.join(other, "k").count()
+    assert sorted(map(str, plain.select("id", "d").collect())) == sorted(map(str, salted.select("id", "d").collect()))
+    other = spark.range(400).select(F.col("id").alias("j"), (F.col("id") % (3 if hot else 97)).cast("int").alias("k"))
+    pairs = lambda df: sorted(map(tuple, df.select("id", "j").collect()))
+    assert pairs(split_join(facts, other, ["k"], "id", "j")) == pairs(facts.join(other, "k"))
+    assert shares(facts.limit(0), ["k"]) == {}
 
 
 def test_nearest_places(spark):
