@@ -6,8 +6,9 @@ from waymark.functions import tables
 from waymark.functions import text as X
 from waymark.operators import evaluate as E
 from waymark.operators import scoring as S
-from waymark.plans import sql
-from waymark.plans.jobs_retrieval import CITY_SQL, FIELDS_SQL, calibrated
+from waymark.plans import chain, sql
+from waymark.plans.jobs_corpus import corpus
+from waymark.plans.jobs_retrieval import CITY_SQL, FIELDS_SQL, calibrated, index
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
 from waymark.sources.warehouse import Warehouse, reference_table
@@ -205,6 +206,42 @@ def metrics_by_perturbation(spark, sf):
     return E.score_fields(rows, ["perturbation"])
 
 
+@reference_table("corpus_graded")
+def _corpus_graded(w):
+    """Each row of the corpus as each configuration resolves it, beside the truth of its seed."""
+    rows = corpus(w.spark, w.sf_dir).select(F.col("address_id").alias("order_id"), "raw", "seed_id", "building", "perturbations")
+    seeds = w.table("seeds")
+    known = [f for f in tables.FIELDS if f != "building" and f in seeds.columns]
+    truth = rows.withColumnRenamed("building", "true_building").join(
+        seeds.select("seed_id", *[F.col(f).alias(f"true_{f}") for f in known], F.col("lat").alias("true_lat"), F.col("lng").alias("true_lng")), "seed_id"
+    )
+    truth = truth.withColumns({f"true_{f}": F.lit(None).cast("string") for f in tables.FIELDS if f"true_{f}" not in truth.columns})
+    truth = truth.select("order_id", "perturbations", *[f"true_{f}" for f in tables.FIELDS], "true_lat", "true_lng")
+    runs = None
+    for config in ("A", "R1", "R2"):
+        found = chain.resolve(rows.select("order_id", "raw"), w.table("gazetteer"), w.table("localities"), index(w) if config != "A" else None, config)
+        found = found.select(
+            F.lit(config).alias("config"), "order_id", "status", "confidence", *[F.col(f).alias(f"pred_{f}") for f in tables.FIELDS],
+            F.col("geo.lat").alias("pred_lat"), F.col("geo.lng").alias("pred_lng"),
+        )
+        runs = found if runs is None else runs.unionByName(found)
+    return runs.join(truth, "order_id")
+
+
+@job("corpus_ablation", "EV8 EV10")
+def corpus_ablation(spark, sf):
+    """The model-free configurations over the whole corpus, by their own status and confidence."""
+    return E.run_metrics(Warehouse(spark, sf).table("corpus_graded"), ["config"])
+
+
+@job("corpus_by_perturbation", "EV11")
+def corpus_by_perturbation(spark, sf):
+    """Counts per configuration, field and perturbation of the corpus; rows without any count as clean."""
+    marks = F.when(F.size("perturbations") == 0, F.array(F.lit("clean"))).otherwise(F.col("perturbations"))
+    rows = Warehouse(spark, sf).table("corpus_graded").withColumn("perturbation", F.explode(marks))
+    return E.score_fields(rows, ["config", "perturbation"])
+
+
 CORRECT = f"""({' and '.join(f"({comp('true_' + f)} is null or {comp('pred_' + f)} is not distinct from {comp('true_' + f)})" for f in tables.FIELDS)} and coalesce({ERR} <= 500, true))"""
 SCORED_SQL = GRADED_SQL + f", scored as (select order_id, confidence as score, {CORRECT} as correct from graded)"
 
