@@ -66,3 +66,13 @@ def test_blocks_of_a_long_text(monkeypatch):
     for before, block in decontaminate.words_in_blocks(text.encode(), 4):
         got.update({before + i: w.decode() for i, w in enumerate(block)})
     assert [got[i] for i in range(len(got))] == words(text)
+
+
+def test_benchmark_text_whose_first_block_has_few_words(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(1, "alpha beta " + "." * (1 << 21) + " " + passage), (2, "." * (1 << 21) + " solo word"), (3, "gamma" + " " * (1 << 21) + "delta")]
+    docs = [(1, "clean text with alpha beta in it"), (2, "x " + passage + " y"), (3, "a solo word"), (4, "gamma alone"), (5, "gamma delta")]
+    docs += [(6, "alpha beta " + " ".join(passage.split()[:8]))]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = plain(docs, items)
+    assert rows(decontaminate.contamination(d, b)) == want and {r[0] for r in want if not r[5]} == {1, 4}

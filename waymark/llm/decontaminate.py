@@ -40,6 +40,16 @@ def words_in_blocks(data: bytes, overlap: int):
         at = max(end, 1)
 
 
+def window_of(data: bytes, longest: int) -> int:
+    """``longest``, or the number of all words of a shorter text; reads no further than it must."""
+    total = 0
+    for before, words in words_in_blocks(data, 0):
+        total = before + len(words)
+        if total >= longest:
+            break
+    return min(longest, total)
+
+
 class Hashes(dict):
     """Hashes of words, of so many at most at a time."""
 
@@ -110,13 +120,11 @@ def item_rows(rows: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             out = []
             for i, data in enumerate(blobs(batch.column("text"))):
-                length = None
-                for before, words in words_in_blocks(data, longest):
-                    length = length or min(longest, len(words))
-                    if length:
-                        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                        places, found = winnowed(hashes, length)
-                        _emit(out, i, length, found, places, words, before)
+                length = window_of(data, longest)
+                for before, words in words_in_blocks(data, longest) if length else ():
+                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    places, found = winnowed(hashes, length)
+                    _emit(out, i, length, found, places, words, before)
             if out:
                 picked, lengths, hashes, _, left, right = zip(*out)
                 yield pa.RecordBatch.from_arrays(
