@@ -99,3 +99,11 @@ def op2_fingerprints(spark, sf_dir):
     from waymark.llm.sketch import fingerprinted
 
     return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """Embeddings projected on the components of their covariance, scaled to unit variance."""
+    from waymark.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
