@@ -107,3 +107,21 @@ def op12_whitening(spark, sf_dir):
     from waymark.llm.whitening import whitened
 
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    """Documents' tokens of two vocabularies, aligned, with how common their linked pairs are."""
+    import public_tokenizers
+
+    from waymark.llm.alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_setsketch(spark, sf_dir):
+    """Documents with near-equal sets of two-word shingles."""
+    from waymark.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
