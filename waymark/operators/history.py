@@ -1,7 +1,5 @@
 """Questions about earlier and later rows of the same key, safe for hot keys."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,50 +39,62 @@ def neighbour_time(
     )
 
 
+def nearest_key(key: str) -> Column:
+    """A key as a string that joins like any other value when it is null."""
+    return F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+
+
+def entry_times(stores: DataFrame, life: Column) -> DataFrame:
+    """Of the times ``t`` at which a key ``k`` could store an entry those at which it does: none of its entries was alive.
+
+    Each entry names the next one, the first storing time after its end, and which times
+    are entries depends on where that walk begins. A time without any other in the
+    ``life`` before it is an entry whatever came earlier. From those on, pointers are
+    followed in doubling steps: after n rounds every entry within 2**n steps is
+    known. Nodes are dealt out by key and time, so the entries of a hot key are found
+    by all tasks, in as many rounds as the logarithm of its longest unbroken chain.
+    """
+    nodes = staged(stores.distinct(), "storing_times")
+    node = F.struct(F.lit(0).alias("probe"), F.col("t").alias("own"))
+    probe = F.struct(F.lit(1).alias("probe"), F.col("t").alias("own"))
+    both = nodes.select("k", "t", node.alias("n")).unionByName(nodes.select("k", (F.col("t") + life).alias("t"), probe.alias("n")))
+    seen = neighbour_time(both, "k", "t", "n", F.col("n.probe") == 0, "next", after=True)
+    ahead = seen.where("n.probe = 1 and next is not null").select("k", F.col("n.own").alias("t"), "next")
+    before = neighbour_time(nodes.withColumn("n", F.lit(0)), "k", "t", "n", F.lit(True), "before")
+    reached = staged(before.where(F.col("before").isNull() | (F.col("before") + life < F.col("t"))).select("k", "t"), "first_entries")
+    # a pointer to such an entry tells nothing new
+    jumps = staged(ahead.join(reached.withColumnRenamed("t", "next"), ["k", "next"], "left_anti").select("k", "t", "next"), "next_entries")
+    while True:
+        more = staged(reached.join(jumps, ["k", "t"]).select("k", F.col("next").alias("t")), "further_entries")
+        if more.isEmpty():
+            return reached
+        reached = staged(reached.unionByName(more), "entries")
+        twice = jumps.select("k", F.col("t").alias("next"), F.col("next").alias("after"))
+        jumps = staged(jumps.join(twice, ["k", "next"]).select("k", "t", F.col("after").alias("next")), "doubled_entries")
+
+
 def asof_cache_hit(requests: DataFrame, key: str, ts: str, tie: str, resolved: Column, ttl: str) -> DataFrame:
     """Adds cache_hit: an entry stored by an earlier row of the key was still alive.
 
     A resolved row stores an entry when it misses; a hit stores none and does not
-    prolong the one it found. That makes a key's entries a walk from one to the
-    next, which each follows from the one before only: rows are sorted by Spark and
-    pass through with the time of the last entry as all the state there is, so a
-    hot key costs time, never memory. Rows of a null key are a key's rows.
+    prolong the one it found. Entries come from ``entry_times``; each row then looks for the
+    nearest earlier one, range by range, so no task ever walks a key's history.
+    ``tie`` orders rows of one time. Rows of a null key are a key's rows; rows without a time
+    neither hit nor store.
     """
-    rows = requests.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_stores", F.coalesce(resolved, F.lit(False)))
-    rows = rows.withColumn("_key", F.xxhash64(key)).withColumn("_life", F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {ttl}")))
-    sorted_rows = rows.repartition(key).sortWithinPartitions(key, ts, tie)
-
-    def walk(batches):
-        last_key, expiry = None, None
-        for batch in batches:
-            n = batch.num_rows
-            keys, micros = np.asarray(batch.column("_key")), np.asarray(batch.column("_micros").fill_null(0))
-            stores = np.asarray(batch.column("_stores"))
-            hit = np.zeros(n, bool)
-            if n:
-                life = batch.column("_life")[0].as_py()
-                cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [n]])
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if keys[lo] != last_key:
-                        last_key, expiry = keys[lo], None
-                    at, times = lo, micros[lo:hi]
-                    storing = lo + np.flatnonzero(stores[lo:hi])
-                    while at < hi:
-                        if expiry is not None:
-                            end = lo + int(np.searchsorted(times, expiry, "right"))
-                            hit[at:end] = True
-                            at = max(at, end)
-                        i = int(np.searchsorted(storing, at))
-                        if i == len(storing):
-                            if at < hi:
-                                expiry = None
-                            break
-                        at = int(storing[i]) + 1
-                        expiry = int(micros[at - 1]) + life
-            kept = [c for c in batch.schema.names if c not in ("_key", "_micros", "_stores", "_life")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hit)], [*kept, "cache_hit"])
-
-    return sorted_rows.mapInArrow(walk, requests.withColumn("cache_hit", F.lit(False)).schema)
+    life = F.expr(f"interval {ttl}")
+    rows = requests.withColumns(
+        {"_k": nearest_key(key), "_at": F.col(ts).cast("timestamp"), "_stores": F.coalesce(resolved, F.lit(False))}
+    )
+    stores = rows.where("_stores and _at is not null")
+    entries = entry_times(stores.select(F.col("_k").alias("k"), F.col("_at").alias("t")), life)
+    storing = stores.groupBy("_k", "_at").agg(F.min(tie).alias("_tie"))
+    storing = storing.join(entries.select(F.col("k").alias("_k"), F.col("t").alias("_at")), ["_k", "_at"], "left_semi")
+    told = rows.where(F.col("_at").isNotNull()).join(storing, ["_k", "_at"], "left")
+    found = neighbour_time(told, "_k", "_at", tie, F.col("_stores") & (F.col("_tie") == F.col(tie)), "_stored")
+    hit = F.coalesce(F.col("_stored") + life >= F.col("_at"), F.lit(False))
+    timeless = requests.where(F.col(ts).isNull()).withColumn("cache_hit", F.lit(False))
+    return found.select(*requests.columns, hit.alias("cache_hit")).unionByName(timeless)
 
 
 def first_in_ttl(events: DataFrame, key: str, ts: str, tie: str, ttl: str) -> DataFrame:
