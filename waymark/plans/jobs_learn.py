@@ -387,6 +387,18 @@ def compact_landmarks(spark, sf):
     )
 
 
+@job("merge_landmarks", "DO2")
+def merge_landmarks(spark, sf):
+    """Offices of like names near one another as one landmark, whichever cells they stand in."""
+    from waymark.operators.compaction import merge_landmarks as merge
+
+    rows = view(spark, sf, "office").select(
+        F.col("office_id").alias("landmark_id"), F.col("office_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"),
+        "lat", "lng", F.col("observation_count").cast("int").alias("observation_count"),
+    )
+    return merge(rows, metres=600.0)
+
+
 @job(
     "apply_answers", "DO3",
     """with a as (select order_id, raw, case when order_id % 4 = 0 then 'Answered Colony' end as locality, case when order_id % 6 = 0 then true_pincode end as pincode from address)
@@ -414,6 +426,25 @@ def as_stream(df, name, files_per_batch=1000):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def arriving(df, name, ts="ts", tie="event_id", key=None):
+    """Rows as a stream of micro-batches in the order they arrive: up to nine minutes after their time.
+
+    The last batch is a row of no key, a day after all others, that only moves the watermark on.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    late = F.make_dt_interval(secs=F.pmod(F.xxhash64(tie), F.lit(540)))
+    rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_at", F.col(ts) + late)
+    for lo, hi in ((0, 7), (7, 14), (14, 21), (21, 99)):
+        part = rows.where(F.dayofmonth("_at").between(lo + 1, hi)).drop("_at")
+        part.coalesce(1).write.mode("append").parquet(path)
+    last = rows.agg(F.max(ts).alias(ts)).select(
+        *[(F.col(ts) + F.expr("interval 1 day") if c == ts else F.lit(None).cast(t)).alias(c) for c, t in rows.drop("_at").dtypes]
+    )
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("_at").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drained(stream, name, mode="append"):
     """Run a stream over what is there and read what it wrote."""
     spark = stream.sparkSession
@@ -430,8 +461,8 @@ def drained(stream, name, mode="append"):
       case when rejected then 'too far' end as rejected, round(lat, 6) as lat, round(lng, 6) as lng from walk where n > 0
     union all select event_id, landmark_id, 0, 0, 'landmark not in graph', null, null from ev where landmark_id not in (select landmark_id from start)""")
 def stream_learn_landmarks(spark, sf):
-    audit = streams.learn_landmarks(as_stream(deliveries(spark, sf), "deliveries"), known_landmarks(spark, sf))
-    return drained(audit, "audit").select(
+    audit = streams.learn_landmarks(arriving(deliveries(spark, sf), "deliveries"), known_landmarks(spark, sf))
+    return drained(audit, "audit").where(F.col("landmark_id").isNotNull()).select(
         "event_id", "landmark_id", "before_observations", "after_observations", "rejected",
         F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
     )
@@ -453,11 +484,31 @@ def stream_metric_windows(spark, sf):
     )
 
 
-@job("stream_dedupe", "SM6 SRC6", "select user_id as cache_key, count(*) as kept from (select distinct user_id from events) group by 1")
+@job(
+    "stream_dedupe", "SM6 SRC6",
+    f"with e as (select event_id, user_id, ts, true as stores from events), {ENTRIES.format(ttl='2 hours')} select user_id as cache_key, count(*) as kept from looked where not cache_hit group by 1",
+)
 def stream_dedupe(spark, sf):
-    events = table(spark, sf, "events").select(F.col("user_id").alias("cache_key"), F.col("ts").cast("timestamp").alias("ts"))
-    out = drained(streams.dedupe_resolutions(as_stream(events, "resolutions")), "deduped")
-    return out.groupBy("cache_key").agg(F.count("*").alias("kept"))
+    """Rows of each key that store an entry; most keys have several."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("cache_key"), "event_id", "ts")
+    out = drained(streams.dedupe_resolutions(arriving(events, "resolutions"), "2 hours"), "deduped")
+    return out.where(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(F.count("*").alias("kept"))
+
+
+@job(
+    "stream_timeouts", "SM7 SRC6",
+    """with e as (select * from events where event_type in ('error', 'purchase')),
+    f as (select *, min(case when event_type = 'purchase' then ts end) over (partition by user_id order by ts desc, event_id desc rows between unbounded preceding and 1 preceding) as reply from e)
+    select event_id, user_id, ts + interval 6 hours as due from f where event_type = 'error' and (reply is null or reply >= ts + interval 6 hours)""",
+)
+def stream_timeouts(spark, sf):
+    """Questions that stay open for six hours, found by timers."""
+    kind = F.col("event_type")
+    events = table(spark, sf, "events").where(kind.isin("error", "purchase")).select(
+        F.col("user_id").alias("order_id"), "event_id", "ts", (kind == "error").alias("question"), (kind == "purchase").alias("reply")
+    )
+    out = drained(streams.unanswered(arriving(events, "questions")), "timeouts").where(F.col("order_id").isNotNull())
+    return out.select("event_id", F.col("order_id").alias("user_id"), F.col("due").cast("timestamp_ntz").alias("due"))
 
 
 @job("stream_needs_info", "SM5 SRC6")

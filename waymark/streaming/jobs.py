@@ -1,78 +1,150 @@
 """The asynchronous consumers as Structured Streaming jobs."""
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from waymark.operators import decide, learn, policy
-from waymark.operators.learn import AUDIT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LANDMARK_STATE = (
-    "lat double, lng double, raw_lat double, raw_lng double, observations int, confidence double, known array<string>"
-)
+POSITION = "lat double, lng double, raw_lat double, raw_lng double, observations int, confidence double"
 FIELDS = ("lat", "lng", "raw_lat", "raw_lng", "observations", "confidence")
+#: How long a stream waits for rows that come out of order.
+LATE = "10 minutes"
+
 
+class InOrder(StatefulProcessor):
+    """Applies a key's rows in the order of ``ts`` and ``tie``, whatever order they come in.
+
+    Rows wait in list state until the watermark has passed them; then all that are due are
+    applied at once, sorted. So a stream gives what a batch over the same rows gives, in as
+    many micro-batches as there are. A row that comes after the watermark has passed its
+    time is late: it is dropped before it gets here and counted in the query's progress.
+    A subclass keeps its own state and gives its output in ``applied``.
+    """
 
-class LandmarkLearner(StatefulProcessor):
-    """Keeps each landmark's position as value state, seeded from the landmark table."""
+    def __init__(self, schema: StructType, ts: str = "ts", tie: str = "event_id"):
+        self.schema, self.ts, self.tie = schema, ts, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("landmark", LANDMARK_STATE)
-
-    def handleInitialState(self, key, rows, timer_values) -> None:
-        for batch in [rows] if isinstance(rows, pd.DataFrame) else rows:
-            for row in batch.to_dict("records"):
-                self._save(learn.initial_state(row))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        # one key's rows of one micro-batch
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for row in batch.to_dict("records"):
-            state, audit = learn.step(state, learn.event_of(row))
-            out.append({"landmark_id": key[0], **audit})
-        if state is not None:
-            self._save(state)
-        yield pd.DataFrame(out)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList([tuple(_plain(v) for v in row) for row in batch[self.schema.names].itertuples(index=False)])
+                top = millis(batch[self.ts].max())
+                latest = top if latest is None else max(latest, top)
+        if latest is not None:
+            self.handle.registerTimer(latest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.schema.names)
+        due = held[self.ts].map(millis) <= now if len(held) else pd.Series([], dtype=bool)
+        rest = held[~due]
+        if len(rest):
+            self.waiting.put([tuple(_plain(v) for v in row) for row in rest.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        yield from self.applied(key, held[due].sort_values([self.ts, self.tie]), now)
+
+    def applied(self, key, rows: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
-    def _load(self):
-        if not self.state.exists():
-            return None
-        values = self.state.get()
-        return {**dict(zip(FIELDS, values[:6])), "known": frozenset(values[6])}
 
-    def _save(self, state) -> None:
-        if state is not None:
-            self.state.update((*[state[c] for c in FIELDS], sorted(state["known"])))
-
-
-def learn_landmarks(deliveries: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """Audit rows of a delivery stream (columns as in learn.learning_audit)."""
-    deliveries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    start = landmarks.select(
-        "landmark_id",
-        F.col("lat").alias("start_lat"), F.col("lng").alias("start_lng"),
-        F.col("observation_count").alias("start_observations"), F.col("confidence").alias("start_confidence"),
-        F.concat(F.array("canonical_name"), "aliases").alias("start_names"),
-    ).groupBy("landmark_id")
-    id_type = dict(deliveries.dtypes)["landmark_id"]
-    return deliveries.groupBy("landmark_id").transformWithStateInPandas(
-        statefulProcessor=LandmarkLearner(),
-        outputStructType=AUDIT.format(id=id_type),
-        outputMode="append",
-        timeMode="none",
-        initialState=start,
+def micros(ts) -> int:
+    return pd.Timestamp(ts).value // 1000
+
+
+def millis(ts) -> int:
+    """A time in milliseconds, rounded up: no row is due before the watermark has reached all of it."""
+    return -(-micros(ts) // 1000)
+
+
+def _plain(value):
+    """A cell of a pandas row as state takes it."""
+    if value is None or value is pd.NaT or isinstance(value, float) and value != value:
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
+
+def in_order(stream: DataFrame, key: str, processor: InOrder, output: str, late: str, initial=None) -> DataFrame:
+    """Output of ``processor`` over a stream's rows by key, with ``late`` as the watermark on its time."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.withWatermark(processor.ts, late).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="EventTime", initialState=initial
     )
 
 
+class LandmarkLearner(InOrder):
+    """Keeps each landmark's position as value state and its spellings as map state, seeded from the landmark table."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.position = handle.getValueState("position", POSITION)
+        self.known = handle.getMapState("known", "spelling string", "added boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for batch in [initialState] if isinstance(initialState, pd.DataFrame) else initialState:
+            for row in batch.to_dict("records"):  # one row per landmark
+                state = learn.initial_state(row)
+                if state is not None:
+                    self.position.update(tuple(state[c] for c in FIELDS))
+                    for name in state["known"]:
+                        self.known.updateValue((name,), (False,))
+
+    def applied(self, key, rows, now):
+        state = None
+        if self.position.exists():
+            known = Spellings(self.known)
+            state = {**dict(zip(FIELDS, self.position.get())), "known": known}
+        state, audit = learn.walked(state, rows)
+        if state is not None:
+            self.position.update(tuple(state[c] for c in FIELDS))
+        if audit:
+            yield learn.shaped([{"landmark_id": key[0], **a} for a in audit], learn.AUDIT_COLUMNS)
+
+
+class Spellings:
+    """The spellings of a landmark in map state: looked up and added one by one, never read as a whole."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __contains__(self, name: str) -> bool:
+        return self.state.containsKey((name,))
+
+    def __or__(self, names) -> "Spellings":
+        for name in names:
+            self.state.updateValue((name,), (True,))
+        return self
+
+
+def learn_landmarks(deliveries: DataFrame, landmarks: DataFrame, late: str = LATE) -> DataFrame:
+    """Audit rows of a delivery stream (columns as in learn.learning_audit), each once the watermark has passed its time."""
+    start = learn.start_rows(landmarks).groupBy("landmark_id")
+    rows = deliveries.select("landmark_id", *learn.EVENT).withColumn("ts", F.col("ts").cast("timestamp"))
+    processor = LandmarkLearner(rows.drop("landmark_id").schema)
+    output = learn.AUDIT.format(id=dict(deliveries.dtypes)["landmark_id"]).replace("timestamp_ntz", "timestamp")
+    found = in_order(rows, "landmark_id", processor, output, late, start)
+    return found.withColumn("ts", F.col("ts").cast(dict(deliveries.dtypes)["ts"]))
+
+
 METRICS = (
     "resolution_rate", "clarification_rate", "ambiguous_rate", "escalation_rate", "cache_hit_rate", "model_call_rate",
     "geo_from_graph_rate", "geo_from_centroid_rate", "cost_per_address",
@@ -94,9 +166,88 @@ def metric_windows(metrics: DataFrame, late: str = "10 minutes", width: str = "5
     )
 
 
-def dedupe_resolutions(resolutions: DataFrame, ttl: str = "90 days") -> DataFrame:
-    """The first resolution of each key; repeats inside the watermark are dropped."""
-    return resolutions.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["cache_key"])
+class EntryKeeper(InOrder):
+    """Lets a key's row through when no entry is alive; that row is the next entry. A row that finds one does not prolong it."""
+
+    def __init__(self, schema, ts, tie, life_ms: int):
+        super().__init__(schema, ts, tie)
+        self.life_us = life_ms * 1000
+
+    def init(self, handle):
+        super().init(handle)
+        self.stored = handle.getValueState("stored", "at bigint")
+
+    def applied(self, key, rows, now):
+        stored = self.stored.get()[0] if self.stored.exists() else None
+        keep = []
+        for at in (pd.Timestamp(t).value // 1000 for t in rows[self.ts]):
+            keep.append(stored is None or at > stored + self.life_us)
+            if keep[-1]:
+                stored = at
+        if stored is not None:
+            self.stored.update((stored,))
+        if any(keep):
+            yield rows[keep].assign(cache_key=key[0])[["cache_key", *self.schema.names]]
+
+
+def dedupe_resolutions(resolutions: DataFrame, ttl: str = "90 days", tie: str = "event_id", late: str = LATE) -> DataFrame:
+    """The resolutions that store an entry of their ``cache_key``: as ``history.first_in_ttl``, counted from the stored entry."""
+    rows = resolutions.select("cache_key", *[c for c in resolutions.columns if c != "cache_key"])
+    schema = rows.drop("cache_key").schema
+    output = StructType([rows.schema["cache_key"], *schema.fields])
+    return in_order(rows, "cache_key", EntryKeeper(schema, "ts", tie, milliseconds(ttl)), output, late)
+
+
+def milliseconds(interval: str) -> int:
+    """Of an interval such as '6 hours'."""
+    return round(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+class ReplyWaiter(InOrder):
+    """Gives each question that no reply answers in time, when that time is over.
+
+    An open question has a timer at its due time. A reply cancels the questions that it is
+    in time for; it need not be kept, for rows are applied in order and so meet every question before them.
+    """
+
+    def __init__(self, schema, ts, tie, wait_ms: int):
+        super().__init__(schema, ts, tie)
+        self.wait_us = wait_ms * 1000
+
+    def init(self, handle):
+        super().init(handle)
+        self.open = handle.getListState("open", self.schema)
+
+    def applied(self, key, rows, now):
+        due = lambda q: micros(q[self.ts]) + self.wait_us
+        asked = pd.DataFrame(list(self.open.get()), columns=self.schema.names).to_dict("records")
+        for row in rows.to_dict("records"):
+            if row["reply"]:
+                asked = [q for q in asked if due(q) <= micros(row[self.ts])]
+            elif row["question"]:
+                asked.append(row)
+        overdue = [q for q in asked if due(q) <= now * 1000]
+        rest = [q for q in asked if due(q) > now * 1000]
+        for q in rest:
+            self.handle.registerTimer(-(-due(q) // 1000))
+        if rest:
+            self.open.put([tuple(_plain(q[c]) for c in self.schema.names) for q in rest])
+        else:
+            self.open.clear()
+        if overdue:
+            yield pd.DataFrame(overdue, columns=self.schema.names).assign(order_id=key[0])[["order_id", *self.schema.names]]
+
+
+def unanswered(events: DataFrame, wait: str = "6 hours", tie: str = "event_id", late: str = LATE) -> DataFrame:
+    """Questions of a stream without a reply of the same order within ``wait``, with ``due``, as ``history.unanswered``.
+
+    events: order_id, ``tie``, ts, question and reply (booleans); other columns come along.
+    """
+    rows = events.select("order_id", *[c for c in events.columns if c != "order_id"])
+    schema = rows.drop("order_id").schema
+    output = StructType([rows.schema["order_id"], *schema.fields])
+    found = in_order(rows, "order_id", ReplyWaiter(schema, "ts", tie, milliseconds(wait)), output, late)
+    return found.drop("question", "reply").withColumn("due", F.col("ts") + F.expr(f"interval {wait}"))
 
 
 def needs_info(resolutions: DataFrame, order_cases: DataFrame) -> DataFrame:
@@ -121,33 +272,91 @@ def needs_info(resolutions: DataFrame, order_cases: DataFrame) -> DataFrame:
     )
 
 
-def upsert_sink(stream: DataFrame, target_dir: str, key: str, order: list[str], checkpoint: str):
-    """Land a stream as key merges: every micro-batch writes a new snapshot folder.
+def upsert_sink(stream: DataFrame, target_dir: str, key: str, order: list[str], checkpoint: str, buckets: int = 16):
+    """Land a stream as key merges; see ``merge_batch``."""
+    merge = lambda batch, batch_id: merge_batch(batch, batch_id, target_dir, key, order, buckets)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    A key keeps its newest row by ``order``, whichever batch it came in, so a late
-    row never replaces a newer state.
+def merge_batch(batch: DataFrame, batch_id: int, target_dir: str, key: str, order: list[str], buckets: int = 16) -> None:
+    """Merge one micro-batch into a table of key buckets, of which it writes those only that it touches.
 
-    A snapshot is named after its batch, so a batch that runs again after a
-    failure overwrites its own output only.
+    A key keeps its newest row by ``order``, whichever batch it came in, so a late row never
+    replaces a newer state. New bucket files stand beside the old ones until a manifest that
+    names the current file of every bucket is moved into place, in one step; readers see the
+    table before or after a batch, never between. A batch whose manifest is there has been
+    merged: run again after a failure it changes nothing. The number of buckets is that of
+    the first manifest.
     """
-    spark = stream.sparkSession
+    spark = batch.sparkSession
+    last = manifest(spark, target_dir)
+    if last and last["batch"] >= batch_id:
+        return
+    count = last["buckets"] if last else buckets
+    place = F.pmod(F.xxhash64(key), F.lit(count)).alias("_bucket")
+    rows = batch.select(place, F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row"))
+    touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
+    held = last["files"] if last else {}
+    old = [held[str(b)] for b in touched if str(b) in held]
+    if old:
+        before = spark.read.schema(batch.schema).parquet(*old)
+        rows = rows.unionByName(before.select(place, F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row")))
+    newest = F.max_by("_row", F.struct(*(F.col(f"_row.`{c}`") for c in order)))
+    merged = rows.groupBy("_bucket", F.col(f"_row.`{key}`").alias("_key")).agg(newest.alias("_row")).select("_bucket", "_row.*")
+    folder = f"{target_dir}/data/batch={batch_id:010d}-{uuid.uuid4().hex}"
+    if touched:
+        merged.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(folder)
+    now = {"batch": batch_id, "buckets": count, "files": held | {str(b): f"{folder}/_bucket={b}" for b in touched}}
+    _put(spark, f"{target_dir}/manifest/{batch_id:010d}.json", json.dumps(now))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        previous = latest_snapshot(spark, target_dir, before=batch_id)
-        rows = batch if previous is None else previous.unionByName(batch)
-        merged = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
-        merged.write.mode("overwrite").parquet(f"{target_dir}/snapshot={batch_id:010d}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def latest_snapshot(spark: SparkSession, target_dir: str, before: int | None = None) -> DataFrame | None:
-    """The newest written snapshot, or None."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(target_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("snapshot=")]
-    kept = sorted(n for n in found if before is None or int(n.split("=")[1]) < before)
-    return spark.read.parquet(f"{target_dir}/{kept[-1]}") if kept else None
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a name of its own and move it into place."""
+    fs, at = _files(spark, path)
+    _, own = _files(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(own, at):
+        raise OSError(f"{path} could not be moved into place")
+
+
+def manifests(spark: SparkSession, target_dir: str) -> list[str]:
+    """Paths of a table's manifests, oldest first."""
+    fs, at = _files(spark, f"{target_dir}/manifest")
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return [f"{target_dir}/manifest/{n}" for n in sorted(names) if n.endswith(".json") and not n.startswith(".")]
+
+
+def manifest(spark: SparkSession, target_dir: str) -> dict | None:
+    """The newest manifest of a table, or None."""
+    found = manifests(spark, target_dir)
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) if found else None
+
+
+def latest_snapshot(spark: SparkSession, target_dir: str) -> DataFrame | None:
+    """The table as of its newest manifest, or None."""
+    last = manifest(spark, target_dir)
+    return spark.read.parquet(*last["files"].values()) if last and last["files"] else None
+
+
+def vacuum(spark: SparkSession, target_dir: str, keep: int = 2) -> list[str]:
+    """Delete manifests before the newest ``keep`` and the bucket files that only they name; returns the files' paths."""
+    found = manifests(spark, target_dir)
+    if len(found) <= keep:
+        return []
+    read = lambda path: set(json.loads(spark.read.text(path, wholetext=True).first()[0])["files"].values())
+    current = set().union(*map(read, found[-keep:]))
+    old = sorted(set().union(*map(read, found[:-keep])) - current)
+    for path in [*found[:-keep], *old]:  # manifests first: no reader is left with a file that goes
+        fs, at = _files(spark, path)
+        fs.delete(at, True)
+    return old
