@@ -44,23 +44,33 @@ def unknown_pincode_tokens(df: DataFrame, gazetteer: DataFrame, key: str, tokens
     return salted_join(facts, known, ["pincode"], [key], "left").where(F.col("_known").isNull()).drop("_known")
 
 
-def locality_agreement(df: DataFrame, localities: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
-    """Adds locality_agrees (true, false, null) and matched_locality.
+def anchors(names: DataFrame, block: list[str], name: str) -> DataFrame:
+    """(block, name, word): each name with its rarest word among all names, of equally rare ones the first.
 
-    A name that stands in the text starts with one of the text's words, so
-    candidates come from an equality join on (pincode, first word) and only
-    those are looked for in the text.
+    A text that contains a name as a phrase has every word of the name, so the rarest
+    is enough to meet it on; common words, which many names share, are met by few.
     """
-    names = localities.select("pincode", F.lower("locality").alias("name")).withColumn(
-        "word", G.first_word(F.col("name"))
-    )
-    words = each(
-        df.where(F.col("pincode").isNotNull()),
-        [key, "pincode", text], F.array_distinct(X.word_tokens(F.col(text))), "word",
-    )
+    words = each(names.select(*block, name).distinct(), [*block, name], F.array_distinct(X.word_tokens(F.col(name))), "word")
+    shared = words.groupBy("word").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct("_n", "word")).alias("_a")
+    return words.join(shared, "word").groupBy(*block, name).agg(rarest).select(*block, name, F.col("_a.word").alias("word"))
+
+
+def contained(texts: DataFrame, names: DataFrame, key: str, text: str, block: list[str], name: str) -> DataFrame:
+    """(key, name) of all names that stand in a text as phrases, among those of the text's block.
+
+    Words meet the names' anchors without the text; it is joined back once, to the names that remain possible.
+    """
+    words = each(texts, [key, *block], F.array_distinct(X.word_tokens(F.col(text))), "word")
+    met = salted_join(words, staged(anchors(names, block, name), "anchors"), [*block, "word"], [key, "word"], "inner").select(key, name)
+    return texts.select(key, text).join(met, key).where(X.contains_phrase(F.lower(text), F.col(name))).select(key, name)
+
+
+def locality_agreement(df: DataFrame, localities: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
+    """Adds locality_agrees (true, false, null) and matched_locality: the longest name of the pincode that stands in the text."""
+    names = localities.select("pincode", F.lower("locality").alias("name")).where(F.length("name") >= 4)
     found = (
-        salted_join(words, names.where(F.length("name") >= 4), ["pincode", "word"], [key, "word"], "inner")
-        .where(X.contains_phrase(F.lower(text), F.col("name")))
+        contained(df.where(F.col("pincode").isNotNull()), names, key, text, ["pincode"], "name")
         .groupBy(key)
         .agg(F.max(F.struct(F.length("name").alias("n"), F.col("name"))).alias("_m"))
         .select(key, F.col("_m.name").alias("matched_locality"))
@@ -82,13 +92,10 @@ def state_conflict(df: DataFrame) -> DataFrame:
 
 def find_city_exact(df: DataFrame, cities: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
     """Rows (key, city): the longest district name that stands in the text."""
-    wanted = cities.where(
-        (F.length("city_key") >= 4) & ~F.col("city_key").isin(*tables.COMPASS_DISTRICTS)
-    ).withColumn("word", G.first_word(F.col("city_key")))
-    words = each(df, [key, text], F.array_distinct(X.word_tokens(F.col(text))), "word")
+    wanted = cities.where((F.length("city_key") >= 4) & ~F.col("city_key").isin(*tables.COMPASS_DISTRICTS))
     return (
-        salted_join(words, wanted, ["word"], [key, "word"], "inner")
-        .where(X.contains_phrase(F.lower(text), F.col("city_key")))
+        contained(df, wanted, key, text, [], "city_key")
+        .join(wanted.select("city_key", "city"), "city_key")
         .groupBy(key)
         .agg(F.max_by("city", F.struct(F.length("city_key"), F.col("city_key"))).alias("city"))
     )
@@ -211,12 +218,13 @@ def parse_addresses(
 ) -> DataFrame:
     """The whole deterministic parse, one row per input row.
 
-    Two stages are written on the way: the parsed text, which every lookup
-    reads, and the placed rows, which the city and landmark steps read.
+    Three stages are written on the way: the parsed text, the rows with their
+    pincode, and the placed rows, each of which several steps read.
     """
     cities = G.known_cities(gazetteer)
     parsed = staged(P.parse_text(df, text), "parsed_text")
-    placed = locality_agreement(resolve_pincode(parsed, gazetteer, key), localities, key)
+    pinned = staged(resolve_pincode(parsed, gazetteer, key), "pinned")
+    placed = locality_agreement(pinned, localities, key)
     placed = state_conflict(placed).withColumn("state", F.coalesce("pincode_state", "stated_state"))
     placed = staged(placed, "placed")
     # a misspelt city is only looked for where neither pincode nor exact name gives one

@@ -12,7 +12,7 @@ from waymark.operators import placing
 from waymark.plans import sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table, widened
+from waymark.sources.warehouse import Warehouse, reference_table, staged, widened
 
 
 def offices_as_rows(spark, sf):
@@ -67,7 +67,8 @@ def place_by_pincode(spark, sf):
     df = P.strip_phones(df).withColumn("clean_text", X.strip_chatter(F.col("without_phones")))
     df = df.withColumn("pincode_candidates", P.pincode_tokens(F.col("clean_text")))
     gaz = G.build_gazetteer(offices_as_rows(spark, sf))
-    placed = L.resolve_pincode(df.select("order_id", "pincode_candidates"), gaz, "order_id")
+    tokens = staged(df.select("order_id", "pincode_candidates"), "pincode_tokens")  # read more than once
+    placed = L.resolve_pincode(tokens, gaz, "order_id")
     none = F.lit(None)
     placed = placing.geocode_cascade(
         placed.withColumns(
