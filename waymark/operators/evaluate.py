@@ -1,5 +1,6 @@
 """Accuracy, reliability and calibration as aggregate queries."""
 
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, tables
 from waymark.functions.text import comparable, literal_map
 from waymark.operators.skew import grouped_order_stats, nearest_rank
+from waymark.sources.warehouse import staged
 
 GEO_CORRECT_M = 500.0
 ERROR_RANGE_M = 5.0
@@ -240,15 +242,66 @@ def ece(bins: DataFrame) -> DataFrame:
     return bins.agg(F.round(F.sum(F.col("n") * gap) / F.sum("n"), 6).alias("ece"))
 
 
-def fit_isotonic(scored: DataFrame, score: str = "score", correct: str = "correct"):
+class Pooled:
+    """Neighbouring blocks (lo, hi, label, weight) in order of score, pooled until their labels rise."""
+
+    def __init__(self):
+        self.blocks: list[tuple[float, float, float, float]] = []
+
+    def add(self, lo: float, hi: float, label: float, weight: float) -> None:
+        while self.blocks and self.blocks[-1][2] >= label:
+            first, _, other, more = self.blocks.pop()
+            lo, label, weight = first, (other * more + label * weight) / (more + weight), more + weight
+        self.blocks.append((lo, hi, label, weight))
+
+
+_BLOCKS = "part int, lo double, hi double, label double, weight double"
+
+
+def pooled(blocks: DataFrame) -> DataFrame:
+    """Blocks of each ``part``, which its rows hold in order of score, pooled; what is kept are blocks, never points."""
+
+    def per_task(batches):
+        part, held = None, Pooled()
+
+        def done():
+            columns = list(zip(*held.blocks)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(held.blocks), pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], [c.split()[0] for c in _BLOCKS.split(", ")])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if row[0] != part:
+                    if held.blocks:
+                        yield done()
+                    part, held = row[0], Pooled()
+                held.add(*row[1:])
+        if held.blocks:
+            yield done()
+
+    return blocks.mapInArrow(per_task, _BLOCKS)
+
+
+def fit_isotonic(scored: DataFrame, score: str = "score", correct: str = "correct", fan_in: int = 4):
     """Monotone map from score to the share correct.
 
-    Equal scores are merged first; each distinct score is one weighted point.
+    Equal scores are merged first; each distinct score is one weighted point. Points are pooled
+    per range of scores, then ``fan_in`` neighbouring ranges at a time, as a tree: pooling what is
+    pooled gives what pooling all would. The final fit only sees the last blocks' ends.
     """
-    points = scored.groupBy(F.col(score).alias("score")).agg(
+    points = scored.where(F.col(score).isNotNull() & F.col(correct).isNotNull()).groupBy(F.col(score).cast("double").alias("lo")).agg(
         F.avg(F.col(correct).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
     )
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.repartitionByRange(parts, "lo").sortWithinPartitions("lo")
+    dealt = dealt.select(F.spark_partition_id().alias("part"), "lo", F.col("lo").alias("hi"), "label", "weight")
+    blocks = staged(pooled(dealt), "pooled_ranges")
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        merged = blocks.withColumn("part", F.expr(f"cast(part div {fan_in} as int)"))
+        blocks = staged(pooled(merged.repartition(parts, "part").sortWithinPartitions("part", "lo")), "pooled_ranges")
+    ends = F.array_distinct(F.array("lo", "hi"))
+    knots = blocks.select(F.explode(ends).alias("score"), "label", (F.col("weight") / F.size(ends)).alias("weight"))
+    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(knots)
 
 
 def isotonic_knots(model) -> list[tuple[float, float]]:

@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,15 +37,30 @@ DELIVERIES = "order_id string, ts timestamp, location struct<lat:double,lng:doub
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """The raw directory: CSV with a header, columns by name, all strings.
 
-    line_no grows with the position in the file, so "first row" stays defined.
+    line_no counts the rows of all files from 0, files by path, so "first row" stays defined and
+    a row has the same number however the files are split.
     """
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     names = [f.name for f in T.StructType.fromDDL(DIRECTORY).fields]
-    present = {c.lstrip("﻿"): c for c in raw.columns}
+    present = {c.lstrip("\ufeff"): c for c in raw.columns}
     chosen = [
         (F.col(f"`{present[n]}`") if n in present else F.lit(None)).cast("string").alias(n) for n in names
     ]
-    return raw.select(*chosen).withColumn("line_no", F.monotonically_increasing_id())
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    return numbered(raw.select(*chosen, *at, F.monotonically_increasing_id().alias("_row")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds line_no from _file, _block and _row: the rows of earlier blocks, and the place within the block.
+
+    A block is read from start to end by one task, so its rows follow one another in ``_row``; only
+    one count per block is gathered and summed.
+    """
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of a file
+    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = blocks.select("_file", "_block", (offset - F.col("_first")).alias("_shift"))
+    return rows.join(starts, ["_file", "_block"]).withColumn("line_no", F.col("_row") + F.col("_shift")).drop("_file", "_block", "_row", "_shift")
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
