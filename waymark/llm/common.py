@@ -5,7 +5,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -21,27 +21,34 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col("id").isNull(), F.col(text))
 
 
-def kept_once(documents: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Columns of ``documents`` for rows whose id and key are in ``chosen``, one of rows that share both.
+def whole_rows(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(``row``, ``row_id``, ``row_key``): every column of a row in one struct, so that no name of a caller meets one of ours."""
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    key = F.xxhash64(F.col(id_column).isNull(), F.coalesce(F.col(text_column), F.lit("")))
+    return documents.select(row, F.col(id_column).alias("row_id"), key.alias("row_key"))
+
+
+def picked(documents: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(``row``, ``chosen``): rows of ``documents`` whose id and key are in ``chosen``, one of rows that share both, and what names them there.
 
     ``chosen`` has ``id`` and ``key``, each pair once; its further columns come along.
     """
-    more = [c for c in chosen.columns if c not in ("id", "key")]
-    names = {c: f"_chosen_{i}" for i, c in enumerate(chosen.columns)}
-    rows = documents.withColumn("_key", F.xxhash64(F.col(id_column).isNull(), F.coalesce(F.col(text_column), F.lit(""))))
-    picked = chosen.withColumnsRenamed(names)
-    joined = rows.join(picked, F.col(id_column).eqNullSafe(F.col(names["id"])) & (F.col("_key") == F.col(names["key"])))
-    first = F.row_number().over(Window.partitionBy(names["id"], names["key"]).orderBy(F.lit(0)))
-    once = joined.withColumn("_turn", first).where("_turn = 1")
-    return once.select(*(F.col(f"`{c}`") for c in documents.columns), *(F.col(names[c]).alias(c) for c in more))
+    named = chosen.select(F.col("id").alias("chosen_id"), F.col("key").alias("chosen_key"), F.struct(*chosen.columns).alias("chosen"))
+    same = F.col("row_id").eqNullSafe(F.col("chosen_id")) & (F.col("row_key") == F.col("chosen_key"))
+    joined = whole_rows(documents, id_column, text_column).join(named, same)
+    return joined.groupBy("chosen_id", "chosen_key").agg(F.first("row").alias("row"), F.first("chosen").alias("chosen")).select("row", "chosen")
+
+
+def kept_once(documents: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Columns of ``documents`` for rows whose id and key are in ``chosen``, one of rows that share both."""
+    return picked(documents, chosen, id_column, text_column).select("row.*")
 
 
 def without(documents: DataFrame, gone: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Rows of ``documents`` whose id and key are not in ``gone``."""
-    rows = documents.withColumn("_key", F.xxhash64(F.col(id_column).isNull(), F.coalesce(F.col(text_column), F.lit(""))))
-    out = gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"))
-    joined = rows.join(out, F.col(id_column).eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
-    return joined.drop("_key")
+    out = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
+    same = F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key"))
+    return whole_rows(documents, id_column, text_column).join(out, same, "left_anti").select("row.*")
 
 
 def blobs(column: pa.Array) -> list[bytes]:

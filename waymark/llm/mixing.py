@@ -6,7 +6,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import kept_once
+from waymark.llm.common import picked
 from waymark.sources.warehouse import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,10 +98,12 @@ def routed(patterns: dict[tuple, int], quotas: dict, repeats: int = 2) -> dict[t
 def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int], seed: int) -> DataFrame:
     """Rows (id, key, size, pattern) with ``taken``: every document of a pattern as often as its flow covers it in full.
 
-    What is left of the flow goes to documents in a seeded order until the next one
-    would lead further from it. The order is by a hash; its ranges are summed first
+    What is left of the flow goes to documents in a seeded order, as far as they
+    fit one after another. The order is by a hash; its ranges are summed first
     and only the one range of each pattern where the sum is reached is sorted, so
-    a pattern that holds a third of all rows is never gathered.
+    a pattern that holds a third of all rows is never gathered. What then remains is less
+    than one document's size, that of the one that no longer fits; it is filled
+    with further documents, see ``filled``.
     """
     spark = rows.sparkSession
     shares = [
@@ -112,7 +114,7 @@ def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int
     counts = dealt.where("size > 0").groupBy("pattern").agg(F.count("*").alias("n"))
     ranges = counts.select("pattern", F.expr(f"cast(greatest(0, ceil(log2(n / {RANGE_ROWS}))) as int)").alias("bits"))
     plan = plan.join(ranges, "pattern")
-    placed = dealt.join(F.broadcast(plan), "pattern", "left") if len(shares) <= 10_000 else dealt.join(plan, "pattern", "left")
+    placed = dealt.join(plan, "pattern", "left")
     placed = placed.withColumn("range", F.expr("if(bits = 0, 0L, shiftrightunsigned(draw, 64 - bits))"))
     sums = staged(placed.where("size > 0").groupBy("pattern", "range").agg(F.sum("size").alias("words")), "ranges")
     ahead = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
@@ -122,13 +124,53 @@ def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int
     inside = F.col("ahead") + F.col("range_words") <= F.col("rest")
     beyond = F.col("ahead") >= F.col("rest")
     even = known.where((F.col("size") == 0) | inside | beyond | F.col("rest").isNull())
-    even = even.select("id", "key", "size", "pattern", F.when(F.col("size") == 0, 0).otherwise(F.col("size") * (F.col("full") + inside.cast("int"))).alias("taken"))
     turn = known.where((F.col("size") > 0) & ~inside & ~beyond)
-    upto = Window.partitionBy("pattern", "range").orderBy("draw", "id", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("ahead") + F.coalesce(F.sum("size").over(upto), F.lit(0))
-    nearer = F.col("rest") - before > before + F.col("size") - F.col("rest")
-    turn = turn.withColumn("more", nearer).select("id", "key", "size", "pattern", (F.col("size") * (F.col("full") + F.col("more").cast("int"))).alias("taken"))
-    return even.unionByName(turn)
+    upto = Window.partitionBy("pattern", "range").orderBy("draw", "id", "key", "size")
+    fits = F.col("ahead") + F.sum("size").over(upto) <= F.col("rest")
+    more = F.coalesce(inside & (F.col("size") > 0), F.lit(False))
+    decided = even.withColumn("more", more).unionByName(turn.withColumn("more", fits))
+    columns = ["id", "key", "size", "pattern", "draw", "full", "rest", "more"]
+    out = filled(staged(decided.select(*columns).withColumn("at", F.monotonically_increasing_id()), "seeded"))
+    taken = F.when(F.col("size") == 0, 0).otherwise(F.col("size") * (F.col("full") + F.col("more").cast("int")))
+    return out.select("id", "key", "size", "pattern", taken.alias("taken"))
+
+
+def fill(left: int, sizes: dict[int, int]) -> dict[int, int]:
+    """How many documents of each size fill ``left`` words, the largest first: what stays open is less than any size that is not used up."""
+    out = {}
+    for size in sorted(sizes, reverse=True):
+        if n := min(sizes[size], left // size):
+            out[size] = n
+            left -= n * size
+    return out
+
+
+def filled(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``more`` also for the documents that fill what each pattern still lacks.
+
+    Only counts of the sizes that fit reach the driver, so many per pattern at most as the words of
+    the document that did not fit. Of a size the first in seeded order are used: the place of
+    the last of them is found by a bounded ranking, and rows up to it are marked.
+    """
+    spark = placed.sparkSession
+    sums = placed.groupBy("pattern").agg(F.max("rest").alias("rest"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("used")).collect()
+    lacking = [(r["pattern"], r["rest"] - r["used"]) for r in sums if r["rest"] is not None and r["rest"] > r["used"]]
+    if not lacking:
+        return placed
+    unused = placed.where("size > 0 and not more")
+    lacks = spark.createDataFrame(lacking, "pattern array<string>, lack bigint")
+    sizes = {}
+    for r in unused.join(lacks, "pattern").where("size <= lack").groupBy("pattern", "size").count().collect():
+        sizes.setdefault(tuple(r["pattern"]), {})[r["size"]] = r["count"]
+    plan = [(list(p), size, n) for p, lack in lacking for size, n in fill(lack, sizes.get(tuple(p), {})).items()]
+    if not plan:
+        return placed
+    place = F.struct("draw", "key", "at")
+    ranked = unused.join(spark.createDataFrame(plan, "pattern array<string>, size bigint, n bigint"), ["pattern", "size"])
+    ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("pattern", "size").orderBy(place)))
+    last = ranked.where(F.col("turn") <= max(n for *_, n in plan)).where("turn = n").select("pattern", "size", place.alias("last"))
+    more = F.col("more") | F.coalesce(place <= F.col("last"), F.lit(False))
+    return placed.join(last, ["pattern", "size"], "left").withColumn("more", more).drop("last")
 
 
 def mixed(
@@ -142,10 +184,10 @@ def mixed(
     counts to each source's size and can serve any of them, its ``source_size`` and
     ``target`` are those of its first. Sources weigh by their order, null last, and
     share ``share`` of all sizes, see ``targets``. ``taken`` is 0, ``size`` or twice
-    it, whole documents; per source the sum is off its target by at most the last
-    document. Draws depend on seed, id and size only, so reruns agree and rows equal
+    it, whole documents; per pattern of sources the sum falls short of what the flow gives it
+    by less than the smallest of its documents that could still be taken. Draws depend on seed, id and size only, so reruns agree and rows equal
     in all three are interchangeable. Only per-pattern sums reach the driver: one
-    number per set of sources, not per document.
+    number per set of sources, not per document, and counts of sizes, see ``filled``.
     """
     found = shares(documents, id_column, text_column, source_column, cycle, share, most, seed)
     return found.select(F.col("id").alias(id_column), "size", "source_size", "target", "taken")
@@ -158,8 +200,8 @@ def dealt_out(
     """The mix itself: all columns of every row that ``mixed`` takes, as often as it takes it."""
     found = shares(documents, id_column, text_column, source_column, cycle, share, most, seed).where("taken > 0")
     times = found.groupBy("id", "key").agg(F.sum(F.expr("taken div size")).cast("int").alias("times"))
-    once = kept_once(documents, times, id_column, text_column)
-    return once.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+    once = picked(documents, times, id_column, text_column)
+    return once.select("row", F.explode(F.sequence(F.lit(1), "chosen.times"))).select("row.*")
 
 
 def shares(
