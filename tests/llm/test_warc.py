@@ -43,6 +43,12 @@ def test_small_payloads_are_responses(spark, tmp_path):
     assert sorted((r["page"], r["record_type"], r["refers_to"]) for r in got) == [("1", "response", None), ("2", "response", None), ("3", "response", None), ("4", "revisit", "3")]
 
 
+def test_ids_that_look_like_none(spark):
+    rows = [("null", "u", "same"), (None, "u", "same"), ("urn:page:x", "u", "same"), ("", "u", "other"), ("nopage", "u", "other"), ("ü/ <>", "u", "third")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert sorted((tuple(r) for r in warc.archived(pages).collect()), key=str) == plain([(a, c) for a, _, c in rows])
+
+
 def member(payload=b"hello", **change):
     data = b"".join(warc.record(1, "http://x/", payload, warc.base32_sha1(payload), None, "2024-01-01T00:00:00Z"))
     plain = gzip.decompress(data)

@@ -21,7 +21,8 @@ READ_BYTES = 1 << 16
 ARCHIVE_BYTES = 1 << 27
 #: The profile of the format's standard for records whose payload an earlier record holds.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NO_ID = "null"
+#: Names a page without an id; those of other pages begin with urn:page: and so never equal it.
+NO_ID = "urn:nopage"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -29,12 +30,12 @@ def base32_sha1(data: bytes) -> str:
 
 
 def record_uri(page) -> str:
-    return f"urn:page:{NO_ID if page is None else quote(str(page), safe='')}"
+    return NO_ID if page is None else f"urn:page:{quote(str(page), safe='')}"
 
 
 def page_of(uri: str) -> str | None:
-    name = uri.strip("<>").removeprefix("urn:page:")
-    return None if name == NO_ID else unquote(name)
+    name = uri.strip("<>")
+    return None if name == NO_ID else unquote(name.removeprefix("urn:page:"))
 
 
 def _head(lines: list[tuple[str, str]]) -> bytes:
@@ -177,9 +178,11 @@ def write_archives(
         "sha", F.when(F.octet_length("payload") >= least_bytes, F.col("sha"))
     )
     firsts = rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    told = rows.join(firsts.select("sha", "first"), "sha", "left").select(
+    told = rows.where("sha is not null").join(firsts.select("sha", "first"), "sha", "left").select(
         "id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
+    if least_bytes > 0:  # small payloads are no key to meet on
+        told = told.unionByName(rows.where("sha is null").select("id", "url", "payload", F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to")))
 
     def per_part(batches):
         out, paths, size = None, [], 0
