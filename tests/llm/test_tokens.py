@@ -86,6 +86,19 @@ def test_file_edges(spark, tmp_path, word_level):
     assert tokens.count_tokens(df.where("doc_id > 9"), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_ids_of_any_type(spark, word_level):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (12, 3, 101)], "n bigint, text string")
+    for kind, shown in (("decimal(20,2)", lambda n: f"{n}.00"), ("date", lambda n: f"2024-01-{n % 28 + 1:02}"), ("string", str), ("int", str), ("double", lambda n: f"{n}.0")):
+        of = "date_add(date'2024-01-01', int(n % 28))" if kind == "date" else f"cast(n as {kind})"
+        typed = docs.selectExpr(f"{of} as doc_id", "text")
+        rows = typed.orderBy("doc_id").collect()
+        got = planes.token_files(typed, path)
+        assert dict(got.dtypes)["doc_id"] == kind
+        want = expected([(r["doc_id"], r["text"]) for r in rows], word_level)
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == want
+
+
 def test_planes_round_trip():
     for n in (0, 1, 7, 65_536):
         ids = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)

@@ -121,6 +121,7 @@ def write_ids(
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(F.col("id").cast(stored(rows.schema["id"].dataType.simpleString())).alias("id"), "text")
 
     def per_part(batches):
         pieces, out = shared_ids(tokenizer), None
@@ -140,6 +141,11 @@ def write_ids(
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def stored(id_type: str) -> str:
+    """How ids of a type stand in a file's index: whole numbers and strings as they are, all others as strings."""
+    return id_type if id_type in ("tinyint", "smallint", "int", "bigint", "string") else "string"
+
+
 def read_ids(files: DataFrame, id_type: str = "bigint", id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id, ``start``, ``n_tokens``, ``ids_crc32``) of every document of the listed files, and ``ids`` if asked for."""
 
@@ -157,13 +163,14 @@ def read_ids(files: DataFrame, id_type: str = "bigint", id_column: str = "doc_id
                 if rows:
                     yield shaped(rows)
 
-    schema = f"{id_column} {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    schema = f"{id_column} {stored(id_type)}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def shaped(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
     fields = to_arrow_schema(StructType.fromDDL(schema))
-    return files.select("path", "start").repartition(max(1, files.count())).mapInArrow(per_file, schema)
+    found = files.select("path", "start").repartition(max(1, files.count())).mapInArrow(per_file, schema)
+    return found.withColumn(id_column, F.col(id_column).cast(id_type))
 
 
 def token_files(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
