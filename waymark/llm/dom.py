@@ -7,9 +7,13 @@ from typing import NamedTuple
 #: Element names of the HTML standard, by how they bound text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    (
+        "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+        "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext "
+        "mtr munder munderover semantics annotation svg g text tspan canvas object"
+    ).split()
 )
-UNSEEN = frozenset("script style template noscript head svg iframe object math canvas".split())
+UNSEEN = frozenset("script style template head".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CLOSES = {
     "li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}),
@@ -30,33 +34,39 @@ class Block(NamedTuple):
     path: tuple[str, ...]  # names of the elements around the text, outermost first
     names: frozenset[str]  # words of their classes, ids and roles
     linked: int  # characters inside links
+    hidden: bool = False  # whether an element around it is marked as hidden, as pages do until a script shows it
 
 
 class Element(NamedTuple):
     tag: str
     names: frozenset[str]
     unseen: bool
+    hidden: bool
 
 
 def _marks(attributes: str) -> tuple[frozenset[str], bool]:
-    names, unseen = set(), False
+    names, hidden = set(), False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), unescape(value.strip("\"'"))
         if key == "style":
-            unseen |= bool(_HIDDEN.search(value))
+            hidden |= bool(_HIDDEN.search(value))
         elif key == "hidden" or key == "aria-hidden":
-            unseen |= key == "hidden" or value == "true"
+            hidden |= key == "hidden" or value == "true"
         else:
             names.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return frozenset(names), unseen
+    return frozenset(names), hidden
 
 
 def blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order, white space as single spaces, character references decoded; unseen elements are left out."""
+    """Leaf blocks in page order, white space as single spaces, character references decoded.
+
+    Only scripts, styles, templates and the head are left out. Text of hidden elements
+    and of those that stand in for others (noscript, iframe) is text like any other.
+    """
     out: list[Block] = []
     stack: list[Element] = []
     parts: list[str] = []
-    linked = links = hidden = 0
+    linked = links = unseen = 0
     at = 0
 
     def close_block():
@@ -65,19 +75,19 @@ def blocks(html: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 tags = tuple(e.tag for e in stack if e.tag not in INLINE)
-                out.append(Block(text, tags, frozenset().union(*(e.names for e in stack)), linked))
+                out.append(Block(text, tags, frozenset().union(*(e.names for e in stack)), linked, any(e.hidden for e in stack)))
             parts, linked = [], 0
 
     def cut_to(depth):
-        nonlocal links, hidden
+        nonlocal links, unseen
         links -= sum(e.tag == "a" for e in stack[depth:])
-        hidden -= sum(e.unseen for e in stack[depth:])
+        unseen -= sum(e.unseen for e in stack[depth:])
         del stack[depth:]
 
     while at < len(html):
         match = _TOKEN.search(html, at)
         start = match.start() if match else len(html)
-        if start > at and not hidden:
+        if start > at and not unseen:
             piece = unescape(html[at:start])
             parts.append(piece)
             if links:
@@ -117,13 +127,15 @@ def blocks(html: str) -> list[Block]:
                 cut_to(next((i for i, e in enumerate(stack) if e.tag == "head"), len(stack)))
         if tag in VOID or match[3].endswith("/") and tag not in RAW:
             continue
-        names, unseen = _marks(match[3]) if match[3].strip() else (frozenset(), False)
+        names, hidden = _marks(match[3]) if match[3].strip() else (frozenset(), False)
+        stack.append(Element(tag, names, tag in UNSEEN, hidden))
+        unseen += stack[-1].unseen
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
-            at = end.start() if end else len(html)
-            unseen = True
-        stack.append(Element(tag, names, unseen or tag in UNSEEN))
-        hidden += stack[-1].unseen
+            stop = end.start() if end else len(html)
+            if not unseen:
+                parts.append(unescape(html[at:stop]) if tag in ("textarea", "title") else html[at:stop])
+            at = stop
         links += tag == "a"
     close_block()
     return out

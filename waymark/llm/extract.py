@@ -17,7 +17,7 @@ KNOWN_CONTEXTS = 1 << 14
 
 TAGS = (
     "article main section nav header footer aside form ul ol dl li table td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p div "
-    "button label select dialog details address fieldset body"
+    "button label select dialog details address fieldset body noscript iframe textarea"
 ).split()
 #: Words of classes, ids and roles, by what authors name with them.
 NAMES = {
@@ -36,7 +36,7 @@ _NAMED = {w: g for g, words in NAMES.items() for w in words.split()}
 _GROUPS = list(NAMES)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _DIGIT = re.compile(r"\d")
-_N_CONTEXT = 2 * len(TAGS) + len(_GROUPS) + 3
+_N_CONTEXT = 2 * len(TAGS) + len(_GROUPS) + 4
 _LENGTHS, _LINKS = (1, 2, 4, 8, 16, 32, 64), (0.0, 0.25, 0.6, 0.9)
 _N_TEXT = len(_LENGTHS) + 1 + len(_LINKS) + 1 + 8
 N_FEATURES = _N_CONTEXT + _N_TEXT + 1
@@ -53,6 +53,8 @@ def _context(block: Block) -> list[int]:
     at += len(_GROUPS)
     inside = "article" in tags or "main" in tags
     found.add(at + (0 if not inside else 1 if tags[-1] in ("p", "li", "blockquote", "pre", "td") else 2))
+    if block.hidden:
+        found.add(at + 3)
     return sorted(found)
 
 
@@ -78,7 +80,7 @@ def features(page: list[Block], known: dict | None = None) -> list[list[int]]:
     known = {} if known is None else known
     out = []
     for block in page:
-        key = (block.path, block.names)
+        key = (block.path, block.names, block.hidden)
         if key not in known:
             if len(known) > KNOWN_CONTEXTS:
                 known.clear()
@@ -192,10 +194,15 @@ class Author:
         key = self.rng.choice(("class", "id", "class", "role" if tag != "div" else "class"))
         name = self.rng.choice(NAMES[names].split()) if names else ""
         name = self.rng.choice((name, name, f"{name}-{self.rng.choice(('box', 'wrap', 'list', 'x1'))}", f"site-{name}"))
-        self.markup(f'<{tag} {key}="{name}">' if named and names else f"<{tag}>")
+        away = self.hiding() if names in ("notice", "menu", "advert") and self.rng.random() < 0.15 else ""
+        self.markup(f'<{tag} {key}="{name}"{away}>' if named and names else f"<{tag}{away}>")
         inside()
         self.markup(f"</{tag}>")
 
+    def hiding(self) -> str:
+        """An attribute that hides an element."""
+        return self.rng.choice((" hidden", ' aria-hidden="true"', ' style="display:none"', ' style="visibility: hidden"'))
+
     def links(self, lo: int = 2, hi: int = 9) -> None:
         listed = self.rng.random() < 0.7
         self.markup("<ul>" if listed else "")
@@ -249,6 +256,7 @@ class Author:
                 self.text(self.sentences(1, 2), 1)
                 self.markup(r.choice(("</b>", "</em>", "", "")) + "<br>")
             link = f' <a href="/x">{self.words(1, 3)}</a> ' if r.random() < 0.25 else " "
+            link += f"<math><mi>{self.word()}</mi><mo>=</mo><mn>2</mn></math> " if r.random() < 0.03 else ""
             self.text(self.sentences(1, 6) + link + self.sentences(0, 3), 1)
             self.markup("</p>" if r.random() < 0.8 else "")
         elif kind < 0.8:
@@ -312,7 +320,12 @@ class Author:
         r = self.rng
         chance = lambda p: r.random() < p
         self.parts = []
-        self.markup('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>')
+        self.markup('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{}</style><script>var a="</p>";</script></head>')
+        self.markup(f"<body{self.hiding() if chance(0.08) else ''}>")
+        if chance(0.1):
+            self.markup("<noscript>")
+            self.text(self.sentences(1, 2), 0)
+            self.markup("</noscript>")
         if chance(0.25):
             self.wrap(("div", "section", "aside"), "notice", lambda: self.lines(0, 1, 2, (1, 3)))
         if chance(0.35):
