@@ -97,11 +97,13 @@ def test_pruned_terms_equal_plain_scoring(spark):
     queries = [(f"q{i}", " ".join(rng.sample(common, 1 + i % 3) + rng.sample(rare, i % 3))) for i in range(30)] + [("q_one", "nagar"), ("q_none", "zzz")]
     d = spark.createDataFrame(docs, "doc string, text string")
     q = spark.createDataFrame(queries, "query string, text string")
-    plain = {tuple(r) for r in R.bm25(q, d, "query", "doc").select("query", "doc", "score", "rank").collect()}
+    found = {tuple(r) for r in R.bm25(q, d, "query", "doc").select("query", "doc", "score", "rank").collect()}
     weights = R.impacts(R.postings(d, "doc", "text"), R.corpus_stats(d, "text"), "doc").withColumnRenamed("impact", "dw")
     terms = R.query_terms(q, ["query"], "text").withColumnRenamed("qtf", "qw")
     pruned = {tuple(r) for r in R.pruned_top_terms(terms, weights, "query", "doc").select("query", "doc", "score", "rank").collect()}
-    assert pruned == plain and len(plain) > 500
+    scored = R.score_terms(terms.withColumnRenamed("qw", "qw"), weights, ["query"], ["term"], "doc")
+    plain = {tuple(r) for r in R.top_k(scored, ["query"], "score", "doc").select("query", "doc", "score", "rank").collect()}
+    assert pruned == plain == found and len(plain) > 500
 
 
 def test_bm25_by_hand(spark):

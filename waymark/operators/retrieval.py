@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions import text as X
+from waymark.operators import blocks
 from waymark.operators.knn import knn_cosine
 from waymark.operators.skew import each, salted_join, split_join
 from waymark.sources.warehouse import staged
@@ -97,58 +98,16 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str =
     post = staged(postings(docs, doc, text), "postings")
     weighted = staged(impacts(post, corpus_stats(docs, text), doc), "impacts")
     terms = staged(query_terms(queries, [query], text).withColumnRenamed("qtf", "qw"), "query_terms")
-    scored = score_terms(terms, weighted.withColumnRenamed("impact", "dw"), [query], ["term"], doc)
-    return top_k(scored, [query], "score", doc, k)
+    return pruned_top_terms(terms, weighted.withColumnRenamed("impact", "dw"), query, doc, k)
 
 
 def pruned_top_terms(queries: DataFrame, weighted: DataFrame, query: str, doc: str, k: int = PER_SIGNAL) -> DataFrame:
     """Best ``k`` documents per query over a whole collection: (query, doc, score, rank).
 
-    ``queries`` has query, term, qw; ``weighted`` has doc, term, dw, all
-    positive. Exact, but posting lists of common terms are only read where
-    they can matter. No document scores more on a term than the term's largest
-    weight. Documents with a query's strongest term give a k-th best score; if
-    the largest weights of some other terms together stay below it, a document
-    that has only those cannot win, and their lists are not read for it.
+    ``queries`` has query, term, qw; ``weighted`` has doc, term, dw, all positive. Exact, by the
+    bounds of blocks, see :mod:`blocks`.
     """
-    ceiling = weighted.groupBy("term").agg(F.max("dw").alias("top"))
-    bounded = salted_join(queries, ceiling, ["term"], [query], "inner").withColumn("most", F.col("qw") * F.col("top"))
-    strongest = Window.partitionBy(query).orderBy(F.desc("most"), F.asc("term"))
-    weaker = Window.partitionBy(query).orderBy(F.asc("most"), F.desc("term"))
-    # one query's terms are the words of one address
-    ranked = staged(
-        bounded.withColumn("place", F.row_number().over(strongest)).withColumn("rest", F.sum("most").over(weaker)),
-        "ranked_terms",
-    )
-    asked = ranked.groupBy(query).agg(F.map_from_entries(F.collect_list(F.struct("term", "qw"))).alias("_q"))
-    held = weighted.groupBy(doc).agg(F.collect_list(F.struct("term", "dw")).alias("_d"))
-
-    def scored(terms: DataFrame) -> DataFrame:
-        """Full scores of every document that has one of ``terms``."""
-        found = split_join(terms.select(query, "term"), weighted.select(doc, "term"), ["term"], query, doc)
-        pairs = found.select(query, doc).distinct()
-        dot = F.aggregate(
-            "_d", F.lit(0.0), lambda a, t: a + t["dw"] * F.coalesce(F.element_at("_q", t["term"]), F.lit(0.0))
-        )
-        return pairs.join(asked, query).join(held, doc).select(query, doc, F.round(dot, SCORE_PLACES).alias("score"))
-
-    single = ranked.groupBy(query).agg(F.count("*").alias("_n")).where(F.col("_n") == 1).select(query)
-    # with one term the best documents are the term's own best
-    champions = top_k(weighted, ["term"], "dw", doc, k).select("term", doc, "dw")
-    alone = salted_join(ranked.join(single, query, "left_semi"), champions, ["term"], [query], "inner").select(
-        query, doc, F.round(F.col("qw") * F.col("dw"), SCORE_PLACES).alias("score")
-    )
-    several = ranked.join(single, query, "left_anti")
-    first = staged(top_k(scored(several.where(F.col("place") == 1)), [query], "score", doc, k), "first_terms")
-    kth = first.groupBy(query).agg(F.min("score").alias("kth"), F.count("*").alias("found"))
-    # a term is read if it and everything weaker together reach the k-th score
-    slack = 10.0**-SCORE_PLACES * 10
-    needed = several.join(kth, query, "left").where(
-        (F.col("place") > 1) & ((F.coalesce("found", F.lit(0)) < k) | (F.col("rest") >= F.col("kth") - slack))
-    )
-    more = scored(needed)
-    every = first.drop("rank").unionByName(more).groupBy(query, doc).agg(F.max("score").alias("score"))
-    return top_k(every.unionByName(alone).where(F.col("score") > 0), [query], "score", doc, k)
+    return blocks.top_by_terms(queries, weighted, query, doc, k)
 
 
 # --- vectors ---------------------------------------------------------------
@@ -325,56 +284,43 @@ def hybrid_retrieve(
     """Fused candidates of every query.
 
     queries: query_id, query_text, centre_id, centre_lat, centre_lng, radius_m;
-    a null centre_id searches everywhere. Candidates of a centre are found once
-    per distinct centre, not once per query; searches without a centre prune
-    their posting lists and vectors exactly. Returns query_id, landmark_id,
+    a null centre_id searches everywhere. Searches with a centre visit the blocks of
+    the squares around it, which score terms, vectors and distance in one pass; searches
+    without one visit the blocks that can matter and prune their vectors exactly. Returns query_id, landmark_id,
     rrf_score, signals, n_signals, position, signals_used, distance_m.
     """
-    landmarks, weighted = index["landmarks"], index["impacts"]
-    centres = queries.where(F.col("centre_id").isNotNull()).select(
-        "centre_id", "centre_lat", "centre_lng", "radius_m"
-    ).distinct()
-    reach = staged(geo_radius_join(centres, landmarks, "landmark_id"), "reach")
-
-    def within(rows: DataFrame, columns: list[str]) -> DataFrame:
-        return reach.select("centre_id", "landmark_id").join(rows, "landmark_id").select("centre_id", *columns)
-
+    landmarks, weighted = index["landmarks"], index["impacts"].withColumnRenamed("impact", "dw")
     here = queries.where(F.col("centre_id").isNotNull())
     anywhere = queries.where(F.col("centre_id").isNull())
-    weights = weighted.withColumnRenamed("impact", "dw")
-    near_terms = query_terms(here, ["query_id", "centre_id"], "query_text").withColumnRenamed("qtf", "qw")
-    near = score_terms(
-        near_terms, within(weights, ["term", "landmark_id", "dw"]), ["query_id"], ["centre_id", "term"], "landmark_id", within=True
-    )
-    far_terms = query_terms(anywhere, ["query_id"], "query_text").withColumnRenamed("qtf", "qw")
     ranked = ["query_id", "landmark_id", "rank"]
-    lexical = top_k(near, ["query_id"], "score", "landmark_id").select(*ranked).unionByName(
-        pruned_top_terms(far_terms, weights, "query_id", "landmark_id").select(*ranked)
-    )
-    rankings = lexical.withColumn("signal", F.lit("bm25"))
+    no_vector = F.array().cast("array<struct<bucket:int,w:double>>")
+    docs = landmarks.select(F.col("landmark_id").alias("doc"), "lat", "lng", (F.col("vector") if use_vector else no_vector).alias("vector"))
+    asking = with_name_vector(here, "query_text") if use_vector else here.withColumn("vector", no_vector)
+    asking = asking.select(
+        F.col("query_id").alias("query"), F.col("centre_id").alias("centre"), F.col("centre_lat").alias("lat"), F.col("centre_lng").alias("lng"),
+        F.col("radius_m").alias("radius"), F.transform(X.tokens(F.col("query_text")), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))).alias("terms"),
+        F.transform("vector", lambda v: F.struct(v["bucket"].alias("bucket"), v["w"].alias("w"))).alias("vector"),
+    )
+    found, nearest = blocks.around(staged(asking, "searches_here"), blocks.with_parts(docs, weighted, "landmark_id"), PER_SIGNAL, CELL_DEG)
+    found = found.select(F.col("query").alias("query_id"), "signal", F.col("doc").alias("landmark_id"), "rank")
+    far_terms = query_terms(anywhere, ["query_id"], "query_text").withColumnRenamed("qtf", "qw")
+    far = pruned_top_terms(staged(far_terms, "far_terms"), weighted, "query_id", "landmark_id").select(*ranked)
+    rankings = found.where(F.col("signal") == "bm25").unionByName(far.withColumn("signal", F.lit("bm25")))
     if use_vector:
-        parts = each(
-            with_name_vector(here, "query_text"), ["query_id", "centre_id"], F.col("vector"), "bucket", "w"
-        ).withColumnRenamed("w", "qw")
-        doc_parts = each(landmarks, ["landmark_id"], F.col("vector"), "bucket", "w").withColumnRenamed("w", "dw")
-        similar = score_terms(
-            parts, within(doc_parts, ["bucket", "landmark_id", "dw"]), ["query_id"], ["centre_id", "bucket"], "landmark_id", within=True
-        )
         everywhere = knn_cosine(
             with_name_vector(anywhere, "query_text").select("query_id", "vector"),
             landmarks.select("landmark_id", "vector"),
             PER_SIGNAL, "query_id", "landmark_id", "vector", EMBEDDING_DIM,
         )
-        vectors = top_k(similar, ["query_id"], "score", "landmark_id").select(*ranked).unionByName(everywhere.select(*ranked))
-        rankings = rankings.unionByName(vectors.withColumn("signal", F.lit("knn")))
+        rankings = rankings.unionByName(found.where(F.col("signal") == "knn")).unionByName(everywhere.select(*ranked, F.lit("knn").alias("signal")))
     if use_geo:
-        nearest = geo_rank(reach).select("centre_id", "landmark_id", "rank")
-        by_centre = queries.where(F.col("centre_id").isNotNull() & (F.trim("query_text") != "")).select("query_id", "centre_id")
+        by_centre = here.where(F.trim("query_text") != "").select("query_id", "centre_id")
         rankings = rankings.unionByName(
-            salted_join(by_centre, nearest, ["centre_id"], ["query_id"], "inner").select(
+            salted_join(by_centre, nearest.select(F.col("centre").alias("centre_id"), F.col("doc").alias("landmark_id"), "rank"), ["centre_id"], ["query_id"], "inner").select(
                 "query_id", F.lit("geo").alias("signal"), "landmark_id", "rank"
             )
         )
+    rankings = staged(rankings, "rankings")
     fused = rrf(rankings, ["query_id"], "landmark_id")
     used = rankings.groupBy("query_id").agg(F.count_distinct("signal").alias("signals_used"))
     located = queries.select("query_id", "centre_lat", "centre_lng") if use_geo else queries.select(
