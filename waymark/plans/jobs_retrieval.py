@@ -369,9 +369,17 @@ RESPONSE = """case when order_id % 3 = 0 then null when order_id % 10 = 1 then '
     case when order_id % 9 = 4 then '{"reason": "two readings", "fields": {"city": "Pune"}}' else '' end, ']}') end"""
 
 
-def hybrid_sql(responded=False, hinted=False, pick="select * from outcomes"):
-    """The whole hybrid chain: with stored responses for some orders, with GPS hints for some."""
+VECTOR_AND_GEO = """
+  union all select order_id, 'knn', landmark_id, rank, 1.0E0 from knnr where rank <= 20
+  union all select order_id, 'geo', landmark_id, rank, 0.5E0 from geor where rank <= 20"""
+assert VECTOR_AND_GEO in RANK_SQL
+
+
+def hybrid_sql(responded=False, hinted=False, pick="select * from outcomes", lexical=False):
+    """The whole hybrid chain: with stored responses for some orders, with GPS hints for some, or by words alone."""
     match = MATCH_SQL
+    if lexical:
+        match = match.replace(VECTOR_AND_GEO, "")
     if hinted:
         match = match.replace(
             "p.centroid_lat as clat, p.centroid_lng as clng", f"coalesce({HINT_LAT}, p.centroid_lat) as clat, coalesce({HINT_LNG}, p.centroid_lng) as clng"
@@ -403,7 +411,7 @@ located as (select *, case when llat is not null then round(case when off <> 0 t
         BASE + f""" + case when readable then 0.06E0*0.2E0 + 0.22E0*0.12E0 else 0 end
       + 0.2E0*(case psource when 'landmark_graph' then 1.0E0 when 'pincode_centroid' then 0.3E0 else 0 end)
       + case when nc > 0 then 0.16E0*top_score + 0.08E0*least(1.0E0, ln(1.0E0+best_obs)/ln(51.0E0)) + 0.08E0*sep else 0.08E0 end)
-      * {NO_PIN} * (case when clat is null then 0.92E0 else 1.0E0 end) * (case when failed then 0.6E0 else 1.0E0 end)""",
+      * {NO_PIN} * (case when clat is null and {not lexical} then 0.92E0 else 1.0E0 end) * (case when failed then 0.6E0 else 1.0E0 end)""",
         "plat", "plng", "psource", "pacc", "anchor_id", "rival", "located", pick,
     )
 
@@ -416,7 +424,7 @@ def resolve_rules_only(spark, sf):
     return flat(resolve_config(spark, sf, "A"))
 
 
-@job("resolve_lexical", "EV10 RT12")
+@job("resolve_lexical", "EV10 RT12", hybrid_sql(lexical=True))
 def resolve_lexical(spark, sf):
     return flat(resolve_config(spark, sf, "R1"))
 
