@@ -8,10 +8,12 @@ from waymark.operators import evaluate as E
 from waymark.operators import scoring as S
 from waymark.plans import chain, sql
 from waymark.plans.jobs_corpus import corpus
-from waymark.plans.jobs_retrieval import CITY_SQL, FIELDS_SQL, calibrated, index
+from waymark.plans.jobs_retrieval import (
+    CITY_SQL, FIELDS_SQL, HYBRID_SQL, RESPONSE, RULES_SQL, calibrated, hybrid_sql, index, request_rows, resolve_requests,
+)
 from waymark.plans.registry import job
 from waymark.sources.fixtures import table, view
-from waymark.sources.warehouse import Warehouse, reference_table
+from waymark.sources.warehouse import Warehouse, reference_table, staged
 
 GRADED_SQL = f"""with {sql.AGREEMENT}, {CITY_SQL}, {FIELDS_SQL},
 graded as (select f.order_id, f.building as pred_building, cast(null as varchar) as pred_street, cast(null as varchar) as pred_sub_locality,
@@ -156,9 +158,7 @@ def latency_percentiles(spark, sf):
     return E.latency_percentiles(table(spark, sf, "events").withColumn("timings_ms", timings))
 
 
-@job(
-    "ablation", "EV10 EV3 EV5 EV6 EV7 EV8",
-    f"""{LONG_SQL}, f as {F1.format('counts')},
+ABLATION_TAIL = f""", f as {F1.format('counts')},
     s as (select config, round(avg(case when tp+fn>0 then f1 end),6) as macro_f1, round(sum(case when tp+fn>0 then f1*weight end)/sum(case when tp+fn>0 then weight end),6) as weighted_f1, count(*) filter (where tp+fn=0) as unmeasured from f group by 1),
     ex as (select order_id, any_value(l.config) as config, bool_and(l.p is not distinct from l.t) as ok from long l join counts c on c.config=l.config and c.field=l.field where c.tp+c.fn>0 group by 1),
     x as (select config, round(avg(case when ok then 1.0E0 else 0 end),6) as exact_match from ex group by 1),
@@ -166,26 +166,56 @@ def latency_percentiles(spark, sf):
     g as (select config, count(*) as n, {RATES}, round(median({ERR}),1) as median_m, round(quantile_disc({ERR},0.9),1) as p90_m, round(count({ERR})*1.0E0/count(*),6) as coverage,
       coalesce(round(avg(case when confidence >= 0.8 then case when ok then 1.0E0 else 0 end end),6),0) as precision_at, count(*) filter (where confidence >= 0.8) as above
       from graded join allr using (order_id) group by 1)
-    select * from g join s using (config) join x using (config)""",
-)
+    select * from g join s using (config) join x using (config)"""
+
+
+@job("ablation", "EV10 EV3 EV5 EV6 EV7 EV8", LONG_SQL + ABLATION_TAIL)
 def ablation(spark, sf):
     return E.run_metrics(graded(spark, sf), ["config"])
 
 
-@job("ablation_configs", "EV10")
+def graded_runs(configs: dict[str, str]) -> str:
+    """Metrics of several configurations, given as the statements of their outcomes, by their own status and confidence."""
+    truth = ", ".join(f"true_{f}" for f in tables.FIELDS)
+    filled = "case when config like '%+responses' and order_id % 3 <> 0 and order_id % 10 <> 1 then 'Sector 9' end"
+    runs = " union all ".join(f"select '{name}' as config, * from ({outcomes})" for name, outcomes in configs.items())
+    return f"""with truth as (select order_id, {truth}, true_lat, true_lng from ({GRADED_SQL} select * from graded)),
+    runs as ({runs}),
+    graded as (select config || '/' || order_id as order_id, config, status, confidence, building as pred_building, cast(null as varchar) as pred_street, {filled} as pred_sub_locality,
+      locality as pred_locality, city as pred_city, district as pred_district, state as pred_state, pincode as pred_pincode, lat as pred_lat, lng as pred_lng, {truth}, true_lat, true_lng
+      from runs join truth using (order_id))""" + LONG_SQL[len(GRADED_SQL) :] + ABLATION_TAIL
+
+
+def run_of(rows, config):
+    """Resolutions of one configuration as predictions."""
+    return rows.select(
+        F.lit(config).alias("config"), "order_id", "status", "confidence", *[F.col(f).alias(f"pred_{f}") for f in tables.FIELDS],
+        F.col("geo.lat").alias("pred_lat"), F.col("geo.lng").alias("pred_lng"),
+    )
+
+
+def metrics_of(w, runs):
+    truth = w.table("graded").select("order_id", *[f"true_{f}" for f in tables.FIELDS], "true_lat", "true_lng")
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.unionByName(more)
+    return E.run_metrics(staged(every.join(truth, "order_id"), "graded_runs"), ["config"])
+
+
+@job("ablation_configs", "EV10 EV8", graded_runs({"A": RULES_SQL, "R1": hybrid_sql(lexical=True), "R2": HYBRID_SQL}))
 def ablation_configs(spark, sf):
     """The three model-free configurations graded against the same truth."""
     w = Warehouse(spark, sf)
-    truth = w.table("graded").select("order_id", *[f"true_{f}" for f in tables.FIELDS], "true_lat", "true_lng")
-    runs = None
-    for config, name in (("A", "resolutions_rules"), ("R1", "resolutions_lexical"), ("R2", "resolutions")):
-        rows = w.table(name).select(
-            F.lit(config).alias("config"), "order_id", "status", "confidence",
-            *[F.col(f).alias(f"pred_{f}") for f in tables.FIELDS],
-            F.col("geo.lat").alias("pred_lat"), F.col("geo.lng").alias("pred_lng"),
-        )
-        runs = rows if runs is None else runs.unionByName(rows)
-    return E.run_metrics(runs.join(truth, "order_id"), ["config"])
+    names = {"A": "resolutions_rules", "R1": "resolutions_lexical", "R2": "resolutions"}
+    return metrics_of(w, [run_of(w.table(name), config) for config, name in names.items()])
+
+
+@job("ablation_responses", "EV10 EV8 PR17", graded_runs({"R1+responses": hybrid_sql(lexical=True, responded=True), "R2+responses": hybrid_sql(responded=True)}))
+def ablation_responses(spark, sf):
+    """The configurations that settle with stored model responses, graded like those without."""
+    w = Warehouse(spark, sf)
+    requests = request_rows(spark, sf, F.expr(RESPONSE.replace("\n", " ")).alias("response"))
+    return metrics_of(w, [run_of(resolve_requests(spark, sf, requests, config), f"{config}+responses") for config in ("R1", "R2")])
 
 
 SLICES = ("drop_pincode", 5), ("inject_phone", 6), ("append_chatter", 7)
