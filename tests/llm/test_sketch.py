@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -72,3 +74,21 @@ def test_no_python_on_the_main_path(spark, sf):
     held = rows.select("range", "place", sketch.digests("text").alias("own"), sketch.digests("next_text").alias("following"))
     plan = sketch.differences(held, ["range", "place"], [("own", "following")])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("rounds", [12, 3])
+def test_changed_pieces_are_recovered(spark, monkeypatch, rounds):
+    monkeypatch.setattr(sketch, "ROUNDS", rounds)
+    rng = random.Random(4)
+    rows = [(None, "a b\nc", "a b\nd"), (1, None, "x"), (1, "x", None), (2, "", None), (3, "same\nlines", "same\nlines"), (9, "p q", "r s"), (9, "p q", "r s")]
+    for i in range(20, 60):
+        text = [f"line {rng.randrange(200)}" for _ in range(rng.randrange(60))]
+        other = [x if rng.random() < 0.8 else "changed " + x for x in text] + ["new"] * rng.randrange(2)
+        rows.append((i, "\n".join(text), "\n".join(other)))
+    df = spark.createDataFrame(rows, "doc_id bigint, before string, after string").selectExpr("*", "1 as id", "2 as side")
+    got = Counter((r["doc_id"], r["side"], r["digest"]) for r in sketch.changed_pieces(df, "doc_id", "before", "after").collect())
+    named = {(p, i): None for i, *versions in rows for v in versions for p in pieces(v or "")}
+    hashed = {r["p"]: r["h"] for r in spark.createDataFrame([(p,) for p, _ in named], "p string").selectExpr("p", "xxhash64(p) as h").collect()}
+    want = {(i, side, hashed[p]) for i, a, b in rows for side, x, y in (("removed", a, b), ("added", b, a)) for p in pieces(x or "") - pieces(y or "")}
+    assert set(got) == want and max(got.values()) == 1 and len(want) > 100
+    assert sketch.changed_pieces(df.where("doc_id > 90"), "doc_id", "before", "after").collect() == []

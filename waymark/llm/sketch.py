@@ -38,9 +38,12 @@ def _spot(table: int, level: int) -> str:
     return f"cast({table} * room + pmod(xxhash64(digest, {100 * level + table}), room) as int)"
 
 
-def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]], level: int = 1) -> DataFrame:
+def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]], level: int = 1, listed: bool = False) -> DataFrame:
     """Per row and pair of digest columns: (keys, ``pair``, ``n_a``, ``n_b``, ``only_a``, ``only_b``, ``failed``).
 
+    If ``listed``, the digests themselves, as they are peeled: (keys, ``pair``, ``side``, ``digest``), side 1 for
+    those of the first column only, -1 for those of the second, and a row of side 0 where slots were left.
+
     Both sides' digests go into three tables of slots, those of the second counted
     off, so what both have cancels out. A slot that holds one digest, told by its
     check, gives it up: it is taken out of its slots in the other tables, which
@@ -56,15 +59,16 @@ def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]],
         parts += [f"transform({side}, x -> struct({i} as pair, {room} as room, x as digest, {sign} as n))" for side, sign in ((a, 1), (b, -1))]
         counts += [f"struct({i} as pair, -{s} as room, 0L as digest, size({side}) as n)" for s, side in ((3, a), (4, b))]
     items = rows.select(*keys, F.expr(f"inline(concat(array({', '.join(counts)}), {', '.join(parts)}))"))
+    kept = ["held"] if listed else []  # the digest of a row that tells of one peeled
     cells = items.select(
-        *keys, "pair", "room", "n", "digest",
+        *keys, "pair", "room", "n", "digest", *(F.lit(0).cast("long").alias(c) for c in kept),
         F.expr(
             f"explode(if(room < 0, array(room), array({', '.join(_spot(t, level) for t in range(3))})))"
         ).alias("slot"),
-    ).select(*keys, "pair", "room", "slot", "n", "digest", F.expr("if(room < 0, 0L, xxhash64(digest, 99))").alias("proof"))
+    ).select(*keys, "pair", "room", "slot", "n", "digest", *kept, F.expr("if(room < 0, 0L, xxhash64(digest, 99))").alias("proof"))
 
     def summed(df):
-        return df.groupBy(*keys, "pair", "room", "slot").agg(
+        return df.groupBy(*keys, "pair", "room", "slot", *kept).agg(
             F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("proof").alias("proof")
         ).where("slot < 0 or n <> 0 or digest <> 0 or proof <> 0")
 
@@ -72,11 +76,15 @@ def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]],
     for turn in range(ROUNDS):
         table = turn % 3
         lone = f"slot >= {table} * room and slot < {table + 1} * room and room > 0 and abs(n) = 1 and proof = xxhash64(digest, 99)"
-        gone = ", ".join(f"struct({_spot(t, level)} as slot, -n as n, digest, proof)" for t in range(3) if t != table)
-        found = "struct(if(n > 0, -1, -2) as slot, 1L as n, 0L as digest, 0L as proof)"
+        none, own, same = (", 0L as held", ", digest as held", ", held") if listed else ("", "", "")
+        gone = ", ".join(f"struct({_spot(t, level)} as slot, -n as n, digest, proof{none})" for t in range(3) if t != table)
+        found = f"struct(if(n > 0, -1, -2) as slot, 1L as n, 0L as digest, 0L as proof{own})"
         cells = summed(
-            cells.select(*keys, "pair", "room", F.expr(f"inline(if({lone}, array({found}, {gone}), array(struct(slot, n, digest, proof))))"))
+            cells.select(*keys, "pair", "room", F.expr(f"inline(if({lone}, array({found}, {gone}), array(struct(slot, n, digest, proof{same}))))"))
         )
+    if listed:
+        side = F.expr("case slot when -1 then 1 when -2 then -1 else 0 end")
+        return cells.where("slot > -3").select(*keys, "pair", side.alias("side"), F.expr("if(slot < 0, held, null)").alias("digest")).distinct()
     told = lambda slot: F.coalesce(F.sum(F.when(F.col("slot") == slot, F.col("n"))), F.lit(0)).cast("long")
     return cells.groupBy(*keys, "pair").agg(
         told(-3).alias("n_a"), told(-4).alias("n_b"), told(-1).alias("only_a"), told(-2).alias("only_b"),
@@ -84,6 +92,31 @@ def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]],
     )
 
 
+def changed_pieces(versions: DataFrame, id_column: str, before_column: str, after_column: str) -> DataFrame:
+    """(id, ``side``, ``digest``): the digests of pieces that only one of two versions of a text has.
+
+    ``side`` is 'removed' for those of the version before, 'added' for those after; a piece that
+    both have is in neither, however often. They are what peeling the difference of both sketches
+    gives; rows whose sketch is too small are done again with twice the room. Null versions are
+    empty; rows of equal id and versions give the same rows once; null ids are ids.
+    """
+    rows = versions.select(
+        F.col(id_column).alias("id"), F.coalesce(F.col(before_column), F.lit("")).alias("before"), F.coalesce(F.col(after_column), F.lit("")).alias("after")
+    ).distinct()
+    keys = ["id", "before_key", "after_key"]
+    sides = rows.select("id", F.xxhash64("before").alias("before_key"), F.xxhash64("after").alias("after_key"), digests("before").alias("a"), digests("after").alias("b"))
+    left, found, level = staged(sides, "versions"), [], 1
+    while not left.isEmpty():
+        told = staged(differences(left.repartition(*keys), keys, [("a", "b")], level, listed=True), "peeled")
+        open_rows = told.where("side = 0").select(*keys)
+        found.append(told.alias("t").join(open_rows.alias("o"), _same("t", "o", [(k, k) for k in keys]), "left_anti").select("id", "side", "digest"))
+        left = staged(left.alias("t").join(open_rows.alias("o"), _same("t", "o", [(k, k) for k in keys]), "left_semi"), "open-versions")
+        level += 1
+    none = sides.sparkSession.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, side int, digest bigint")
+    side = F.when(F.col("side") > 0, "removed").otherwise("added")
+    return reduce(DataFrame.unionByName, found, none).select(F.col("id").alias(id_column), side.alias("side"), "digest").distinct()
+
+
 def likeness() -> Column:
     """Digests in common by digests in either; two texts without any are alike."""
     either = F.col("n_a") + F.col("only_b")
