@@ -1,3 +1,6 @@
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -49,3 +52,16 @@ def test_features_do_not_depend_on_blocks(monkeypatch):
     whole = toxicity.Reader({b"zork": 4.0, b"idiot": 3.0}).features(text)
     monkeypatch.setattr(decontaminate, "_BLOCK", 64)
     assert toxicity.Reader({b"zork": 4.0, b"idiot": 3.0}).features(text) == whole and whole[6] > 0
+
+
+def test_hidden_words_in_linear_time():
+    backtracking = re.compile(rb"[A-Za-z][A-Za-z0-9@$!|*.\-]*[0-9@$!|*][A-Za-z0-9@$!|*.\-]*[A-Za-z]")
+    rng = random.Random(6)
+    for _ in range(3000):
+        data = "".join(rng.choice("abZ019@$!|*.-  é\n") for _ in range(rng.randrange(30))).encode()
+        want = [f(m[0].lower()) for m in backtracking.finditer(data) for f in (lambda w: re.sub(rb"[^a-z]", b"", w.translate(toxicity.SIGNS)), lambda w: re.sub(rb"[^a-z]", b"", w))]
+        assert toxicity.hidden_words(data) == want, data
+    start = time.process_time()
+    for word in (b"x" * 1_000_000, b"a." * 500_000, b"a1" * 500_000, b"." * 1_000_000):
+        toxicity.hidden_words(word)
+    assert time.process_time() - start < 5

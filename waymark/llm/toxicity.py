@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blobs, text_rows
+from waymark.llm.common import blobs, frugal, text_rows
 from waymark.llm.decontaminate import words_in_blocks
 from waymark.sources.warehouse import staged
 
@@ -27,7 +27,10 @@ SECOND_PERSON = frozenset(
     w.encode() for w in "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted vosotros".split()
 )
 SIGNS = bytes.maketrans(b"01345789@$!|", b"oieastbgasil")
-_OBFUSCATED = re.compile(rb"[A-Za-z][A-Za-z0-9@$!|*.\-]*[0-9@$!|*][A-Za-z0-9@$!|*.\-]*[A-Za-z]")
+#: Letters, signs, dots and hyphens stay, all else parts runs of them.
+_RUN_BYTES = bytes(c if c < 0x80 and (chr(c).isalnum() or chr(c) in "@$!|*.-") else 0x20 for c in range(256))
+_NO_LETTER = b"0123456789@$!|*.-"
+_SIGN = re.compile(rb"[0-9@$!|*]")
 _RUNS = re.compile(rb"[!?]{2,}")
 FEATURES = (
     "words", "hit_rate", "hits", "top", "second", "mean_top", "hidden_hits", "near_you", "near_you_rate", "you_rate", "capitals",
@@ -60,9 +63,11 @@ def plain_words(data: bytes):
 def hidden_words(data: bytes) -> list[bytes]:
     """Words with signs in place of letters, or parted by them, as they are meant."""
     found = []
-    for m in _OBFUSCATED.finditer(data):
-        word = m[0]
-        if not word.isalpha():
+    for run in data.translate(_RUN_BYTES).split():
+        if run.isalpha():
+            continue
+        word = run.strip(_NO_LETTER)  # from its first letter to its last
+        if _SIGN.search(word):
             found.append(re.sub(rb"[^a-z]", b"", word.lower().translate(SIGNS)))
             found.append(re.sub(rb"[^a-z]", b"", word.lower()))
     return found
@@ -96,7 +101,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
     def shaped(found):
         return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))], ["term", "counts"])
 
-    rows = sample.mapInArrow(per_part, "term binary, counts array<bigint>")
+    rows = sample.mapInArrow(frugal(per_part), "term binary, counts array<bigint>")
     return rows.groupBy("term").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(2 * FOLDS)))
 
 
@@ -298,7 +303,7 @@ def fitted(documents: DataFrame, labels: DataFrame, id_column: str, text_column:
             rows = [readers[f].features(t) for f, t in zip(folds, blobs(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label"), batch.column("fold"), batch.column("id").cast(pa.string())], ["x", "label", "fold", "id"])
 
-    found = sample.select("id", "text", "label", "fold").mapInArrow(per_part, "x array<double>, label int, fold int, id string").orderBy("id", "x").collect()
+    found = sample.select("id", "text", "label", "fold").mapInArrow(frugal(per_part), "x array<double>, label int, fold int, id string").orderBy("id", "x").collect()
     x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
     y = np.array([r["label"] for r in found], float)
     fold = np.array([r["fold"] for r in found], int)
@@ -331,7 +336,7 @@ def scored(
 
     rows = text_rows(documents, id_column, text_column)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_part, f"id {kind}, score double").select(
+    return rows.mapInArrow(frugal(per_part), f"id {kind}, score double").select(
         F.col("id").alias(id_column), held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
     )
 
