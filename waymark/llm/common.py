@@ -51,6 +51,29 @@ def without(documents: DataFrame, gone: DataFrame, id_column: str, text_column:
     return whole_rows(documents, id_column, text_column).join(out, same, "left_anti").select("row.*")
 
 
+def frugal(per_task):
+    """``per_task`` over batches, after which a worker gives back the memory that it no longer uses.
+
+    Workers outlive their tasks, and what one stage has allocated would else stay with them in the next.
+    """
+
+    def run(batches):
+        try:
+            yield from per_task(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library: it keeps its own counsel
+                pass
+
+    return run
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """A string or binary column as bytes; nulls are empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

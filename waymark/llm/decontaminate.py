@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blobs, row_key, text_rows, without
+from waymark.llm.common import blobs, frugal, row_key, text_rows, without
 from waymark.sources.warehouse import staged
 
 #: Letters a-z, digits and every byte of a non-ASCII character make words; A-Z count as a-z, all else parts them.
@@ -136,7 +136,7 @@ def item_rows(rows: DataFrame, longest: int) -> DataFrame:
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_batch, f"id {kind}, length int, hash bigint, left string, right string")
+    return rows.mapInArrow(frugal(per_batch), f"id {kind}, length int, hash bigint, left string, right string")
 
 
 def document_rows(rows: DataFrame, lengths: list[int], held) -> DataFrame:
@@ -178,7 +178,7 @@ def document_rows(rows: DataFrame, lengths: list[int], held) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        per_batch, f"id {kind}, key bigint, n_words bigint, length int, hash bigint, place bigint, left string, right string"
+        frugal(per_batch), f"id {kind}, key bigint, n_words bigint, length int, hash bigint, place bigint, left string, right string"
     )
 
 
@@ -251,7 +251,7 @@ def hit_rows(documents: DataFrame, benchmark: DataFrame, id_column: str, text_co
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    hits = staged(met.mapInArrow(extend, f"id {kind}, key bigint, context bigint, lo bigint, hi bigint"), "hits")
+    hits = staged(met.mapInArrow(frugal(extend), f"id {kind}, key bigint, context bigint, lo bigint, hi bigint"), "hits")
     covered = hits.select("id", "key", "lo", "hi").distinct().groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     covered = covered.select(
         "id", "key",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from waymark.llm.common import blobs, text_rows
+from waymark.llm.common import blobs, frugal, text_rows
 from waymark.llm.files import create, open_read
 from waymark.llm.tokens import shared_ids, word_ids
 from waymark.sources.warehouse import scratch, staged
@@ -136,7 +136,7 @@ def write_ids(
                 {"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]}
             )
 
-    files = staged(dealt.mapInArrow(per_part, "part int, path string, n_docs bigint, n_ids bigint"), "id-files")
+    files = staged(dealt.mapInArrow(frugal(per_part), "part int, path string, n_docs bigint, n_ids bigint"), "id-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -169,7 +169,7 @@ def read_ids(files: DataFrame, id_type: str = "bigint", id_column: str = "doc_id
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
     fields = to_arrow_schema(StructType.fromDDL(schema))
-    found = files.select("path", "start").repartition(max(1, files.count())).mapInArrow(per_file, schema)
+    found = files.select("path", "start").repartition(max(1, files.count())).mapInArrow(frugal(per_file), schema)
     return found.withColumn(id_column, F.col(id_column).cast(id_type))
 
 

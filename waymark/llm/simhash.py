@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blobs, kept_once, row_key, runs_of, text_rows, word_blocks
+from waymark.llm.common import blobs, frugal, kept_once, row_key, runs_of, text_rows, word_blocks
 from waymark.llm.components import connected
 from waymark.sources.warehouse import staged
 
@@ -48,7 +48,7 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps)], ["id", "key", "fp"])
 
     rows = text_rows(documents, id_column, text_column).withColumn("key", row_key())
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, fp bigint")
+    return rows.mapInArrow(frugal(per_batch), f"id {rows.schema['id'].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def parts_for(rows: int, radius: int) -> int:
@@ -155,7 +155,7 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
                 a, b = zip(*kept)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    tiles = classes.select("fp").mapInArrow(expand, "tile bigint, fp bigint, visits boolean")
+    tiles = classes.select("fp").mapInArrow(frugal(expand), "tile bigint, fp bigint, visits boolean")
     sizes = tiles.groupBy("tile").agg(F.count(F.when(~F.col("visits"), 1)).alias("own"), F.count(F.when(F.col("visits"), 1)).alias("met"))
     blocks = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
     sizes = staged(sizes.where("own > 0 and met > 1").select("tile", blocks("own").alias("own_blocks"), blocks("met").alias("met_blocks")), "tiles")
@@ -172,7 +172,7 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     key = ["tile", "own_block", "met_block"]
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.unionByName(met).repartition(count, *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(frugal(compare), "a bigint, b bigint")
 
 
 def grouped(documents: DataFrame, id_column: str, text_column: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
