@@ -2,7 +2,6 @@
 
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -11,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import text_rows, word_blocks
+from waymark.llm.common import frugal, text_rows, word_blocks
 
 #: A single space between two visible characters: a byte-level pre-tokenizer always starts a piece there.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 BATCH_BYTES = 1 << 20
 GROUP_PIECES = 1 << 18
-KNOWN_PIECES = 1 << 20
+#: Pieces of one store, and pieces that are encoded in one text.
+KNOWN_PIECES, TOGETHER = 1 << 18, 32
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def load(path: str):
@@ -44,19 +45,60 @@ def byte_batches(pieces: list, size: int = BATCH_BYTES):
         yield batch
 
 
+def separator(tokenizer) -> tuple[str, int] | None:
+    """A special token that parts a text wherever it stands, so that pieces can be encoded side by side; None if there is none."""
+    for i, token in sorted(tokenizer.get_added_tokens_decoder().items()):
+        if token.special and not (token.single_word or token.lstrip or token.rstrip or token.normalized):
+            return token.content, i
+    return None
+
+
 class Pieces:
-    """Results of encoding pieces, kept while a task meets them again; at most ``KNOWN_PIECES`` between groups of texts."""
+    """Results of encoding pieces, kept while they are met again: two stores of ``KNOWN_PIECES`` at most, and what one group adds."""
 
     def __init__(self, tokenizer, result):
-        self.tokenizer, self.result, self.known = tokenizer, result, {}
+        self.tokenizer, self.result, self.known, self.before = tokenizer, result, {}, {}
+        self.special = separator(tokenizer)
+        self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        normalizer = tokenizer.normalizer
+        #: Whether the tokenizer tells A-Z from a-z nowhere, so that pieces may be looked up in lower case.
+        self.folds = bool(normalizer) and normalizer.normalize_str(_UPPER) == _UPPER.lower()
+
+    def folded(self, data: bytes) -> bytes:
+        """A text with A-Z as a-z, if that changes none of its ids: it must not turn anything into a special token."""
+        low = data.lower() if self.folds else data
+        return data if any(m in low for m in self.marks) else low
 
     def learn(self, pieces: set) -> None:
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        for batch in byte_batches(list(pieces.difference(self.known))):
-            texts = [p if isinstance(p, str) else p.decode() for p in batch]
-            for piece, got in zip(batch, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[piece] = self.result(got)
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_PIECES:
+            self.before, self.known, new = self.known, {}, pieces
+        again = new.intersection(self.before)  # pieces met again stay, others go with the store before
+        self.known.update((p, self.before[p]) for p in again)
+        for batch in byte_batches(list(new.difference(again))):
+            self.encode(batch)
+
+    def encode(self, batch: list) -> None:
+        """Encode pieces side by side, parted by a special token; those that hold its text, one by one."""
+        texts = [p if isinstance(p, str) else p.decode() for p in batch]
+        alone = range(len(texts))
+        if self.special:
+            mark, mark_id = self.special
+            inside = [i for i, t in enumerate(texts) if mark not in t]
+            alone = [i for i, t in enumerate(texts) if mark in t]
+            groups = [inside[i : i + TOGETHER] for i in range(0, len(inside), TOGETHER)]
+            joined = self.tokenizer.encode_batch_fast([mark.join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+            for group, got in zip(groups, joined):
+                ids = np.array(got.ids, np.uint32)
+                cuts = np.flatnonzero(ids == mark_id)
+                if len(cuts) != len(group) - 1:
+                    alone = [*alone, *group]
+                    continue
+                for i, own in zip(group, self.result(ids, cuts)):
+                    self.known[batch[i]] = own
+        rest = [texts[i] for i in alone]
+        for i, got in zip(alone, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            (self.known[batch[i]],) = self.result(np.array(got.ids, np.uint32), np.empty(0, np.int64))
 
     def of(self, groups: Iterable[list]) -> Iterator[Iterator]:
         """The results of each list of pieces; lists are encoded together, in groups of some megabytes."""
@@ -76,18 +118,29 @@ class Pieces:
 
 @cache
 def shared_counts(path: str) -> Pieces:
-    """One store of counts per Python worker, which outlives its tasks."""
-    return Pieces(load(path), len)
+    """One store of counts per Python worker, which outlives its tasks; its size is bounded."""
+    return Pieces(load(path), counts)
 
 
 @cache
 def shared_ids(path: str) -> Pieces:
-    """One store of ids, as the bytes of 32-bit numbers, per Python worker."""
+    """One store of ids, as the bytes of 32-bit numbers, per Python worker; its size is bounded."""
     return Pieces(load(path), id_bytes)
 
 
-def id_bytes(encoding) -> bytes:
-    return array("I", encoding.ids).tobytes()
+def counts(ids: np.ndarray, cuts: np.ndarray) -> list[int]:
+    """How many ids there are before, between and after the cuts."""
+    ends = np.append(cuts, len(ids))
+    return (np.diff(ends, prepend=-1) - 1).tolist()
+
+
+def id_bytes(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The ids before, between and after the cuts, as bytes."""
+    raw, at, out = ids.tobytes(), 0, []
+    for end in (*(4 * cuts).tolist(), len(raw)):
+        out.append(raw[at:end])
+        at = end + 4
+    return out
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -117,7 +170,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, id_column: str = "doc_id"
 
     rows = text_rows(documents, id_column, text_column).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_batch, f"id {kind}, n_bytes bigint, n_tokens bigint").select(
+    return rows.mapInArrow(frugal(per_batch), f"id {kind}, n_bytes bigint, n_tokens bigint").select(
         F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
@@ -127,7 +180,7 @@ def word_ids(pieces: Pieces, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     def lists():
         for data in texts:
             n = 0
-            for words in word_blocks(data):
+            for words in word_blocks(pieces.folded(data)):
                 n += 1
                 yield words
             sizes.append(n)
