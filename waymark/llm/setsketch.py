@@ -5,11 +5,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Bloom, blobs, row_key, runs_of, text_rows
+from waymark.llm.common import Bloom, blobs, frugal, kept_once, row_key, runs_of, text_rows
 from waymark.llm.components import connected
 from waymark.llm.decontaminate import Hashes
 from waymark.llm.shingles import class_of, shingle_set
-from waymark.llm.simhash import forest
+from waymark.llm.simhash import fingerprint, forest
+from waymark.llm.simhash import links as simhash_links
 from waymark.sources.warehouse import staged
 
 #: Texts are linked from this Jaccard similarity on, as a fraction.
@@ -83,23 +84,28 @@ def plausible(more: np.ndarray, fewer: np.ndarray, n: np.ndarray, m: np.ndarray)
     return out
 
 
-def sketched(rows: DataFrame, shingle: int) -> DataFrame:
-    """Per input row (``id``, ``key``, ``class``, ``n``, ``sketch``): equal sets have equal classes; no words, a null class."""
+def sketched(rows: DataFrame, shingle: int, fingerprints: bool = False) -> DataFrame:
+    """Per input row (``id``, ``key``, ``class``, ``n``, ``sketch``, ``fp``): equal sets have equal classes; no words, a null class.
+
+    ``fp`` is the SimHash of the text's shingles, as ``simhash.fingerprints`` has it, if ``fingerprints`` are asked for.
+    """
 
     def per_batch(batches):
         known = Hashes()
         for batch in batches:
-            classes, sizes, sketches = [], [], []
+            classes, sizes, sketches, prints = [], [], [], []
             for data in blobs(batch.column("text")):
+                prints.append(fingerprint(data, shingle) if fingerprints else None)
                 found = shingle_set(data, known, shingle)
                 sizes.append(len(found))
                 classes.append(class_of(found) if len(found) else None)
                 sketches.append(sketch(found).tobytes() if len(found) else None)
-            held = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *held], ["id", "key", "class", "n", "sketch"])
+            prints = pa.array(np.array(prints, np.uint64).view(np.int64)) if fingerprints else pa.nulls(len(prints), pa.int64())
+            held = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), prints]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *held], ["id", "key", "class", "n", "sketch", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_batch, f"id {kind}, key bigint, class bigint, n bigint, sketch binary")
+    return rows.mapInArrow(frugal(per_batch), f"id {kind}, key bigint, class bigint, n bigint, sketch binary, fp bigint")
 
 
 def posts_of(classes: DataFrame) -> DataFrame:
@@ -122,7 +128,7 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = both.join(classes.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     p, q = SIMILAR
     fits = q * F.least("n", "m") >= p * F.greatest("n", "m")
-    return both.where(fits).select("a", "b", "n", "m", "x", "y").mapInArrow(per_batch, _PAIR)
+    return both.where(fits).select("a", "b", "n", "m", "x", "y").mapInArrow(frugal(per_batch), _PAIR)
 
 
 def sets_of(wanted: DataFrame, chosen: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -144,7 +150,7 @@ def sets_of(wanted: DataFrame, chosen: DataFrame, texts: DataFrame, shingle: int
                 tokens = pa.array([shingle_set(data, known, shingle).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, 1), tokens], ["class", "tokens"])
 
-    return staged(met.mapInArrow(per_batch, "class bigint, tokens binary"), "shingle-sets")
+    return staged(met.mapInArrow(frugal(per_batch), "class bigint, tokens binary"), "shingle-sets")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -179,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(b.is_valid and similar(own, found))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.mapInArrow(per_task, _PAIR)
+    return dealt.mapInArrow(frugal(per_task), _PAIR)
 
 
 def open_links(posts: DataFrame, heads: DataFrame, roots: DataFrame, classes: DataFrame, chosen: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -240,20 +246,29 @@ def open_links(posts: DataFrame, heads: DataFrame, roots: DataFrame, classes: Da
                 a, b = zip(*kept)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(per_task, _PAIR)
+    return dealt.mapInArrow(frugal(per_task), _PAIR)
+
 
+def simhash_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): each class with the least one of its fingerprint, and the least ones of fingerprints within ``radius`` bits."""
+    heads = staged(classes.groupBy("fp").agg(F.min("class").alias("head")), "fingerprint-heads")
+    same = classes.join(heads, "fp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    near = simhash_links(heads.select("fp"), radius).join(heads.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "y"}), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
-def components(documents: DataFrame, id_column: str, text_column: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, key, class, n, sketch), and (``class``, ``least``, ``root``) of each class that has words."""
+
+def components(documents: DataFrame, id_column: str, text_column: str, shingle: int, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, class, n, sketch, fp), and (``class``, ``least``, ``root``) of each class that has words."""
     texts = text_rows(documents, id_column, text_column).withColumn("key", row_key())
-    rows = staged(sketched(texts, shingle), "sketches")
+    rows = staged(sketched(texts, shingle, fingerprints), "sketches")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
-    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("least"), one)
+    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("least"), F.min("fp").alias("fp"), one)
     classes = staged(classes, "sketch-classes")
     chosen = classes.select("class", "one.id", "one.key")
     posts = posts_of(classes)
     heads = staged(posts.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("classes")).where("classes > 1"), "bucket-heads")
-    stars = posts.join(heads, "bucket").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    stars = posts.join(heads, "bucket").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    stars = (stars.unionByName(simhash_pairs(classes.select("class", "fp"))) if fingerprints else stars).distinct()
     tried = staged(compared(stars, classes), "star-pairs")
     wanted = tried.select(F.col("a").alias("class")).unionByName(tried.select(F.col("b").alias("class"))).distinct()
     near = staged(confirmed(tried, sets_of(wanted, chosen, texts, shingle)), "star-links")
@@ -287,3 +302,17 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     alone = rows.where("class is null").select("id", "n", F.col("id").alias("component_id"))
     kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     return linked.unionByName(alone).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", kept)
+
+
+def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+    """All columns of one row of each group of near duplicates: the one of the smallest id, null ids last.
+
+    Groups are as in ``near_duplicates``, of ``shingle`` words, but texts without words are one
+    group. SimHash fingerprints within two bits propose pairs too, beside the bands; all are
+    decided by whole sets, so texts that merely share a fingerprint's bits both stay.
+    """
+    rows, rooted = components(documents, id_column, text_column, shingle, fingerprints=True)
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
+    best = rows.groupBy("class").agg(one).join(rooted.select("class", "root"), "class", "left")  # no words: no class and no root
+    best = best.groupBy("root").agg(F.min("one").alias("one"))
+    return kept_once(documents, best.select("one.id", "one.key"), id_column, text_column)

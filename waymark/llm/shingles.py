@@ -1,21 +1,10 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles: prefixes of rare shingles meet, pairs are confirmed."""
+"""Texts as sets of word shingles."""
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from waymark.llm.common import blobs, kept_once, row_key, runs_of, text_rows, word_blocks
-from waymark.llm.components import connected
+from waymark.llm.common import word_blocks
 from waymark.llm.decontaminate import Hashes, grams
-from waymark.sources.warehouse import staged
-
-#: Similarity at which documents are near duplicates, as a fraction.
-SIMILAR = (4, 5)
-SKETCH_BITS = 18
-BLOCK_ROWS = 2048
-_PAIR = "a bigint, b bigint"
 
 
 def shingle_set(data: bytes, known: Hashes, shingle: int = 5) -> np.ndarray:
@@ -39,205 +28,3 @@ def shingle_set(data: bytes, known: Hashes, shingle: int = 5) -> np.ndarray:
 def class_of(found: np.ndarray) -> int:
     """The number that texts of equal shingle sets share, as a signed long."""
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
-
-
-def class_rows(rows: DataFrame, shingle: int) -> DataFrame:
-    """Per input row (id, key, class), and per task the counts of its shingles in a sketch of fixed size (bucket, seen)."""
-
-    def per_batch(batches):
-        known, counts, kind = Hashes(), np.zeros(1 << SKETCH_BITS, np.int64), None
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
-            kind, classes = batch.schema.field("id").type, []
-            for data in blobs(batch.column("text")):
-                found = shingle_set(data, known, shingle)
-                classes.append(class_of(found))
-                if len(found):
-                    np.add.at(counts, (found & mask).astype(np.int64), 1)
-            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(classes, pa.int64()), *none], ["id", "key", "class", "bucket", "seen"])
-        some = np.flatnonzero(counts)
-        if len(some):
-            blank = pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(some.astype(np.int32)), pa.array(counts[some])], ["id", "key", "class", "bucket", "seen"])
-
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, class bigint, bucket int, seen bigint")
-
-
-def prefixes(rows: DataFrame, rank: np.ndarray, shingle: int) -> DataFrame:
-    """(token, class, n, place): of each set of ``n`` shingles those of which similar sets must share one.
-
-    Tokens are the shingles in one order for all sets, rare buckets of the sketch
-    first. Two sets of similarity p/q share at least p/q of either, so their first
-    common token lies among the first n - ceil(n p/q) + 1 of both.
-    """
-    p, q = SIMILAR
-    held = rows.sparkSession.sparkContext.broadcast(rank)
-
-    def per_batch(batches):
-        known, order, done = Hashes(), held.value, set()
-        mask, low = np.uint64((1 << SKETCH_BITS) - 1), np.uint64(SKETCH_BITS)
-        for batch in batches:
-            out = []
-            for data in blobs(batch.column("text")):
-                found = shingle_set(data, known, shingle)
-                c = class_of(found)
-                if not len(found) or c in done:
-                    continue
-                if len(done) > 1 << 18:
-                    done.clear()
-                done.add(c)
-                n = len(found)
-                first = n + (-n * p // q) + 1
-                tokens = order[(found & mask).astype(np.int64)] << np.uint64(64 - SKETCH_BITS) | found >> low
-                tokens = np.sort(np.partition(tokens, first - 1)[:first])
-                out.append((tokens, c, n))
-            if out:
-                sizes = [len(t) for t, _, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([t for t, _, _ in out]).view(np.int64)),
-                        pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), sizes)),
-                        pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), sizes)),
-                        pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
-                    ],
-                    ["token", "class", "n", "place"],
-                )
-
-    return rows.select("text").mapInArrow(per_batch, "token bigint, class bigint, n int, place int")
-
-
-def met(batches):
-    """Of rows sorted by token and class, one per class of the tokens that several classes have; one row is held."""
-    last = None  # the row before, and whether its token was met before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([last[0], batch] if last else [batch])
-        token, kind = (table.column(c).to_numpy() for c in ("token", "class"))
-        same = token[1:] == token[:-1]
-        fresh = np.concatenate([[True], ~same | (kind[1:] != kind[:-1])])
-        once = np.flatnonzero(fresh)
-        token = token[once]
-        back = np.concatenate([[bool(last and last[1])], token[1:] == token[:-1]])
-        ahead = np.concatenate([token[1:] == token[:-1], [False]])
-        out = table.take(pa.array(once))
-        keep = back[:-1] | ahead[:-1]
-        yield from out.slice(0, len(once) - 1).filter(pa.array(keep)).to_batches()
-        last = out.slice(len(once) - 1).combine_chunks().to_batches()[0], bool(back[-1])
-    if last and last[1]:
-        yield last[0]
-
-
-def may_reach(n, i, m, j):
-    """Whether sets of n and m tokens, their first common one at places i and j, can be similar enough; columns or arrays."""
-    p, q = SIMILAR
-    least = F.least if not isinstance(n, np.ndarray) else np.minimum
-    return (p + q) * least(n - i, m - j) >= p * (n + m)
-
-
-def star_pairs(posts: DataFrame) -> DataFrame:
-    """Each class with the least class of each of its tokens."""
-    heads = posts.groupBy("token").agg(F.min(F.struct("class", "n", "place")).alias("head"))
-    near = may_reach(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"))
-    pairs = posts.join(heads, "token").where((F.col("class") != F.col("head.class")) & near)
-    return pairs.select(F.col("head.class").alias("a"), F.col("class").alias("b")).distinct()
-
-
-def further_pairs(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of classes that share a token, can be similar enough and are not connected yet.
-
-    Tokens of many classes are cut into blocks; each pair of blocks is a task's
-    work of bounded memory.
-    """
-    rooted = posts.join(roots, posts["class"] == roots["node"], "left").select(posts["*"], F.coalesce("root", "class").alias("root"))
-    open_tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high")
-    placed = rooted.join(open_tokens.select("token", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "token")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("own", own).withColumn("other", every)
-    first, second = F.least("own", "other"), F.greatest("own", "other")
-    dealt = placed.select("token", first.alias("x"), second.alias("y"), F.col("own"), "class", "n", "place", "root")
-
-    def compare(batches):
-        for run in runs_of(batches, ["token", "x", "y"]):
-            own, x, y, kind, n, place, root = (run.column(c).to_numpy() for c in ("own", "x", "y", "class", "n", "place", "root"))
-            here = np.flatnonzero(own == x)
-            there = np.flatnonzero(own == y)
-            for lo in range(0, len(here), 256):
-                a, b = here[lo : lo + 256, None], there[None, :]
-                hit = may_reach(n[a], place[a], n[b], place[b]) & (root[a] != root[b])
-                if x[0] == y[0]:
-                    hit &= kind[a] < kind[b]
-                i, j = np.nonzero(hit)
-                if len(i):
-                    left, right = kind[a[i, 0]], kind[there[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
-
-    key = ["token", "x", "y"]
-    count = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(count, *key).sortWithinPartitions(*key).mapInArrow(compare, _PAIR).distinct()
-
-
-def confirmed(pairs: DataFrame, documents: DataFrame, rows: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """The pairs of classes whose whole sets are similar enough, from the texts of one document of each class."""
-    p, q = SIMILAR
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
-    chosen = rows.join(wanted, "class").groupBy("class").agg(one).select("one.id", "one.key", "class")
-    texts = kept_once(documents.select(id_column, text_column), chosen, id_column, text_column)
-
-    def sets(batches):
-        known = Hashes()
-        for batch in batches:
-            for i, data in enumerate(blobs(batch.column("text"))):
-                found = shingle_set(data, known, shingle).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, 1), pa.array([found], pa.binary())], ["class", "tokens"])
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(q * common >= p * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    whole = staged(texts.select(F.col(text_column).alias("text"), "class").mapInArrow(sets, "class bigint, tokens binary"), "shingle-sets")
-    both = pairs.join(whole.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
-    both = both.join(whole.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    return both.mapInArrow(compare, _PAIR)
-
-
-def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
-    """All columns of one row of each group of near duplicates: the one of the smallest id, null ids last.
-
-    Documents whose sets of ``shingle`` words have a Jaccard similarity of
-    ``SIMILAR`` or more are linked, and groups are what links connect. No pair is
-    missed: all that can be similar share a token of their prefixes, and every
-    pair that is linked was compared whole (as 64-bit hashes). A first round
-    compares each set with the least one of its tokens, so that a large group
-    of near copies is connected by as many pairs as it has members; the second
-    compares what is not connected by then. Texts without words are one group.
-    """
-    spark = documents.sparkSession
-    texts = text_rows(documents, id_column, text_column).withColumn("key", row_key())
-    found = staged(class_rows(texts, shingle), "shingle-classes")
-    rows = found.where("bucket is null").select("id", "key", "class")
-    sketch = found.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[sketch["bucket"].to_numpy()] = sketch["seen"].to_numpy()
-    rank = np.empty(len(counts), np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes(texts, rank, shingle).repartition(count, "token").sortWithinPartitions("token", "class")
-    posts = staged(dealt.mapInArrow(met, dealt.schema), "shared-tokens")
-    tried = staged(star_pairs(posts), "star-pairs")
-    near = staged(confirmed(tried, documents, rows, id_column, text_column, shingle), "near-pairs")
-    rest = staged(further_pairs(posts, connected(near)).join(tried, ["a", "b"], "left_anti"), "further-pairs")
-    more = confirmed(rest, documents, rows, id_column, text_column, shingle)
-    roots = connected(near.unionByName(more))
-    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
-    best = rows.groupBy("class").agg(one)
-    best = best.join(roots, best["class"] == roots["node"], "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("one").alias("one"))
-    return kept_once(documents, best.select("one.id", "one.key"), id_column, text_column)
