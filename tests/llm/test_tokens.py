@@ -27,7 +27,7 @@ def word_level():
 
 
 def test_cuts_keep_counts_and_ids(byte_level, word_level):
-    counts, ids = tokens.Pieces(byte_level, tokens.counts), tokens.Pieces(word_level, tokens.id_bytes)
+    counts, ids = tokens.Pieces(byte_level, len), tokens.Pieces(word_level, tokens.id_bytes)
     texts = odd_texts()
     got_counts = map(sum, counts.of(map(tokens.byte_level_pieces, texts)))
     got_ids = tokens.word_ids(ids, [t.encode() for t in texts])
@@ -38,7 +38,7 @@ def test_cuts_keep_counts_and_ids(byte_level, word_level):
 
 def test_case_is_folded_where_it_does_not_matter(byte_level, word_level):
     ids = tokens.Pieces(word_level, tokens.id_bytes)
-    assert ids.folds and not tokens.Pieces(byte_level, tokens.counts).folds
+    assert ids.folds and not tokens.Pieces(byte_level, len).folds
     texts = ["THE The the", "ÉCOLE École", "<|ENDOFTEXT|> X", "a<|EndOfText|>B", "<|endoftext|> The", "ΑΣ ΣΑΣ.", "İI ıK", "A" * 3000 + " b"]
     for text, found in zip(texts, tokens.word_ids(ids, [t.encode() for t in texts]), strict=True):
         assert found.tolist() == word_level.encode(text, add_special_tokens=False).ids, repr(text)

@@ -114,7 +114,7 @@ def selected(rows: DataFrame, given: dict[tuple, int], patterns: dict[tuple, int
     counts = dealt.where("size > 0").groupBy("pattern").agg(F.count("*").alias("n"))
     ranges = counts.select("pattern", F.expr(f"cast(greatest(0, ceil(log2(n / {RANGE_ROWS}))) as int)").alias("bits"))
     plan = plan.join(ranges, "pattern")
-    placed = dealt.join(plan, "pattern", "left")
+    placed = dealt.join(F.broadcast(plan), "pattern", "left")  # one row per set of sources, as the driver has them
     placed = placed.withColumn("range", F.expr("if(bits = 0, 0L, shiftrightunsigned(draw, 64 - bits))"))
     sums = staged(placed.where("size > 0").groupBy("pattern", "range").agg(F.sum("size").alias("words")), "ranges")
     ahead = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
@@ -160,17 +160,17 @@ def filled(placed: DataFrame) -> DataFrame:
     unused = placed.where("size > 0 and not more")
     lacks = spark.createDataFrame(lacking, "pattern array<string>, lack bigint")
     sizes = {}
-    for r in unused.join(lacks, "pattern").where("size <= lack").groupBy("pattern", "size").count().collect():
+    for r in unused.join(F.broadcast(lacks), "pattern").where("size <= lack").groupBy("pattern", "size").count().collect():
         sizes.setdefault(tuple(r["pattern"]), {})[r["size"]] = r["count"]
     plan = [(list(p), size, n) for p, lack in lacking for size, n in fill(lack, sizes.get(tuple(p), {})).items()]
     if not plan:
         return placed
     place = F.struct("draw", "key", "at")
-    ranked = unused.join(spark.createDataFrame(plan, "pattern array<string>, size bigint, n bigint"), ["pattern", "size"])
+    ranked = unused.join(F.broadcast(spark.createDataFrame(plan, "pattern array<string>, size bigint, n bigint")), ["pattern", "size"])
     ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("pattern", "size").orderBy(place)))
     last = ranked.where(F.col("turn") <= max(n for *_, n in plan)).where("turn = n").select("pattern", "size", place.alias("last"))
     more = F.col("more") | F.coalesce(place <= F.col("last"), F.lit(False))
-    return placed.join(last, ["pattern", "size"], "left").withColumn("more", more).drop("last")
+    return placed.join(F.broadcast(last), ["pattern", "size"], "left").withColumn("more", more).drop("last")  # a row of the plan each
 
 
 def mixed(
