@@ -1,16 +1,19 @@
 """Cross-tokenizer alignment: groups of two token sequences over the same bytes, found by skipping along diagonals."""
 
+import gc
 import hashlib
 import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import frugal
 from waymark.sources.warehouse import staged
 
 #: A single space between two visible characters: both tokenizers always start a token there.
@@ -18,7 +21,9 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a text that are cut and encoded at a time.
 BLOCK = 1 << 18
 #: Pieces a task remembers, pieces encoded at a time, entries of a chunk's pair lists. They bound memory, not results.
-KNOWN_PIECES, GROUP_CHARS, CHUNK_PAIRS = 1 << 18, 1 << 20, 1 << 21
+KNOWN_PIECES, GROUP_CHARS, CHUNK_PAIRS = 1 << 17, 1 << 19, 1 << 21
+#: Parts that are encoded in one text.
+TOGETHER = 256
 #: Links of one group from which on repeated ids are counted instead of listed.
 WIDE_GROUP = 4096
 PAIR = np.dtype([("code", "<i8"), ("times", "<i8")])
@@ -64,6 +69,32 @@ class Vocabularies:
         a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in parts], add_special_tokens=False)]
         return a, self.b.encode(parts, num_threads=1)
 
+    def encoded_together(self, parts: list[str]) -> tuple | None:
+        """(parts, A ids, A counts, B ids, B counts) in some order, or None if a part's tokens are not its bytes.
+
+        Parts that begin and end with a visible character are encoded side by side, many in one text,
+        as cuts between them are safe; byte ends then tell them apart.
+        """
+        inner = [x for x in parts if not (x[0].isspace() or x[-1].isspace())]
+        outer = [x for x in parts if x[0].isspace() or x[-1].isspace()]
+        texts = [" ".join(inner[i : i + TOGETHER]) for i in range(0, len(inner), TOGETHER)] + outer
+        parts = inner + outer
+        spelled = [(" " + x).encode() for x in parts]
+        whole, ends = b"".join(spelled), np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        out = [parts]
+        for ids, table, sizes in ((a, self.a_bytes, self.a_sizes), (self.b.encode(texts, num_threads=1), self.b_bytes, self.b_sizes)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(table.__getitem__, flat)) != whole:
+                return None
+            ids = np.array(flat, np.int64)
+            at = np.cumsum(sizes[ids])
+            last = np.searchsorted(at, ends)
+            if (at[last] != ends).any():
+                return None
+            out += [ids, np.diff(last, prepend=-1)]
+        return tuple(out)
+
     def same_bytes(self, part: str, a: list[int], b: list[int]) -> bool:
         whole = b" " + part.encode()
         return b"".join(map(self.b_bytes.__getitem__, b)) == whole and b"".join(map(self.a_bytes.__getitem__, a)) == whole
@@ -143,38 +174,38 @@ def linked(a_ids: np.ndarray, b_ids: np.ndarray, a_starts: np.ndarray, b_starts:
 
 
 class Aligned:
-    """Alignments of text parts, remembered while a task meets them again.
+    """Alignments of text parts, remembered while a task meets them again: two stores of ``KNOWN_PIECES`` at most.
 
     Each part gives (groups as text, id pairs as bytes of ``PAIR``, token and group
     counts as the bytes of three longs), or None where its tokens are not its bytes.
     """
 
     def __init__(self, vocabularies: Vocabularies):
-        self.both, self.known = vocabularies, {}
+        self.both, self.known, self.before = vocabularies, {}, {}
 
     def learn(self, parts: list[str]) -> None:
         """Align parts that are not known yet, all in one sequence: every part ends a group."""
         both = self.both
-        a, b = both.encoded(parts)
-        fits = list(map(both.same_bytes, parts, a, b))
-        if not all(fits):
+        together = both.encoded_together(parts)
+        if together is None:
+            a, b = both.encoded(parts)
+            fits = list(map(both.same_bytes, parts, a, b))
             self.known.update((p, None) for p, f in zip(parts, fits) if not f)
             parts, a, b = ([x for x, f in zip(xs, fits) if f] for xs in (parts, a, b))
-        if not parts:
-            return
-        a_counts, b_counts = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((i for ids in x for i in ids), np.int64, n.sum()) for x, n in ((a, a_counts), (b, b_counts)))
+            if not parts:
+                return
+            together = parts, *(y for x in (a, b) for y in (np.array(list(chain.from_iterable(x)), np.int64), np.fromiter(map(len, x), np.int64, len(x))))
+        parts, a_ids, a_counts, b_ids, b_counts = together
         a_starts, b_starts = groups(np.cumsum(both.a_sizes[a_ids]), np.cumsum(both.b_sizes[b_ids]))
         last = np.searchsorted(a_starts, np.cumsum(a_counts))  # groups up to each part's end
         of, pairs = linked(a_ids, b_ids, a_starts, b_starts, len(both.b_bytes))
-        upto = np.searchsorted(of, last).tolist()
-        counts = np.stack([a_counts, b_counts, np.diff(last, prepend=0)], axis=1).tobytes()
-        raw, size = pairs.tobytes(), PAIR.itemsize
+        upto = (np.searchsorted(of, last) * PAIR.itemsize).tolist()
+        counts, raw = np.stack([a_counts, b_counts, np.diff(last, prepend=0)], axis=1).tobytes(), pairs.tobytes()
         texts = self.group_texts(a_ids.tolist(), b_ids.tolist(), a_starts.tolist(), b_starts.tolist())
-        lo, from_pair = 0, 0
-        for k, (part, hi, to_pair) in enumerate(zip(parts, last.tolist(), upto)):
-            self.known[part] = (";".join(texts[lo:hi]).encode(), raw[from_pair * size : to_pair * size], counts[24 * k : 24 * k + 24])
-            lo, from_pair = hi, to_pair
+        lo, at, k = 0, 0, 0
+        for part, hi, to in zip(parts, last.tolist(), upto):
+            self.known[part] = (";".join(texts[lo:hi]).encode(), raw[at:to], counts[k : k + 24])
+            lo, at, k = hi, to, k + 24
 
     def group_texts(self, a_ids: list, b_ids: list, a_starts: list, b_starts: list) -> list[str]:
         a_names, b_names = [self.both.a_names[i] for i in a_ids], [self.both.b_names[i] for i in b_ids]
@@ -203,10 +234,11 @@ class Aligned:
         wanted = set().union(*(parts for _, parts, _ in held))
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > KNOWN_PIECES:
-            self.known.clear()
-            new = wanted
-        if new:
-            self.learn(list(new))
+            self.before, self.known, new = self.known, {}, wanted
+        again = new.intersection(self.before)  # pieces met again stay, others go with the store before
+        self.known.update((p, self.before[p]) for p in again)
+        if new := list(new.difference(again)):
+            self.learn(new)
         for links, parts, ended in held:
             if parts:
                 links.add([self.known[p] for p in parts])
@@ -296,6 +328,7 @@ def document_links(rows: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         yield from pa.Table.from_arrays([pa.array(np.full(p, chunk)), pa.array(np.arange(p, dtype=np.int32)), pa.array(pairs), pa.array(docs), *blank], names).to_batches(1 << 16)
 
     def per_task(batches):
+        gc.disable()  # nothing here refers in circles, and the stores are large to search through
         both = Aligned(Vocabularies(byte_level, pieces))
         ids, found, held = [], [], 0
         for batch in batches:
@@ -309,8 +342,9 @@ def document_links(rows: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             ids.append(batch.column("id").slice(start))
         if found:
             yield from flushed(ids, found)
+        gc.enable()
 
-    return rows.mapInArrow(per_task, schema)
+    return rows.mapInArrow(frugal(per_task), schema)
 
 
 def pair_counts(pairs: DataFrame, width: int) -> DataFrame:
@@ -377,7 +411,7 @@ def aligned(documents: DataFrame, byte_level: str, pieces: str, id_column: str =
                 )
 
     schema = f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return dealt.mapInArrow(per_chunk, schema).withColumnRenamed("id", id_column)
+    return dealt.mapInArrow(frugal(per_chunk), schema).withColumnRenamed("id", id_column)
 
 
 def split_runs(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
