@@ -106,3 +106,9 @@ def test_question_language_and_order(spark):
     rows = df.select(D.choose_question(D.missing_field(), F.col("devanagari")).alias("q")).collect()
     assert [r["q"]["field"] for r in rows] == ["locality", "pincode", "building", "landmark", "geo_confirm"]
     assert rows[1]["q"]["language"] == "hi-IN" and rows[0]["q"]["question"].startswith("Which locality")
+
+
+def test_a_text_is_cut_into_units_once(spark):
+    df = spark.createDataFrame([("दिल्ली मंबई",), (None,), ("",)], "t string").select(X.transliterate(F.col("t")).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [r[0] for r in df.collect()] == ["dilli mambai", None, ""]

@@ -116,7 +116,7 @@ def transliterate_addresses(spark, sf):
     """Addresses written in Devanagari and read back in Latin."""
     from waymark.operators.corpus import to_devanagari
 
-    df = view(spark, sf, "address").select("order_id", to_devanagari(F.col("raw")).alias("raw"))
+    df = widened(view(spark, sf, "address").select("order_id", "raw")).select("order_id", to_devanagari(F.col("raw")).alias("raw"))
     return N.normalise_addresses(df).select("order_id", "raw", "text", "retrieval_text")
 
 
