@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,14 @@ def test_knn_equals_all_pairs(spark):
         assert [got[i][n + 1][1] for n in range(len(want))] == [-w[0] for w in want]
 
 
+def test_a_query_is_handed_on_once_however_many_cells_it_visits():
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"id": range(1000), "e": list(rng.normal(size=(1000, 8))), "cell": np.int32(0), "kth": np.nan, "found": np.nan})
+    out = list(K._visits(iter([rows]), K._units(rng.normal(size=(40, 8)), None), np.full(40, np.pi), 5, None))
+    assert sum(map(len, out)) == 1000 and max(map(len, out)) <= K.SLICE
+    assert all(len(c) == 39 for o in out for c in o["cells"])
+
+
 def test_near_duplicates(spark):
     rng = random.Random(6)
     base = [f"house number {rng.randrange(300)} behind {rng.choice(['shiv', 'hanuman'])} mandir sector {rng.randrange(40)} pune 411001" for _ in range(60)]
