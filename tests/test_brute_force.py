@@ -165,6 +165,25 @@ def test_near_duplicates(spark):
         assert got.get(i) == want
 
 
+@pytest.mark.parametrize("size", [1024, 8])
+def test_near_duplicates_write_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(H, "MEET_ROWS", size)
+    rng = random.Random(7)
+    texts = [f"flat {i % 20} behind {rng.choice(['shiv', 'hanuman'])} mandir sector {rng.randrange(6)} pune 411001" + " a" * (i % 3) for i in range(120)]
+    rows = [(f"k{i:03d}", "p" if i % 5 else "q", t, i % 2 == 0) for i, t in enumerate(texts)] + [(None, "p", texts[0], True), ("k999", None, texts[0], False), ("k998", "p", texts[0], None)]
+    df = spark.createDataFrame(rows, "doc string, block string, text string, known boolean")
+    found = H.near_duplicate_join(df, "doc", "block", known="known")
+    assert "va#" not in found._jdf.queryExecution().toString()
+    got = {r["doc"]: (r["other"], r["cosine"]) for r in found.collect()}
+    vectors = [{x["bucket"]: x["w"] for x in r["vector"]} for r in R.with_name_vector(df, "text").collect()]
+    want = {}
+    for (a, p, _, k), v in zip(rows[:120], vectors):
+        near = [(-c, b) for (b, q, _, s), w in zip(rows[:120], vectors) if not k and s and p == q and (c := round(sum(x * w.get(i, 0.0) for i, x in v.items()), 9)) >= 0.97]
+        if near:
+            want[a] = (min(near)[1], -min(near)[0])
+    assert got == want and len(want) > 20
+
+
 def test_greedy_is_one_to_one_strongest_first(spark):
     pairs = [("q", 0, "a", 0.9), ("q", 1, "a", 0.95), ("q", 0, "b", 0.5), ("q", 1, "b", 0.94), ("q", 2, "c", 0.2), ("r", 0, "x", 0.7), ("r", 1, "x", 0.7)]
     df = spark.createDataFrame(pairs, "query_id string, phrase_pos int, landmark_id string, affinity double")
