@@ -67,3 +67,28 @@ def test_no_documents_and_no_queries(spark):
     assert R.hybrid_retrieve(queries, R.prepare_landmarks(empty)).collect() == []
     assert R.hybrid_retrieve(queries.where("query_id = 'x'"), R.prepare_landmarks(some)).collect() == []
     assert {r["query_id"] for r in R.hybrid_retrieve(queries, R.prepare_landmarks(some)).collect()} == {"q", "r"}
+
+
+def test_documents_of_equal_content_are_scored_once_and_share_a_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(B, "BLOCK_PLACES", 40)
+    names = ["shiv mandir 1", "shiv mandir 2", "mandir shiv 1", "gupta store"]
+    # 300 landmarks of four names in one square, each name nearer the centre than the next, one name of more than a block's places
+    rows = [(f"L{i:04d}", names[3 if i % 4 == 0 else i % 3], [], 28.61 + i * 1e-5, 77.11 + i % 7 * 1e-4, 1) for i in range(300)]
+    index = R.prepare_landmarks(spark.createDataFrame(rows, "landmark_id string, canonical_name string, aliases array<string>, lat double, lng double, observation_count int"))
+    docs = index["landmarks"].select(F.col("landmark_id").alias("doc"), "lat", "lng", "vector")
+    blocks = B.grid_blocks(B.with_parts(docs, index["impacts"].withColumnRenamed("impact", "dw"), "landmark_id"), R.CELL_DEG)
+    sizes = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    assert sum(sizes.values()) == 300 and 2 < len(sizes) < 300 // 8  # more than one, and not one per eight documents
+    asked = [(f"q{i}", t, f"c{r}", 28.61, 77.11, r) for i, (t, r) in enumerate((t, r) for t in ("shiv", "gupta", "mandir 2", "none") for r in (90.0, 5000.0))]
+    queries = spark.createDataFrame(asked, "query_id string, query_text string, centre_id string, centre_lat double, centre_lng double, radius_m double")
+    got = {}
+    for r in R.hybrid_retrieve(queries, index, use_vector=False, use_geo=False).collect():
+        got.setdefault(r["query_id"], []).append((r["signals"]["bm25"], r["landmark_id"]))
+    impact = {}
+    for r in index["impacts"].collect():
+        impact.setdefault(r["landmark_id"], {})[r["term"]] = r["impact"]
+    for q, text, _, lat, lng, radius in asked:
+        scores = {d: round(sum(impact[d].get(t, 0.0) for t in text.split()), 9) for d, _, _, y, x, _ in rows if metres(lat, lng, y, x) <= radius}
+        want = [d for _, d in sorted((-s, d) for d, s in scores.items() if s > 0)[:20]]
+        assert [d for _, d in sorted(got.get(q, []))] == want, q
