@@ -36,6 +36,23 @@ def test_cuts_keep_counts_and_ids(byte_level, word_level):
         assert found.tolist() == word_level.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_pieces_are_encoded_without_a_normalizer_that_leaves_them(word_level):
+    from tokenizers import Tokenizer, normalizers
+
+    ids = tokens.Pieces(word_level, tokens.id_bytes)
+    rng = random.Random(4)
+    marks = "abcz019'.,-<>|`~@[^"
+    words = {"".join(rng.choices(marks, k=rng.randint(1, 9))).encode() for _ in range(3000)} | {w.encode() for t in odd_texts() for w in t.split()}
+    words |= {b"<|endoftext|>", b"a<|endoftext|>b", b"it's", "\u0130x".encode(), "caf\u0065\u0301".encode(), b"Upper"}
+    assert ids.bare is not None and any(map(tokens.PLAIN.fullmatch, words)) and not all(map(tokens.PLAIN.fullmatch, words))
+    ids.learn(words)
+    for word in words:
+        assert ids.known[word] == tokens.id_bytes(word_level.encode(word.decode(), add_special_tokens=False)), word
+    other = Tokenizer.from_str(word_level.to_str())
+    other.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("a", "b")])
+    assert tokens.unnormalized(other) is None
+
+
 def test_case_is_folded_where_it_does_not_matter(byte_level, word_level):
     ids = tokens.Pieces(word_level, tokens.id_bytes)
     assert ids.folds and not tokens.Pieces(byte_level, len).folds

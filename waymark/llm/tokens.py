@@ -1,5 +1,6 @@
 """Token counts and token ids by the tokenizers library, text by text, each distinct piece encoded once per task."""
 
+import json
 import os
 import re
 from array import array
@@ -20,6 +21,9 @@ BATCH_BYTES = 1 << 20
 GROUP_PIECES = 1 << 18
 KNOWN_PIECES = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Pieces that a normalizer of the steps in ``_LEAVES`` alone gives back as they are.
+PLAIN = re.compile(rb"[!-@\[-~]*")
+_LEAVES = ({"type": "NFC"}, {"type": "NFKC"}, {"type": "NFD"}, {"type": "NFKD"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
 
 
 def load(path: str):
@@ -32,6 +36,19 @@ def load(path: str):
     return found
 
 
+def unnormalized(tokenizer):
+    """The same tokenizer without its normalizer, if that changes no ``PLAIN`` piece, else None."""
+    steps = json.loads(tokenizer.to_str())["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+    if not steps or any(step not in _LEAVES for step in steps):
+        return None
+    from tokenizers import Tokenizer, normalizers
+
+    bare = Tokenizer.from_str(tokenizer.to_str())
+    bare.normalizer = normalizers.Sequence([])
+    return bare
+
+
 def byte_batches(pieces: list, size: int = BATCH_BYTES):
     """Pieces in batches of about equal bytes."""
     batch, held = [], 0
@@ -50,6 +67,7 @@ class Pieces:
 
     def __init__(self, tokenizer, result):
         self.tokenizer, self.result, self.known = tokenizer, result, {}
+        self.bare = unnormalized(tokenizer)
         self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
         normalizer = tokenizer.normalizer
         #: Whether the tokenizer tells A-Z from a-z nowhere, so that pieces may be looked up in lower case.
@@ -63,10 +81,14 @@ class Pieces:
     def learn(self, pieces: set) -> None:
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        for batch in byte_batches(list(pieces.difference(self.known))):
-            texts = [p if isinstance(p, str) else p.decode() for p in batch]
-            for piece, got in zip(batch, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[piece] = self.result(got)
+        new = list(pieces.difference(self.known))
+        plain = [p for p in new if isinstance(p, bytes) and PLAIN.fullmatch(p)] if self.bare else []
+        other = list(set(new).difference(plain)) if plain else new
+        for tokenizer, some in ((self.bare, plain), (self.tokenizer, other)):
+            for batch in byte_batches(some):
+                texts = [p if isinstance(p, str) else p.decode() for p in batch]
+                for piece, got in zip(batch, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                    self.known[piece] = self.result(got)
 
     def of(self, groups: Iterable[list]) -> Iterator[Iterator]:
         """The results of each list of pieces; lists are encoded together, in groups of some megabytes."""
