@@ -92,3 +92,39 @@ def test_documents_of_equal_content_are_scored_once_and_share_a_block(spark, mon
         scores = {d: round(sum(impact[d].get(t, 0.0) for t in text.split()), 9) for d, _, _, y, x, _ in rows if metres(lat, lng, y, x) <= radius}
         want = [d for _, d in sorted((-s, d) for d, s in scores.items() if s > 0)[:20]]
         assert [d for _, d in sorted(got.get(q, []))] == want, q
+
+
+def test_searches_without_a_centre_score_each_content_once(spark, monkeypatch):
+    names = ["shiv mandir 1", "shiv mandir 2", "mandir shiv 1", "gupta store"]
+    rows = [(f"L{i:04d}", names[3 if i % 30 == 0 else i % 3], [], 28.61, 77.11, 1) for i in range(120)]
+    index = R.prepare_landmarks(spark.createDataFrame(rows, "landmark_id string, canonical_name string, aliases array<string>, lat double, lng double, observation_count int"))
+    texts = ["shiv", "gupta", "gupta mandir", "1 2", "none"]
+    asked = [(f"q{i}", texts[i % 5], None, None, None, 3000.0) for i in range(10)]
+    queries = spark.createDataFrame(asked, "query_id string, query_text string, centre_id string, centre_lat double, centre_lng double, radius_m double")
+    sizes, by_terms, by_vector = [], R.pruned_top_terms, R.knn_cosine
+
+    def counted(search):
+        def run(a, b, *rest):
+            sizes.append(b.select("one").distinct().count())
+            return search(a, b, *rest)
+
+        return run
+
+    monkeypatch.setattr(R, "pruned_top_terms", counted(by_terms))
+    monkeypatch.setattr(R, "knn_cosine", counted(by_vector))
+    got = {}
+    for r in R.hybrid_retrieve(queries, index).collect():
+        for signal, rank in r["signals"].items():
+            got.setdefault((r["query_id"], signal), []).append((rank, r["landmark_id"]))
+    assert sizes == [3, 4]  # equal words in another order are one content of terms
+    impact = {}
+    for r in index["impacts"].collect():
+        impact.setdefault(r["landmark_id"], {})[r["term"]] = r["impact"]
+    vectors = {r["landmark_id"]: {x["bucket"]: x["w"] for x in r["vector"]} for r in index["landmarks"].select("landmark_id", "vector").collect()}
+    asking = {r["query_id"]: r["vector"] for r in R.with_name_vector(queries, "query_text").collect()}
+    for q, text, *_ in asked:
+        lexical = {d: round(sum(impact[d].get(t, 0.0) for t in text.split()), 9) for d in vectors}
+        dense = {d: round(sum(x["w"] * v.get(x["bucket"], 0.0) for x in asking[q]), 9) for d, v in vectors.items()}
+        for signal, scores in (("bm25", lexical), ("knn", dense)):
+            want = [d for _, d in sorted((-s, d) for d, s in scores.items() if s > 0)[:20]]
+            assert [d for _, d in sorted(got.get((q, signal), []))] == want, (q, signal)
