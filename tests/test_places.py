@@ -126,3 +126,19 @@ def test_pooling_as_a_tree(spark):
         got = E.isotonic_knots(E.fit_isotonic(df))
         assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want))
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_texts_meet_names_on_runs_of_words(spark):
+    names = [("1", f"{a} {b} {i}") for a in ("big", "red") for b in ("ring", "bolt") for i in range(30)]
+    long = "one two three four five six seven eight nine ten"
+    names += [("1", long), ("1", long.replace("ten", "twelve")), ("2", "big ring 3"), ("1", "..."), ("1", "ring-bolt"), ("1", "a.b")]
+    texts = [(1, "1", "house 3 opp Big Ring 3 and 4"), (2, "1", f"at {long} end"), (3, "1", "red bolt 29"), (4, "2", "big ring 30"), (5, "1", "ring bolt ring-bolt a.b"), (6, "1", ""), (7, "1", None), (8, None, "big ring 3"), (9, "1", "ring bolt")]
+    t = spark.createDataFrame(texts, "id long, pin string, text string")
+    n = spark.createDataFrame(names, "pin string, name string")
+    want = {(r[0], r[1]) for r in t.join(n, "pin").where(X.contains_phrase(F.lower("text"), F.col("name"))).where("name <> '...'").select("id", "name").collect()}
+    assert {(r["id"], r["name"]) for r in L.contained(t, n, "id", "text", ["pin"], "name").collect()} == want
+    assert {(1, "big ring 3"), (2, long), (5, "ring-bolt"), (5, "a.b")} <= want
+    # names that share words, but no run of them, do not meet
+    runs = L.phrase_runs(n, ["pin"], "name").collect()
+    assert sum(r["run"] == "big ring 3" for r in runs) == 2 and max(r["size"] for r in runs) == L.RUN_WORDS
+    assert L.contained(t, n.where("name = 'none'"), "id", "text", ["pin"], "name").collect() == []
