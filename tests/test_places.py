@@ -142,3 +142,16 @@ def test_texts_meet_names_on_runs_of_words(spark):
     runs = L.phrase_runs(n, ["pin"], "name").collect()
     assert sum(r["run"] == "big ring 3" for r in runs) == 2 and max(r["size"] for r in runs) == L.RUN_WORDS
     assert L.contained(t, n.where("name = 'none'"), "id", "text", ["pin"], "name").collect() == []
+
+
+def test_words_of_phrases_are_cut_out_below_the_join(spark):
+    c = spark.createDataFrame(
+        [("q", "x", "Shiv Mandir", ["Shiv Temple"]), ("q", "y", None, []), ("q", "z", "--", ["shiv"])], "query_id string, landmark_id string, canonical_name string, aliases array<string>"
+    )
+    c = R.with_name_vector(c, "canonical_name")
+    p = spark.createDataFrame([("q", 0, "shiv temple"), ("q", 1, ""), ("q", 2, "mandir")], "query_id string, phrase_pos int, phrase string")
+    pairs = R.phrase_pairs(c, p)
+    got = {(r["phrase_pos"], r["landmark_id"]): r["affinity"] for r in pairs.collect()}
+    assert got[0, "x"] == 1.0 and got[2, "x"] >= 0.5 and got[0, "z"] >= 0.5 and got[1, "x"] == 0.0 and got[0, "y"] == 0.0
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan[: plan.index("Join")]
