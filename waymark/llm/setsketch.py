@@ -249,12 +249,11 @@ def open_links(posts: DataFrame, heads: DataFrame, roots: DataFrame, classes: Da
     return dealt.mapInArrow(frugal(per_task), _PAIR)
 
 
-def simhash_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): each class with the least one of its fingerprint, and the least ones of fingerprints within ``radius`` bits."""
-    heads = staged(classes.groupBy("fp").agg(F.min("class").alias("head")), "fingerprint-heads")
-    same = classes.join(heads, "fp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
-    near = simhash_links(heads.select("fp"), radius).join(heads.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "y"}), "b")
-    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+def simhash_pairs(classes: DataFrame, roots: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): all classes whose fingerprints are within ``radius`` bits, equal ones too, and that ``roots`` have not connected."""
+    rooted = classes.select("class", "fp").join(roots, classes["class"] == roots["node"], "left")
+    rooted = rooted.select("fp", F.col("class").alias("node"), F.coalesce("root", "class").alias("root"))
+    return simhash_links(staged(rooted, "rooted-fingerprints"), radius, apart=True).distinct()
 
 
 def components(documents: DataFrame, id_column: str, text_column: str, shingle: int, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -267,13 +266,16 @@ def components(documents: DataFrame, id_column: str, text_column: str, shingle:
     chosen = classes.select("class", "one.id", "one.key")
     posts = posts_of(classes)
     heads = staged(posts.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("classes")).where("classes > 1"), "bucket-heads")
-    stars = posts.join(heads, "bucket").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
-    stars = (stars.unionByName(simhash_pairs(classes.select("class", "fp"))) if fingerprints else stars).distinct()
+    ends = lambda pairs: pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    stars = posts.join(heads, "bucket").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     tried = staged(compared(stars, classes), "star-pairs")
-    wanted = tried.select(F.col("a").alias("class")).unionByName(tried.select(F.col("b").alias("class"))).distinct()
-    near = staged(confirmed(tried, sets_of(wanted, chosen, texts, shingle)), "star-links")
-    more = open_links(posts, heads, connected(near), classes, chosen, texts, shingle)
-    roots = connected(near.unionByName(more))
+    near = staged(confirmed(tried, sets_of(ends(tried), chosen, texts, shingle)), "star-links")
+    links = near.unionByName(open_links(posts, heads, connected(near), classes, chosen, texts, shingle))
+    if fingerprints:
+        links = staged(links, "band-links")
+        further = staged(simhash_pairs(classes, connected(links)), "fingerprint-pairs")
+        links = links.unionByName(confirmed(further, sets_of(ends(further), chosen, texts, shingle)))
+    roots = connected(links)
     return rows, classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
 
 
@@ -308,7 +310,7 @@ def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """All columns of one row of each group of near duplicates: the one of the smallest id, null ids last.
 
     Groups are as in ``near_duplicates``, of ``shingle`` words, but texts without words are one
-    group. SimHash fingerprints within two bits propose pairs too, beside the bands; all are
+    group. All SimHash fingerprints within two bits propose pairs too, of what the bands leave apart; all are
     decided by whole sets, so texts that merely share a fingerprint's bits both stay.
     """
     rows, rooted = components(documents, id_column, text_column, shingle, fingerprints=True)

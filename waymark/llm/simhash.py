@@ -103,9 +103,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def links(classes: DataFrame, radius: int = 2) -> DataFrame:
+def links(classes: DataFrame, radius: int = 2, apart: bool = False) -> DataFrame:
     """Distinct fingerprints ``fp`` → (``a``, ``b``): within each tile, links that connect all pairs within the radius.
 
+    With ``apart``, ``classes`` has a ``node`` and its ``root`` beside a fingerprint, which may repeat: all
+    pairs of nodes within the radius whose roots differ are given, whatever else connects them.
+
     A tile holds the fingerprints whose parts have equal population counts.
     It is compared with itself and with the tiles whose counts differ by no more
     than the radius; all other tile pairs are skipped, none of their pairs can be
@@ -115,23 +118,19 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     spark = classes.sparkSession
     parts = parts_for(classes.count(), radius)
     moves = shifts(parts, radius)
+    held = ["node", "root"] if apart else []
 
     def expand(batches):
         weights = np.random.default_rng(1).integers(1, 2**63, 16, dtype=np.uint64)[:parts] | np.uint64(1)
         steps = (moves.view(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                fps = np.asarray(batch.column("fp").slice(lo, 4096)).view(np.uint64)
-                keys = tile_keys(fps, parts)
-                own = pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(np.zeros(len(fps), bool))], ["tile", "fp", "visits"]
-                )
+                fps, *others = (np.asarray(batch.column(c).slice(lo, 4096)) for c in ("fp", *held))
+                keys = tile_keys(fps.view(np.uint64), parts)
                 met = (keys[:, None] + steps[None, :]).ravel()
-                yield own
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(met.view(np.int64)), pa.array(np.repeat(fps, len(steps)).view(np.int64)), pa.array(np.ones(len(met), bool))],
-                    ["tile", "fp", "visits"],
-                )
+                for tiles, times, visits in ((keys, 1, False), (met, len(steps), True)):
+                    columns = [tiles.view(np.int64), *(np.repeat(x, times) for x in (fps, *others)), np.full(len(tiles), visits)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["tile", "fp", *held, "visits"])
 
     def compare(batches):
         for run in runs_of(batches, ["tile", "own_block", "met_block"]):
@@ -140,6 +139,15 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
             here, there = fps[~visits], fps[visits]
             if not len(here) or not len(there):
                 continue
+            if apart:
+                node, root = (np.asarray(run[c].combine_chunks()) for c in held)
+                first, second = node[~visits], node[visits]
+                for lo in range(0, len(here), 256):
+                    hit = np.bitwise_count(here[lo : lo + 256, None] ^ there[None, :]) <= radius
+                    i, j = np.nonzero(hit & (root[~visits][lo : lo + 256, None] != root[visits][None, :]))
+                    x, y = first[lo + i], second[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                continue
             same = np.isin(there, here)
             near_a, near_b = [], []
             for lo in range(0, len(here), 256):
@@ -155,19 +163,19 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
                 a, b = zip(*kept)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    tiles = classes.select("fp").mapInArrow(frugal(expand), "tile bigint, fp bigint, visits boolean")
+    tiles = classes.select("fp", *held).mapInArrow(frugal(expand), ", ".join(f"{c} bigint" for c in ("tile", "fp", *held)) + ", visits boolean")
     sizes = tiles.groupBy("tile").agg(F.count(F.when(~F.col("visits"), 1)).alias("own"), F.count(F.when(F.col("visits"), 1)).alias("met"))
     blocks = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
     sizes = staged(sizes.where("own > 0 and met > 1").select("tile", blocks("own").alias("own_blocks"), blocks("met").alias("met_blocks")), "tiles")
     placed = tiles.join(sizes, "tile")
-    side = F.xxhash64("fp")
+    side = F.xxhash64("fp", *held)
     own = placed.where("not visits").select(
         "tile", F.pmod(side, F.col("own_blocks")).cast("int").alias("own_block"),
-        F.explode(F.sequence(F.lit(0), F.col("met_blocks") - 1)).alias("met_block"), "fp", "visits",
+        F.explode(F.sequence(F.lit(0), F.col("met_blocks") - 1)).alias("met_block"), "fp", *held, "visits",
     )
     met = placed.where("visits").select(
         "tile", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own_block"),
-        F.pmod(side, F.col("met_blocks")).cast("int").alias("met_block"), "fp", "visits",
+        F.pmod(side, F.col("met_blocks")).cast("int").alias("met_block"), "fp", *held, "visits",
     )
     key = ["tile", "own_block", "met_block"]
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
