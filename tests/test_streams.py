@@ -147,3 +147,29 @@ def test_slices_are_bounded_and_in_order(spark, size):
     for parts in found.values():
         parts.sort(key=lambda x: x[1:])
         assert [p[0] for p in parts] == [i // size for i in range(len(parts))]
+
+
+def state_rows(stream, root):
+    """The most rows of state that a stream over what is there held, and those it left."""
+    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    return max(held), held[-1]
+
+
+def test_landmarks_without_deliveries_are_no_state(spark, tmp_path):
+    rows = [{"event_id": i, "landmark_id": i % 3, "lat": 28.65, "lng": 77.12, "s": 1_700_000_000 + i} for i in range(9)]
+    schema = "event_id long, landmark_id long, lat double, lng double, accuracy_m double, spelling string, s long"
+    landmarks = spark.range(2000).selectExpr("id as landmark_id", "'Tank' as canonical_name", "array('x') as aliases", "28.65D as lat", "77.12D as lng", "5 as observation_count", "0.5D as confidence")
+    stream = streams.learn_landmarks(arriving(spark, f"{tmp_path}/in", rows, schema, 1, random.Random(6), 1), landmarks)
+    assert state_rows(stream, tmp_path)[0] < 50
+
+
+@pytest.mark.parametrize("kind", ["entries", "timeouts"])
+def test_state_is_per_bucket_and_outlived_rows_leave_it(spark, tmp_path, kind):
+    rows = [{"event_id": i, "order_id": i, "question": True, "s": 1_700_000_000 + i % 60} for i in range(4000)]
+    stream = arriving(spark, f"{tmp_path}/in", rows, "event_id long, order_id long, question boolean, reply boolean, s long", 1, random.Random(6), 1)
+    found = streams.unanswered(stream, "1 hour") if kind == "timeouts" else streams.dedupe_resolutions(stream.withColumnRenamed("order_id", "cache_key"), "1 hour")
+    most, left = state_rows(found, tmp_path)
+    assert most < 4000 and left < 4
+    assert spark.read.parquet(f"{tmp_path}/out").where("event_id is not null").count() == 4000

@@ -99,10 +99,10 @@ def initial_state(row) -> dict | None:
     }
 
 
-def walked(state: dict | None, rows: pd.DataFrame) -> tuple[dict | None, list[dict]]:
-    """(state after, audit rows) of one landmark's events, in the order they are given."""
+def walked(state: dict | None, rows: dict[str, list]) -> tuple[dict | None, list[dict]]:
+    """(state after, audit rows) of one landmark's events (the columns ``EVENT``), in the order they are given."""
     out = []
-    for values in zip(*(rows[c].tolist() for c in EVENT)):
+    for values in zip(*(rows[c] for c in EVENT)):
         event = dict(zip(EVENT, values))
         accuracy = event["accuracy_m"]
         event["accuracy_m"] = None if accuracy is None or accuracy != accuracy else accuracy
@@ -141,7 +141,8 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append(_left(current, state))
                 current, state = ids[lo].item() if hasattr(ids[lo], "item") else ids[lo], carried_state(batch.iloc[lo])
             rows += 1
-            state, audit = walked(state, batch.iloc[lo:hi])
+            part = batch.iloc[lo:hi]
+            state, audit = walked(state, {c: part[c].tolist() for c in EVENT})
             out += [{"landmark_id": current, **a} for a in audit]
         if out:
             yield shaped(out, [*AUDIT_COLUMNS, *_STATE_COLUMNS])

@@ -426,23 +426,31 @@ def as_stream(df, name, files_per_batch=1000):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: Rows that a file of a stream's input has at least, where a batch has several.
+FILE_ROWS = 100_000
+
+
 def arriving(df, name, ts="ts", tie="event_id", key=None):
     """Rows as a stream of micro-batches in the order they arrive: up to nine minutes after their time.
 
-    The last batch is a row of no key, a day after all others, that only moves the watermark on.
+    A batch is a file, or as many files as all batches have rows for. The last batch is a row of no key, a day
+    after all others, that only moves the watermark on.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     late = F.make_dt_interval(secs=F.pmod(F.xxhash64(tie), F.lit(540)))
-    rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_at", F.col(ts) + late)
-    for lo, hi in ((0, 7), (7, 14), (14, 21), (21, 99)):
-        part = rows.where(F.dayofmonth("_at").between(lo + 1, hi)).drop("_at")
-        part.coalesce(1).write.mode("append").parquet(path)
+    rows = staged(df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_at", F.col(ts) + late), f"{name}-rows")
+    part = F.least(F.floor((F.dayofmonth("_at") - 1) / 7), F.lit(3))
+    sizes = [r["count"] for r in rows.where("_at is not null").groupBy(part).count().collect()]
+    files = max(1, min([spark.sparkContext.defaultParallelism, *(n // FILE_ROWS for n in sizes)]))
+    for i in range(4):
+        now = rows.where(part == i).drop("_at")
+        (now.coalesce(1) if files == 1 else now.repartition(files, tie)).write.mode("append").parquet(path)
     last = rows.agg(F.max(ts).alias(ts)).select(
         *[(F.col(ts) + F.expr("interval 1 day") if c == ts else F.lit(None).cast(t)).alias(c) for c, t in rows.drop("_at").dtypes]
     )
     last.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("_at").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.drop("_at").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream, name, mode="append"):
