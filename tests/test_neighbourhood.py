@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.operators import blocks
 from waymark.operators import retrieval as R
-from waymark.plans import chain
+from waymark.plans import catalog, chain
+from waymark.sources.fixtures import view
+from waymark.sources.warehouse import Warehouse
 
 # A neighbourhood of Delhi and a far namesake.
 PLACES = [
@@ -75,3 +78,21 @@ def test_unknown_pincode_asks_one_question(resolved):
 def test_no_phone_leaves_the_parse(resolved):
     for r in resolved.values():
         assert "9876543210" not in str({k: v for k, v in r.asDict().items() if k != "phones"})
+
+
+def test_configurations_share_parse_and_search(spark, sf, monkeypatch):
+    """Resolved together, addresses are parsed and searched once, and each configuration answers as it does alone."""
+    from waymark.plans.jobs_retrieval import index
+
+    catalog.load()
+    w = Warehouse(spark, sf)
+    requests = view(spark, sf, "address").where("order_id % 8 = 0").select("order_id", "raw")
+    given = requests, w.table("gazetteer"), w.table("localities"), index(w)
+    calls = []
+    for module, name in ((chain.L, "parse_addresses"), (chain.R, "phrase_pairs"), (blocks, "around")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: (calls.append(n), f(*a, **k))[1])
+    together = chain.resolve_each(*given)
+    assert sorted(calls) == ["around", "parse_addresses", "phrase_pairs"] and set(together) == {"A", "R1", "R2"}
+    for config, rows in together.items():
+        want, got = (sorted(map(str, df.select("order_id", *chain.RESULT).collect())) for df in (chain.resolve(*given, config), rows))
+        assert got == want and got

@@ -8,7 +8,7 @@ from waymark.operators import seeds as S
 from waymark.plans import sql
 from waymark.plans.registry import job
 from waymark.sources.fixtures import view
-from waymark.sources.warehouse import Warehouse, reference_table
+from waymark.sources.warehouse import Warehouse, reference_table, widened
 
 
 def directory(spark, sf):
@@ -17,7 +17,7 @@ def directory(spark, sf):
 
 @reference_table("seed_offices")
 def _seed_offices(w):
-    return G.delivery_offices(directory(w.spark, w.sf_dir))
+    return G.delivery_offices(widened(directory(w.spark, w.sf_dir)))
 
 
 @reference_table("nearby")
