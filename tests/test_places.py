@@ -155,3 +155,22 @@ def test_words_of_phrases_are_cut_out_below_the_join(spark):
     assert got[0, "x"] == 1.0 and got[2, "x"] >= 0.5 and got[0, "z"] >= 0.5 and got[1, "x"] == 0.0 and got[0, "y"] == 0.0
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan[: plan.index("Join")]
+
+
+def test_landmarks_of_one_name_and_point_meet_others_as_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(compaction, "affine_pairs", lambda places, *more, f=compaction.affine_pairs: (seen.append(places.count()), f(places, *more))[1])
+    rows = [(i, "Shiv Mandir", 28.65, 77.12) for i in range(5, 205)] + [(2, "Shiv Mandir", 28.6501, 77.12), (3, "--", 28.65, 77.12), (4, "--", 28.65, 77.12)]
+    marks = spark.createDataFrame(rows, "landmark_id long, canonical_name string, lat double, lng double")
+    marks = marks.selectExpr("*", "cast(array() as array<string>) as aliases", "1 as observation_count")
+    found = sorted((r["landmark_id"], r["merged"]) for r in compaction.merge_landmarks(marks, metres=600.0).collect())
+    assert found == [(2, 201), (3, 1), (4, 1)] and seen == [3]
+
+
+def test_only_terms_that_queries_ask_for_are_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(R, "impacts", lambda post, *more, f=R.impacts: (kept.extend(r["term"] for r in post.collect()), f(post, *more))[1])
+    docs = spark.createDataFrame([(1, "red fort gate"), (2, "red market"), (3, "old lane")], "doc int, text string")
+    asked = spark.createDataFrame([(7, "red gate")], "item int, text string")
+    assert [r["doc"] for r in sorted(R.bm25(asked, docs, "item", "doc").collect(), key=lambda r: r["rank"])] == [1, 2]
+    assert sorted(kept) == ["gate", "red", "red"]

@@ -48,7 +48,7 @@ def affine_pairs(places: DataFrame, affinity: float, metres: float) -> DataFrame
     a cosine of p / ``VECTOR_SHARE``. Both are bounded from below by what two names must have in
     common: of n words one of the rarest n - ceil(p n) + 1 of each; of a vector one of the rarest components that
     carry all but the bound of its length. So pairs meet on (square, such a part) only, in the
-    squares around one of them, and are then compared whole. A square's pairs are never listed.
+    squares around the one whose square comes first, and are then compared whole. A square's pairs are never listed.
     """
     names = staged(
         with_name_vector(places.withColumn("words", F.array_distinct(X.tokens(F.col("name")))), "name"), "named_places"
@@ -66,14 +66,21 @@ def affine_pairs(places: DataFrame, affinity: float, metres: float) -> DataFrame
     carried = weighed.where(F.col("rest") >= bound * bound - 1e-9).select("place", F.concat(F.lit("v"), F.col("bucket").cast("string")).alias("part"))
     parts = staged(kept.unionByName(carried).join(names.select("place", "lat", "lng"), "place"), "name_parts")
     width = metres / geo.METRES_PER_DEGREE
-    around = parts.select("part", F.col("place").alias("a"), F.explode(geo.cells_within(F.col("lat"), F.col("lng"), F.lit(metres), width)).alias("square"))
-    placed = parts.select("part", F.col("place").alias("b"), geo.square(F.col("lat"), F.col("lng"), width).alias("square"))
-    met = split_join(around, placed, ["square", "part"], "a", "b").where("a < b").select("a", "b").distinct()
-    whole = lambda side: names.select(F.col("place").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("name", "vector", "lat", "lng")])
-    both = met.join(whole("a"), "a").join(whole("b"), "b")
+    # what meets by an equal hash only is told apart like all that meets
+    spot = F.xxhash64("square", "part").alias("spot")
+    parts = parts.withColumn("own", geo.square(F.col("lat"), F.col("lng"), width))
+    around = parts.select("part", "place", "own", F.explode(geo.cells_within(F.col("lat"), F.col("lng"), F.lit(metres), width)).alias("square"))
+    around = around.where("square >= own").select(spot, F.col("place").alias("a"), (F.col("square") == F.col("own")).alias("inside"))
+    placed = parts.withColumnRenamed("own", "square").select(spot, F.col("place").alias("b"))
+    met = split_join(around, placed, ["spot"], "a", "b").where("a < b or a > b and not inside")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # names and vectors go along with pairs that are near only
+    of = lambda side, *columns: names.select(F.col("place").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
     near = geo.haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) <= metres
+    met = met.join(of("a", "lat", "lng"), "a").join(of("b", "lat", "lng"), "b").where(near).select("a", "b")
+    both = staged(met, "near_places").join(of("a", "name", "vector"), "a").join(of("b", "name", "vector"), "b")
     alike = name_affinity(F.col("a_name"), F.col("a_vector"), F.array("b_name"), F.map_from_entries("b_vector")) >= affinity
-    return both.where(near & alike).select("a", "b")
+    return both.where(alike).select("a", "b")
 
 
 def merge_landmarks(landmarks: DataFrame, affinity: float = SAME_AFFINITY, metres: float = SAME_M) -> DataFrame:
@@ -86,13 +93,18 @@ def merge_landmarks(landmarks: DataFrame, affinity: float = SAME_AFFINITY, metre
     """
     rows = landmarks.withColumn("names", F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))))
     spelled = each(rows.where("lat is not null and lng is not null"), ["landmark_id", "lat", "lng"], F.col("names"), "spelling")
-    # every spelling is a place of its own until it is linked; equal ones of a landmark are one
-    places = spelled.select("landmark_id", "lat", "lng", spelled_out(F.col("spelling")).alias("name")).distinct()
-    places = staged(places.withColumn("place", F.xxhash64("landmark_id", "name")), "spelled_places")
-    owner = places.select("place", "landmark_id")
+    # every spelling at a point is a place of its own until it is linked; its landmarks meet others as one, by the least of them
+    owned = spelled.select("landmark_id", "lat", "lng", spelled_out(F.col("spelling")).alias("name"))
+    owned = owned.withColumn("place", F.xxhash64("name", "lat", "lng"))
+    places = owned.groupBy("place", "name", "lat", "lng").agg(F.min("landmark_id").alias("least"), F.max("landmark_id").alias("last"))
+    places = staged(places, "spelled_places")
+    shared = staged(with_name_vector(places.where("least <> last"), "name"), "shared_places")
+    shared = shared.where(name_affinity(F.col("name"), F.col("vector"), F.array("name"), F.map_from_entries("vector")) >= affinity).select("place", "least")
+    same = owned.select("place", "landmark_id").join(shared, "place").where("landmark_id <> least").select(F.col("least").alias("a"), F.col("landmark_id").alias("b"))
     pairs = affine_pairs(places.select("place", "name", "lat", "lng"), affinity, metres)
-    links = pairs.join(owner.withColumnsRenamed({"place": "a", "landmark_id": "x"}), "a").join(owner.withColumnsRenamed({"place": "b", "landmark_id": "y"}), "b")
-    roots = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    least = lambda side, name: places.select(F.col("place").alias(side), F.col("least").alias(name))
+    links = pairs.join(least("a", "x"), "a").join(least("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = connected(links.unionByName(same))
     rooted = rows.join(roots, rows["landmark_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "landmark_id"))
     n = F.greatest(F.coalesce("observation_count", F.lit(0)), F.lit(0))
     weight = n + F.lit(1e-9)  # landmarks nobody has seen yet count alike among themselves
